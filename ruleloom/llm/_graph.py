@@ -16,13 +16,13 @@ def _sum(edges: DataFrame) -> tuple:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(e.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
 
@@ -34,8 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has columns a and b of one orderable type. Large-star and
     small-star steps alternate until nothing changes; each round is written to
     the shared folder, so that a lost executor costs a reread. The least
-    neighbour is found by a pre-aggregated minimum, so that a node with very
-    many neighbours is never gathered.
+    neighbour is found by a pre-aggregated minimum and read from a table when it
+    is joined, so that Spark can split a node that has very many neighbours.
     """
     now = written(edges.select("a", "b").filter("a != b").distinct(), "edges")
     state = _sum(now)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, simhash, token_counts
+from . import byte_bpe, decontaminate, simhash, token_counts, warc
 from ._common import table
 
 
@@ -28,13 +28,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op6_decontamination": op6_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
+    "op10_warc": op10_warc,
 }
 #: SQL twins, for DuckDB, of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontaminate.SQL,
+    "op10_warc": warc.SQL,
 }

@@ -114,8 +114,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(fingerprints(docs, id_col, text_col), "simhash")
     prints = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     linked = roots(prints.select("fp")).withColumnRenamed("node", "fp")
-    groups = prints.join(linked, "fp")
-    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = written(prints.join(linked, "fp"), "simhash-linked")
+    least = written(groups.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     groups = written(groups.join(least, "root").select("fp", "root", "component_id"), "simhash-groups")
     return rows.join(groups, "fp").select(F.col("id").alias(id_col), "h", "fp", "root", "component_id")
 
