@@ -98,3 +98,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
 
 def local_n_tasks(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+def class_sample(df: DataFrame, key: Column, label: str, most: int, seed: int = 7) -> tuple[DataFrame, dict]:
+    """Rows drawn by a hash of ``key`` so that each value of ``label`` keeps
+    about ``most`` of them (all, if it has fewer), and the counts by label.
+    Which rows are drawn depends on the rows alone, not on their order or
+    partitions. There may be 10,000 labels at most."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().limit(10_001).collect()}
+    if len(counts) > 10_000:
+        raise ValueError(f"{label} has over 10,000 values; it is no class label")
+    share = F.lit(0)
+    for value, n in counts.items():
+        share = F.when(F.col(label) == F.lit(value), F.lit(int(min(1.0, most / n) * 1_000_000))).otherwise(share)
+    return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < share), counts
