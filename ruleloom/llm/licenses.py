@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import written
+
 #: Notices in common use, by SPDX identifier.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -66,14 +68,30 @@ def _band(k: int) -> Column:
 
 
 def _shingles(w: Column) -> Column:
-    """Hashes of all runs of SHINGLE words; none if there are fewer."""
-    at = lambda i, k: F.get(w, i + k)
-    return F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(at(i, k) for k in range(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of all runs of SHINGLE words; none if there are fewer. The words
+    are bound to a lambda's variable, or they would be split anew at each use."""
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
+        return F.when(F.size(w) >= SHINGLE, runs).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(w), of), F.lit(0))
+
 
+def _banded(windows: DataFrame, size: int, bands: int) -> DataFrame:
+    """A row for each window (column x: p and up to ``size`` hashes h) and band,
+    with the least hash b; least() passes over the nulls of a short window."""
+    keep = [c for c in windows.columns if c != "x"]
+    wide = windows.select(*keep, F.col("x.p").alias("p"), *(F.get("x.h", F.lit(k)).alias(f"h{k}") for k in range(size)))
+    each = wide.select("*", F.explode(F.array(*(_band(k) for k in range(bands)))).alias("c"))
+    return each.select(*keep, "p", F.least(*(F.col(f"h{k}").bitwiseXOR(F.col("c")) for k in range(size))).alias("b"))
 
-def _signature(hashes: list[Column], bands: int) -> Column:
-    """The least hash of each band; least() passes over nulls, past the last shingle."""
-    return F.array(*(F.least(*(h.bitwiseXOR(_band(k)) for h in hashes)) for k in range(bands)))
+
+def _windows(s: Column, size: int, step: int) -> Column:
+    """Windows of ``size`` shingles at each ``step``, and the last one."""
+    last = F.greatest(F.lit(0), F.size(s) - size)
+    starts = F.array_union(F.sequence(F.lit(0), last, F.lit(step)), F.array(last))
+    return F.transform(starts, lambda p: F.struct(p.alias("p"), F.slice(s, p + 1, size).alias("h")))
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
@@ -83,22 +101,14 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     return t.select("license", "t", F.size("t").alias("n")).filter("n > 0")
 
 
-def _template_bands(t: DataFrame, size: int, bands: int) -> DataFrame:
-    """(license, t, n, band): a row for each band of each window of a template."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - size))
-    w = t.select("license", "t", "n", F.explode(starts).alias("p"))
-    hashes = [F.get("t", F.col("p") + k) for k in range(size)]
-    return w.select("license", "t", "n", F.explode(_signature(hashes, bands)).alias("band")).distinct()
-
-
-def _candidates(docs: DataFrame, t: DataFrame, size: int, step: int, bands: int) -> DataFrame:
-    """Windows of the documents that share a band with a template."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("s") - size), F.lit(step))
-    last = F.array_union(starts, F.array(F.greatest(F.lit(0), F.size("s") - size)))
-    windows = docs.filter(F.size("s") > 0).select("id", "s", F.explode(last).alias("p"))
-    hashes = [F.get("s", F.col("p") + k) for k in range(size)]
-    signed = windows.select("id", "s", "p", F.explode(_signature(hashes, bands)).alias("b"))
-    return signed.join(F.broadcast(_template_bands(t, size, bands)), F.col("b") == F.col("band")).select("id", "s", "p", "license", "t", "n")
+def _candidates(rows: DataFrame, t: DataFrame, size: int, step: int, bands: int) -> DataFrame:
+    """(id, key, p, license, t, n): windows of the documents that share a band
+    with a template's window. Rows are narrow here: the shingles of a document
+    stay behind."""
+    mine = _banded(t.select("license", "t", "n", F.explode(_windows(F.col("t"), size, 1)).alias("x")), size, bands)
+    mine = mine.select("license", "t", "n", F.col("b").alias("band")).distinct()
+    theirs = _banded(rows.select("id", "key", F.explode(_windows(F.col("s"), size, step)).alias("x")), size, bands)
+    return theirs.join(F.broadcast(mine), F.col("b") == F.col("band")).select("id", "key", "p", "license", "t", "n")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
@@ -113,10 +123,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     Texts are scanned whole.
     """
     t = template_table(docs.sparkSession, templates or TEMPLATES)
-    rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", _shingles(F.col("w")).alias("s"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    rows = texts.select("id", "key", _shingles(words(F.col("text"))).alias("s"))
+    rows = rows.filter(F.size("s") > 0)
     short = _candidates(rows, t.filter(F.col("n") < SPLIT), *SHORT)
     long = _candidates(rows, t.filter(F.col("n") >= SPLIT), *LONG)
-    met = short.unionByName(long)
+    met = written(short.unionByName(long).groupBy("id", "key", "p", "license", "t", "n").agg(F.lit(1).alias("one")), "license-windows")
+    own = met.select(F.col("id").alias("i"), F.col("key").alias("k"), "p", "license", "t", "n")
+    again = texts.join(own.select("i", "k").distinct(), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+    again = again.dropDuplicates(["id", "key"]).select("id", "key", _shingles(words(F.col("text"))).alias("s"))
+    met = again.join(own, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
     low = F.greatest(F.lit(1), F.col("p") + 1 - F.col("n"))
     around = F.slice("s", low, 2 * F.col("n") + LONG[0])
     share = F.size(F.array_intersect(around, "t")) / F.col("n")
