@@ -273,6 +273,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a window of an item. Documents are told by
+    id and a digest of id and text, so that repeated and null ids do no harm;
+    only the (few) contaminated ones' keys are joined."""
+    key = F.struct(F.col(id_col).alias("i"), F.xxhash64(id_col, text_col).alias("h"))
+    found = contamination(docs.select(key.alias("k"), F.col(text_col).alias("t")), items, "k", "t", item_text_col=item_text_col)
+    bad = written(found.filter("contaminated").select(F.col("k.i").alias("_i"), F.col("k.h").alias("_h")).distinct(), "contaminated")
+    keyed = docs.withColumn("_clean_h", F.xxhash64(id_col, text_col))
+    return keyed.join(bad, (F.col("_clean_h") == F.col("_h")) & keyed[id_col].eqNullSafe(F.col("_i")), "left_anti").drop("_clean_h")
+
+
 SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, licenses, nearest, quality, simhash, token_counts, warc
+from . import byte_bpe, decontaminate, language_id, licenses, nearest, quality, simhash, token_counts, url_rules, warc
 from ._common import table
 
 
@@ -22,6 +22,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_nearest": op2_nearest,
     "op3_token_counts": op3_token_counts,
+    "op4_url_rules": op4_url_rules,
     "op5_licenses": op5_licenses,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
