@@ -281,7 +281,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     found = contamination(docs.select(key.alias("k"), F.col(text_col).alias("t")), items, "k", "t", item_text_col=item_text_col)
     bad = written(found.filter("contaminated").select(F.col("k.i").alias("_i"), F.col("k.h").alias("_h")).distinct(), "contaminated")
     keyed = docs.withColumn("_clean_h", F.xxhash64(id_col, text_col))
-    return keyed.join(bad, (F.col("_clean_h") == F.col("_h")) & keyed[id_col].eqNullSafe(F.col("_i")), "left_anti").drop("_clean_h")
+    return keyed.join(bad, (keyed["_clean_h"] == bad["_h"]) & keyed[id_col].eqNullSafe(bad["_i"]), "left_anti").drop("_clean_h")
 
 
 SQL = """
