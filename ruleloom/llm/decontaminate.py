@@ -76,7 +76,7 @@ class _Segment:
         order = np.argsort(t, kind="stable")
         t, docs, positions = t[order], np.concatenate(self.docs)[order], np.concatenate(self.positions)[order]
         found, starts = np.unique(t, return_index=True)
-        names = self.names or list(self.own)
+        names = list(self.own) if self.names is None else self.names
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
         out = pa.RecordBatch.from_arrays(
             [pa.array([seg]), one(self.ids, self.id_type), one(self.n, pa.int32()), one([names[i] for i in found], pa.binary()), one(np.append(starts, len(t)).astype(np.int32), pa.int32()), one(docs, pa.int32()), one(positions, pa.int32())],
