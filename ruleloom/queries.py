@@ -13,12 +13,15 @@ from .operators import clusters as C
 from .operators import labels as L
 from .operators import metrics as M
 from .operators import pairs as P
+from .operators import ranking as R
 from .operators import splits as S
 from .operators.select import coverage_mistake_select
 from .plans import experiments as X
+from .plans.modules import DecisionForest, DecisionTreeMod, IMMBase
 from .plans.mining import ClassAssociationMiner, PointwiseMiner
 from .plans.sets import CBA, IDS, DSCluster, ids_objective, ids_statistics
 from .plans.trees import DecisionTree, ExkmcTree, ExplanationTree, ID3Tree, ImmTree, ObliqueTree, ShallowTree, nearest_center
+from .sources import datasets
 from .sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -552,6 +555,54 @@ def outlier_mask(spark, d):
     return X.outlier_mask(customers(spark, d), ["x0", "x1"], CENTERS, 0.1)
 
 
+@query("tie_break", "SELECT p_size, min(p_partkey) AS p_partkey FROM part JOIN (SELECT p_size, min(p_retailprice) AS p_retailprice FROM part GROUP BY 1) USING (p_size, p_retailprice) GROUP BY 1")
+def tie_break(spark, d):
+    p = _read(spark, d, "part").select("p_size", "p_retailprice", "p_partkey")
+    return R.best_by(p, ["p_size"], "p_retailprice", "p_partkey", "p_partkey").select("p_size", "p_partkey")
+
+
+@query("value_ranks", f"SELECT id, 0 AS feature, x0 AS value, row_number() OVER (ORDER BY x0, id)::INT AS rank FROM {PART} UNION ALL SELECT id, 1, x1, row_number() OVER (ORDER BY x1, id)::INT FROM {PART}")
+def value_ranks(spark, d):
+    return R.value_ranks(parts(spark, d), ["x0", "x1"])
+
+
+@query("knn_impute")
+def knn_impute(spark, d):
+    p = parts(spark, d).withColumn("x1", F.when(F.col("id") % 50 != 0, F.col("x1")))
+    return T.knn_impute(p, ["x0", "x1"], 3).select("id", "x0", "x1")
+
+
+@query("pca")
+def pca(spark, d):
+    return T.pca(embedded(spark, d), E4, 2)
+
+
+@query("aniso_points")
+def aniso_points(spark, d):
+    return datasets.aniso(spark)[0]
+
+
+@query("imm_clustering")
+def imm_clustering(spark, d):
+    return IMMBase(["x0", "x1"], centers=_pcenters()).assign(parts(spark, d))
+
+
+@query("max_rules")
+def max_rules(spark, d):
+    p = parts(spark, d)
+    return X.max_rules(p, {"id3": lambda k: DecisionTreeMod(ID3Tree(["x0", "x1"], max_leaf_nodes=k)).fit(p)}, [2, 3], 1.0)
+
+
+@query("decision_forest")
+def decision_forest(spark, d):
+    return _rule_rows(spark, DecisionForest(["x0", "x1"], n_trees=2, max_leaf_nodes=3).fit(parts(spark, d)))
+
+
+@query("decision_grid")
+def decision_grid(spark, d):
+    return X.decision_grid(customers(spark, d), "x0", "x1", RULES, 20)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over customers, with what each covers, gets right and gets wrong."""
     p, hits, rc, _ = _hits(spark, sf_dir)
