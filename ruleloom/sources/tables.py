@@ -89,17 +89,17 @@ def knn_impute(df: DataFrame, features: Sequence[str], k: int = 5) -> DataFrame:
     blocks = 8
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     some_null = F.greatest(*(F.col(f).isNull().cast("int") for f in features)) == 1
-    holes = df.filter(some_null).select(F.col("id").alias("i"), *(F.col(f).alias(f"a_{f}") for f in features), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    full = df.select(F.col("id").alias("j"), *features, block("id").alias("b"))
+    holes = df.filter(some_null).select(F.col("id").alias("_i"), *(F.col(f).alias(f"a_{f}") for f in features), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    full = df.select(F.col("id").alias("_j"), *features, block("id").alias("_b"))
     both = [F.col(f).isNotNull() & F.col(f"a_{f}").isNotNull() for f in features]
     shared = sum((x.cast("int") for x in both), F.lit(0))
     d2 = sum((F.when(x, (F.col(f) - F.col(f"a_{f}")) ** 2).otherwise(0.0) for f, x in zip(features, both, strict=True)), F.lit(0.0))
-    pairs = holes.join(full, "b").filter("i != j").withColumn("_n", shared).filter("_n > 0").withColumn("_d", d2 * len(features) / F.col("_n"))
+    pairs = holes.join(full, "_b").filter("_i != _j").withColumn("_n", shared).filter("_n > 0").withColumn("_d", d2 * len(features) / F.col("_n"))
     out = df
     for f in features:
-        w = Window.partitionBy("i").orderBy("_d", "j")
+        w = Window.partitionBy("_i").orderBy("_d", "_j")
         near = pairs.filter(F.col(f"a_{f}").isNull() & F.col(f).isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-        means = near.groupBy(F.col("i").alias("id")).agg(F.avg(f).alias("_m"))
+        means = near.groupBy(F.col("_i").alias("id")).agg(F.avg(f).alias("_m"))
         out = out.join(means, "id", "left").withColumn(f, F.coalesce(f, "_m")).drop("_m")
     return out
 
