@@ -46,7 +46,7 @@ def dbscan(points: DataFrame, features: Sequence[str], eps: float, n_core: int)
     """(id, label): clusters are numbered by their least core point; a border
     point joins the lowest cluster with a core point near it; noise is -1."""
     spark = points.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     near = keep(neighbours(points, features, eps))
     counts = near.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n"))
     core = keep(points.select("id").join(counts, "id", "left").filter(F.coalesce("n", F.lit(0)) + 1 >= n_core).select("id"))
@@ -64,7 +64,7 @@ def dbscan(points: DataFrame, features: Sequence[str], eps: float, n_core: int)
 def single_linkage(dist: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, label): components of the spanning tree without its k - 1 longest edges."""
     spark = dist.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     tree = keep(spanning_tree(dist))
     gone = tree.orderBy(F.desc("d"), F.desc("i"), F.desc("j")).limit(max(0, k - 1))
     links = tree.join(gone, ["i", "j"], "left_anti").select(F.col("i").alias("ci"), F.col("j").alias("cj"))
