@@ -42,16 +42,20 @@ class Condition:
         return len(self.features) == 1 and self.weights[0] == 1.0
 
     def column(self) -> Column:
-        """False, not null, where a feature is null or NaN. An axis condition
-        is a plain comparison, so that it reaches the Parquet scan."""
+        """For filters and when(): never true where a feature is null or NaN
+        (there it may be null). An axis condition is a plain comparison, so
+        that it reaches the Parquet scan."""
         if self.is_axis:
             value = F.col(self.features[0])
         else:
             value = reduce(lambda a, b: a + b, (F.lit(w) * F.col(f) for f, w in zip(self.features, self.weights, strict=True)))
         if self.direction < 0:
-            return F.coalesce(value <= F.lit(self.threshold), F.lit(False))
-        # NaN is over everything for Spark
-        return F.coalesce((value > F.lit(self.threshold)) & ~F.isnan(value.cast("double")), F.lit(False))
+            return value <= F.lit(self.threshold)  # NaN is over everything for Spark
+        return (value > F.lit(self.threshold)) & ~F.isnan(value.cast("double"))
+
+    def evaluate(self) -> Column:
+        """True or false for every row."""
+        return F.coalesce(self.column(), F.lit(False))
 
     def sql(self) -> str:
         left = " + ".join(f'"{f}"' if w == 1 else f'{w!r} * "{f}"' for f, w in zip(self.features, self.weights, strict=True))
@@ -87,7 +91,9 @@ class Rule:
     label: int
 
     def column(self) -> Column:
-        return reduce(lambda a, b: a & b, (c.column() for c in self.conditions), F.lit(True))
+        """The conjunction, for filters and when(); see Condition.column."""
+        columns = [c.column() for c in self.conditions]
+        return reduce(lambda a, b: a & b, columns) if columns else F.lit(True)
 
     def sql(self) -> str:
         return " AND ".join(c.sql() for c in self.conditions) or "TRUE"

@@ -21,6 +21,21 @@ def test_axis_conditions_and_nan(simple):
     assert ids(simple.filter(Condition.axis("x0", 3, 1).column())) == [2, 3]
 
 
+def test_evaluate_is_never_null(simple):
+    for direction in (-1, 1):
+        got = [r[0] for r in simple.orderBy("id").select(Condition.axis("x0", 3, direction).evaluate()).collect()]
+        assert got == [direction < 0] * 2 + [direction > 0] * 2 + [False] * 2
+
+
+def test_axis_rules_reach_the_scan(spark, tmp_path, simple):
+    simple.write.parquet(str(tmp_path / "t"))
+    rule = Rule((Condition.axis("x0", 2, 1), Condition.axis("x0", 6)), 0)
+    df = spark.read.parquet(str(tmp_path / "t")).filter(rule.column()).select("id")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(x0,2.0)" in plan and "LessThanOrEqual(x0,6.0)" in plan and "x1" not in plan
+    assert ids(df) == [1, 2]
+
+
 def test_oblique(simple):
     c = Condition(("x0", "x1"), (-1.0, 1.0), 0.0, 1)  # x1 > x0
     assert ids(simple.filter(c.column())) == [0]
