@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ruleloom.llm import byte_bpe, decontaminate, language_id, quality, simhash
 from ruleloom.llm._common import table, written
