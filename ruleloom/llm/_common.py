@@ -96,10 +96,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
         yield b.slice(start)
 
 
-def local_n_tasks(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism)
-
-
 def class_sample(df: DataFrame, key: Column, label: str, most: int, seed: int = 7) -> tuple[DataFrame, dict]:
     """Rows drawn by a hash of ``key`` so that each value of ``label`` keeps
     about ``most`` of them (all, if it has fewer), and the counts by label.
