@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from itertools import product
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +82,3 @@ def grid_search(points: DataFrame, features: Sequence[str], settings: Sequence[t
         if not math.isnan(s) and (best is None or s > best[0]):
             best = (s, (eps, n_core))
     return None if best is None else best[1]
-
-
-__all__ = ["core_points", "dbscan", "grid_search", "kmeans", "neighbours", "single_linkage", "vector_to_array"]

@@ -47,8 +47,9 @@ def oblique(features: Sequence[str]) -> list[Projection]:
 
 
 def candidates(points: DataFrame, projections: Sequence[Projection], labels: Sequence[int], node: Column | None = None, bins: int | None = None) -> DataFrame:
-    """(node, feature, threshold, l: counts of labels at most the threshold, r:
-    counts over it), for every value but each node's highest."""
+    """(node, feature, threshold, above: the next value, l: counts of labels at
+    most the threshold, r: counts over it), for every value but each node's
+    highest."""
     node = F.lit(0) if node is None else node
     cells = points.select(node.alias("node"), F.col("label"), F.posexplode(F.array(*(p.column() for p in projections))).alias("feature", "value"))
     cells = cells.filter(F.col("node").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
@@ -58,8 +59,8 @@ def candidates(points: DataFrame, projections: Sequence[Projection], labels: Seq
     counts = cells.groupBy("node", "feature", "value").agg(*(F.count_if(F.col("label") == y).alias(f"c{k}") for k, y in enumerate(labels)))
     whole = Window.partitionBy("node", "feature")
     upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    summed = counts.select("node", "feature", F.col("value").alias("threshold"), F.array(*(F.sum(f"c{k}").over(upto) for k in range(len(labels)))).alias("l"), F.array(*(F.sum(f"c{k}").over(whole) for k in range(len(labels)))).alias("t"))
-    out = summed.select("node", "feature", "threshold", "l", F.zip_with("t", "l", lambda t, a: t - a).alias("r"))
+    summed = counts.select("node", "feature", F.col("value").alias("threshold"), F.lead("value").over(whole.orderBy("value")).alias("above"), F.array(*(F.sum(f"c{k}").over(upto) for k in range(len(labels)))).alias("l"), F.array(*(F.sum(f"c{k}").over(whole) for k in range(len(labels)))).alias("t"))
+    out = summed.select("node", "feature", "threshold", "above", "l", F.zip_with("t", "l", lambda t, a: t - a).alias("r"))
     return out.filter(_sum("r") > 0)
 
 

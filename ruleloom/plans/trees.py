@@ -89,30 +89,16 @@ class Tree:
         try:
             best = splits.best_splits(found, self.gain(labels, n), self.min_points_leaf)
             chosen = found.join(F.broadcast(best), ["node", "feature", "threshold"])  # a row for each of the round's leaves
-            rows = chosen.select("node", "gain", "feature", "threshold", "l", "r").collect()
-            above = self._next_values(found, rows) if self.midpoints else {}
+            rows = chosen.select("node", "gain", "feature", "threshold", "above", "l", "r").collect()
         finally:
             found.unpersist()
         for r in rows:
             node, p = by[r["node"]], projections[r["feature"]]
-            t = r["threshold"]
-            if r["node"] in above:
-                t = (t + above[r["node"]]) / 2
+            t = (r["threshold"] + r["above"]) / 2 if self.midpoints else r["threshold"]
             condition = Condition(p.features, p.weights, float(t), -1)
             sides = [self._node(node.depth + 1, dict(zip(labels, r[c], strict=True))) for c in ("l", "r")]
             heapq.heappush(heap, (-r["gain"], node.node_id, node, condition, *sides))
 
-    @staticmethod
-    def _next_values(found: DataFrame, rows) -> dict[int, float]:
-        """The next higher value of the split feature in each node; it may be the
-        node's highest, which is no candidate but ends the last one's right side."""
-        out = {}
-        for r in rows:
-            higher = found.filter((F.col("node") == r["node"]) & (F.col("feature") == r["feature"]) & (F.col("threshold") > r["threshold"])).agg(F.min("threshold")).first()[0]
-            if higher is not None:
-                out[r["node"]] = higher
-        return out
-
     def predict(self, points: DataFrame, leaf_labels: bool = False) -> DataFrame:
         return predict_tree(points, self.root, leaf_labels)
 

@@ -117,6 +117,11 @@ def test_trees_part_the_points(spark):
         DecisionTree(["f0"], criterion="mse").fit(p)
 
 
+def test_cart_cuts_midway_also_below_the_highest_value(spark):
+    p = points(spark, [(0, 1.0, 0), (1, 1.0, 0), (2, 4.0, 1)])
+    assert DecisionTree(["f0"], max_leaf_nodes=2).fit(p).root.condition.threshold == 2.5
+
+
 def test_pure_nodes_are_not_split(spark):
     assert len(ID3Tree(["f0", "f1"]).fit(points(spark, grid())).root.leaves()) == 3
 
