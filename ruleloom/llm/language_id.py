@@ -121,7 +121,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many of a task's documents each bucket is; at BUCKETS, how many there are."""
     df = np.zeros(BUCKETS + 1, np.int64)
-    for b in slices(batches, "_text", 1_000_000):
+    for b in slices(batches, "_text", 300_000):
         texts = b.column("_text").to_pylist()
         buckets, doc, _ = grams(texts)
         order = np.argsort(doc, kind="stable")
@@ -136,7 +136,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "_text", 1_000_000):
+    for b in slices(batches, "_text", 300_000):
         buckets, doc, _ = grams(b.column("_text").to_pylist())
         ids, shares = [], []
         for k in range(b.num_rows):
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", label_col: str =
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m: Model = model.value
     table = m.table()
-    for b in slices(batches, "_text", 1_000_000):
+    for b in slices(batches, "_text", 300_000):
         texts = b.column("_text").to_pylist()
         if m.languages:
             logits, n_letters = m.logits(texts, table)
@@ -225,7 +225,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         m = shared.value
         table = m.table()
-        for b in slices(batches, text_col, 1_000_000):
+        for b in slices(batches, text_col, 300_000):
             if not m.languages:
                 continue
             logits, n_letters = m.logits(b.column(b.schema.get_field_index(text_col)).to_pylist(), table)
