@@ -17,14 +17,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import class_sample, written
+from ._common import written
 
 #: Stated rules: (host, path prefix) to verdict.
 RULES = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("example.com", "/de/"): "block", ("org", "/fr/"): "allow"}
 #: Least share of the labelled URLs that a combination is in, and least share of these that have the verdict.
 SUPPORT, CONFIDENCE = 0.01, 0.8
-#: Labelled URLs of each verdict that rules are mined from, at most about.
-PER_CLASS = 50_000
 #: Distinct tokens that combinations are built from: the most frequent ones.
 VOCABULARY = 64
 DEFAULT = "allow"
@@ -69,21 +67,21 @@ def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> list[str]:
     """The most frequent tokens. Of tokens that always stand together one
     speaks for all, so that their combinations do not multiply."""
     seen = rows.select(F.explode("t").alias("token"), F.xxhash64("t").alias("r"))
-    counts = seen.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("r")).alias("a"), F.sum(F.shiftright("r", 20)).alias("b"))
+    counts = seen.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("r")).alias("a"), F.sum(F.shiftright("r", 20).cast("decimal(20,0)")).alias("b"))
     groups = counts.groupBy("n", "a", "b").agg(F.min("token").alias("token"))
     return [r["token"] for r in groups.orderBy(F.desc("n"), "token").limit(most).collect()]
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, per_class: int = PER_CLASS, most: int = VOCABULARY) -> list[tuple[tuple[str, ...], str, float, float]]:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = VOCABULARY) -> list[tuple[tuple[str, ...], str, float, float]]:
     """Rules (tokens, verdict, confidence, support) from rows (t: tokens, y:
-    verdict), the surest first."""
-    drawn, counts = class_sample(labelled, F.array_join("t", "\n"), "y", per_class)
-    if not counts:
+    verdict), the surest first. All rows are mined, so that supports and
+    confidences are those of the data."""
+    rows = written(labelled.select("t", "y"), "url-labelled")
+    if rows.isEmpty():
         return []
-    drawn = written(drawn.select("t", "y"), "url-labelled")
-    words = vocabulary(drawn, most)
+    words = vocabulary(rows, most)
     items = F.concat(F.filter("t", lambda x: x.isin(words) if words else F.lit(False)), F.array(F.concat(F.lit("y:"), "y")))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(drawn.select(items.alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows.select(items.alias("items")))
     found = model.associationRules.filter(F.get("consequent", F.lit(0)).startswith("y:") & ~F.exists("antecedent", lambda x: x.startswith("y:")))
     rules = [(tuple(sorted(r["antecedent"])), r["consequent"][0][2:], r["confidence"], r["support"]) for r in found.collect()]
     by = {(a, v): c for a, v, c, _ in rules}
@@ -110,7 +108,7 @@ def judge(rows: DataFrame, rules: list[tuple[tuple[str, ...], str, float, float]
     return F.coalesce(F.get(verdicts, first), F.lit(default))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[tuple[str, str], str] | None = None, support: float = SUPPORT, confidence: float = CONFIDENCE, per_class: int = PER_CLASS) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[tuple[str, str], str] | None = None, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Returns (id_col, host, path, rule, verdict), a row for each row.
 
     ``rule`` is the longest stated rule that fits, or null; the verdict is its
@@ -125,5 +123,5 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     parts = base.select("id", "_u", host(F.col("_u")).alias("host"), path(F.col("_u")).alias("path"))
     name, verdict = stated(F.col("host"), F.col("path"), rules)
     rows = parts.select("id", "host", "path", name.alias("rule"), verdict.alias("y"), tokens(F.col("host"), F.col("path"), F.coalesce("_u", F.lit(""))).alias("t"))
-    mined = mine(rows.filter(F.col("y").isNotNull()).select("t", "y"), support, confidence, per_class)
+    mined = mine(rows.filter(F.col("y").isNotNull()).select("t", "y"), support, confidence)
     return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("y", judge(rows, mined)).alias("verdict"))

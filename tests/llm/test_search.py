@@ -170,3 +170,12 @@ def test_tokens_that_always_meet_do_not_multiply(spark):
     df = spark.createDataFrame([([f"p:{k}" for k in range(40)] + [f"p:u{i}"], "block") for i in range(200)] + [(["p:z"], "allow")] * 50, "t array<string>, y string")
     rules = url_rules.mine(df)
     assert 0 < len(rules) < 20
+
+
+def test_rules_are_mined_from_all_labelled_urls(spark):
+    # more URLs than a sample would hold, in few patterns, and verdicts of unequal size
+    n, k = 120_000, F.col("id") % 6
+    df = spark.range(n).select(F.array(F.concat(F.lit("p:"), k.cast("string"))).alias("t"), F.when(k < 5, "block").otherwise("allow").alias("y"))
+    rules = url_rules.mine(df)
+    assert {(r[0], r[1]) for r in rules} == {((f"p:{i}",), "block" if i < 5 else "allow") for i in range(6)}
+    assert all(r[2] == 1 and r[3] == pytest.approx(1 / 6) for r in rules)
