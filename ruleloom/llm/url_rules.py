@@ -13,6 +13,8 @@ they fit, and these verdicts are the labels that the rest is learnt from.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,6 @@ from ._common import written
 RULES = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("example.com", "/de/"): "block", ("org", "/fr/"): "allow"}
 #: Least share of the labelled URLs that a combination is in, and least share of these that have the verdict.
 SUPPORT, CONFIDENCE = 0.01, 0.8
-#: Distinct tokens that combinations are built from: the most frequent ones.
-VOCABULARY = 64
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,23 +63,33 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(h, p, q))
 
 
-def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """The most frequent tokens. Of tokens that always stand together one
-    speaks for all, so that their combinations do not multiply."""
+def vocabulary(rows: DataFrame, least: int = 1) -> dict[str, str]:
+    """The tokens that are in ``least`` rows or more, each with the one that
+    speaks for it: of tokens that always stand together the least does, so
+    that their combinations do not multiply."""
     seen = rows.select(F.explode("t").alias("token"), F.xxhash64("t").alias("r"))
     counts = seen.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("r")).alias("a"), F.sum(F.shiftright("r", 20).cast("decimal(20,0)")).alias("b"))
-    groups = counts.groupBy("n", "a", "b").agg(F.min("token").alias("token"))
-    return [r["token"] for r in groups.orderBy(F.desc("n"), "token").limit(most).collect()]
+    speaks: dict[tuple, str] = {}
+    # there are at most as many as a row has tokens on average, over the least share
+    return {r["token"]: speaks.setdefault((r["n"], r["a"], r["b"]), r["token"]) for r in counts.filter(F.col("n") >= least).orderBy("token").collect()}
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = VOCABULARY) -> list[tuple[tuple[str, ...], str, float, float]]:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
     """Rules (tokens, verdict, confidence, support) from rows (t: tokens, y:
-    verdict), the surest first. All rows are mined, so that supports and
-    confidences are those of the data."""
+    verdict), the surest first; see ``learn``."""
+    return learn(labelled, support, confidence)[0]
+
+
+def learn(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[list[tuple[tuple[str, ...], str, float, float]], dict[str, str]]:
+    """The rules, and the tokens with the one that speaks for each in them.
+    All rows are mined, so that supports and confidences are those of the data;
+    the least support alone bounds the tokens."""
     rows = written(labelled.select("t", "y"), "url-labelled")
-    if rows.isEmpty():
-        return []
-    words = vocabulary(rows, most)
+    n = rows.count()
+    if not n:
+        return [], {}
+    same = vocabulary(rows, math.ceil(support * n))
+    words = sorted(set(same.values()))
     items = F.concat(F.filter("t", lambda x: x.isin(words) if words else F.lit(False)), F.array(F.concat(F.lit("y:"), "y")))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows.select(items.alias("items")))
     found = model.associationRules.filter(F.get("consequent", F.lit(0)).startswith("y:") & ~F.exists("antecedent", lambda x: x.startswith("y:")))
@@ -87,13 +97,14 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     by = {(a, v): c for a, v, c, _ in rules}
     # a rule goes if some of its tokens alone are as sure of the same verdict
     kept = [r for r in rules if not any(by.get((r[0][:k] + r[0][k + 1 :], r[1]), -1) >= r[2] for k in range(len(r[0])))]
-    return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), r[0], r[1]))
+    return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), r[0], r[1])), same
 
 
-def judge(rows: DataFrame, rules: list[tuple[tuple[str, ...], str, float, float]], default: str = DEFAULT) -> Column:
+def judge(rows: DataFrame, rules: list[tuple[tuple[str, ...], str, float, float]], default: str = DEFAULT, same: dict[str, str] | None = None) -> Column:
     """The verdict of the surest rule that fits column t, by a map from each
     token to the rules it is in; the number of rules is bounded by the
-    vocabulary's frequent combinations, not by the data."""
+    frequent combinations, not by the data. A token that ``same`` has another
+    speak for counts as that one: a rule fits with any token of a group."""
     if not rules:
         return F.lit(default)
     index: dict[str, list[int]] = {}
@@ -102,7 +113,9 @@ def judge(rows: DataFrame, rules: list[tuple[tuple[str, ...], str, float, float]
             index.setdefault(token, []).append(i)
     postings = F.create_map(*(x for token, at in index.items() for x in (F.lit(token), F.array(*map(F.lit, at)))))
     sizes, verdicts = F.array(*(F.lit(len(r[0])) for r in rules)), F.array(*(F.lit(r[1]) for r in rules))
-    met = F.flatten(F.transform("t", lambda x: F.coalesce(F.element_at(postings, x), F.array().cast("array<int>"))))
+    others = [x for token, by in (same or {}).items() if token != by and by in index for x in (F.lit(token), F.lit(by))]
+    named = F.transform("t", lambda x: F.coalesce(F.element_at(F.create_map(*others), x), x)) if others else F.col("t")
+    met = F.flatten(F.transform(F.array_distinct(named), lambda x: F.coalesce(F.element_at(postings, x), F.array().cast("array<int>"))))
     fits = lambda m: F.array_min(F.filter(F.array_distinct(m), lambda i: F.size(F.filter(m, lambda j: j == i)) == F.get(sizes, i)))
     first = F.get(F.transform(F.array(met), fits), F.lit(0))
     return F.coalesce(F.get(verdicts, first), F.lit(default))
@@ -123,5 +136,5 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     parts = base.select("id", "_u", host(F.col("_u")).alias("host"), path(F.col("_u")).alias("path"))
     name, verdict = stated(F.col("host"), F.col("path"), rules)
     rows = parts.select("id", "host", "path", name.alias("rule"), verdict.alias("y"), tokens(F.col("host"), F.col("path"), F.coalesce("_u", F.lit(""))).alias("t"))
-    mined = mine(rows.filter(F.col("y").isNotNull()).select("t", "y"), support, confidence)
-    return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("y", judge(rows, mined)).alias("verdict"))
+    mined, same = learn(rows.filter(F.col("y").isNotNull()).select("t", "y"), support, confidence)
+    return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("y", judge(rows, mined, same=same)).alias("verdict"))

@@ -179,3 +179,16 @@ def test_rules_are_mined_from_all_labelled_urls(spark):
     rules = url_rules.mine(df)
     assert {(r[0], r[1]) for r in rules} == {((f"p:{i}",), "block" if i < 5 else "allow") for i in range(6)}
     assert all(r[2] == 1 and r[3] == pytest.approx(1 / 6) for r in rules)
+
+
+def test_the_support_alone_bounds_the_tokens(spark):
+    df = spark.range(8000).select(F.array(F.concat(F.lit("p:"), (F.col("id") % 80).cast("string"))).alias("t"), F.when(F.col("id") % 80 < 40, "block").otherwise("allow").alias("y"))
+    assert {r[0][0] for r in url_rules.mine(df)} == {f"p:{i}" for i in range(80)}
+
+
+def test_any_token_of_a_group_fits_its_rule(spark):
+    urls = ["http://a.net/x/y?k=1"] * 30 + ["http://b.example.net/en/z"] * 30
+    urls += ["http://c.org/y", "http://c.org/?k=2", "http://c.org/z"]  # no stated rule fits; y and k stood with net and x only
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge_urls(df).collect()}
+    assert [got[i] for i in (60, 61, 62)] == [(None, "block"), (None, "block"), (None, "allow")]
