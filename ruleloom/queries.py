@@ -62,6 +62,11 @@ def embedded(spark, d) -> DataFrame:
     return T.points(_read(spark, d, "embeddings"), "vec_id", {f"x{k}": f"embedding[{k}]" for k in range(4)}, "label")
 
 
+def embedded_whole(spark, d) -> DataFrame:
+    """All components, which the SQL twins' views have the first few of."""
+    return T.points(_read(spark, d, "embeddings"), "vec_id", {f"x{k}": f"embedding[{k}]" for k in range(64)}, "label")
+
+
 def _rule(label: int, **bounds: tuple[float | None, float | None]) -> Rule:
     """Bounds (lower, upper] of each feature."""
     out = []
@@ -291,8 +296,56 @@ def pairs_within(spark, d):
 
 @query("density_distance")
 def density_distance(spark, d):
-    p = embedded(spark, d).filter("label < 2")
-    return _rounded(P.density_distance(P.distances(p, E4), 3), "d")
+    return _rounded(P.density_distance(P.distances(embedded_whole(spark, d), E64), 3), "d")
+
+
+# the same over whole vectors
+
+E64 = [f"x{k}" for k in range(64)]
+
+
+def _edist_whole(spark, d):
+    p = embedded_whole(spark, d)
+    return P.distances(p, E64), p.select("id", F.col("label").alias("cluster"))
+
+
+@query("silhouette_whole")
+def silhouette_whole(spark, d):
+    return _rounded(P.silhouette(*_edist_whole(spark, d)), "silhouette")
+
+
+@query("max_intra_distance_whole")
+def max_intra_whole(spark, d):
+    return _rounded(P.max_intra(*_edist_whole(spark, d)), "max_intra")
+
+
+@query("min_inter_distance_whole")
+def min_inter_whole(spark, d):
+    return _rounded(P.min_inter(*_edist_whole(spark, d)), "min_inter")
+
+
+@query("mutual_reachability_whole")
+def mutual_reachability_whole(spark, d):
+    r = P.mutual_reachability(_edist_whole(spark, d)[0], 5)
+    return _rounded(r.groupBy("i").agg(F.min("d").alias("least"), F.avg("d").alias("mean")), "least", "mean")
+
+
+@query("knn_curve_whole")
+def knn_curve_whole(spark, d):
+    return _rounded(P.knn_curve(_edist_whole(spark, d)[0], 4), "distance")
+
+
+@query("pairs_within_whole")
+def pairs_within_whole(spark, d):
+    dist, dc = _edist_whole(spark, d)
+    return P.within_threshold(dist, dc.filter("cluster = 1"), 0.5)
+
+
+@query("update_centers_whole")
+def update_centers_whole(spark, d):
+    p = embedded_whole(spark, d)
+    old = p.select(F.col("label").alias("cluster")).distinct().select("cluster", *(F.lit(0.0).alias(x) for x in E64))
+    return _rounded(L.update_centers(p.select("id", *E64), E64, old, p.select("id", F.col("label").alias("cluster"))), *E64)
 
 
 # scaling and binning
@@ -509,15 +562,20 @@ def dbscan_core(spark, d):
     return C.core_points(embedded(spark, d), ["x0", "x1"], 0.02, 5)
 
 
+@query("dbscan_core_whole")
+def dbscan_core_whole(spark, d):
+    return C.core_points(embedded_whole(spark, d), E64, 0.02, 5)
+
+
 @query("dbscan")
 def dbscan(spark, d):
-    return C.dbscan(embedded(spark, d), ["x0", "x1"], 0.02, 5)
+    return C.dbscan(embedded_whole(spark, d), E64, 0.02, 5)
 
 
 @query("single_linkage")
 def single_linkage(spark, d):
-    p = embedded(spark, d).filter("label < 3")
-    return C.single_linkage(P.distances(p, E4), p, 4)
+    p = embedded_whole(spark, d)
+    return C.single_linkage(P.distances(p, E64), p, 4)
 
 
 @query("kmeans")
@@ -574,7 +632,7 @@ def knn_impute(spark, d):
 
 @query("pca")
 def pca(spark, d):
-    return T.pca(embedded(spark, d), E4, 2)
+    return T.pca(embedded_whole(spark, d), E64, 2)
 
 
 @query("aniso_points")

@@ -41,3 +41,22 @@ def test_entry_imports_and_runs(spark):
 
     assert e.entry(spark).count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_vectors_are_brute_force(spark):
+    import numpy as np
+    import pyarrow.dataset as ds
+
+    t = ds.dataset(f"{DIR}/embeddings.parquet").to_table()
+    ids, y, x = t["vec_id"].to_pylist(), np.array(t["label"].to_pylist()), np.array(t["embedding"].to_pylist(), float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    ranked = np.sort(d, axis=1)  # the point itself comes first
+    assert {r["id"]: r["distance"] for r in QUERIES["knn_curve_whole"](spark, DIR).collect()} == pytest.approx(dict(zip(ids, ranked[:, 3], strict=True)), abs=1e-5)
+    assert {r["cluster"]: r["max_intra"] for r in QUERIES["max_intra_distance_whole"](spark, DIR).collect()} == pytest.approx({k: d[np.ix_(y == k, y == k)].max() for k in set(y.tolist())}, abs=1e-5)
+    core = ranked[:, 2]
+    m = np.maximum(d, np.maximum(core[:, None], core[None]))
+    for k in range(len(ids)):
+        m = np.minimum(m, np.maximum(m[:, k, None], m[None, k]))
+    got = {(r["i"], r["j"]): r["d"] for r in QUERIES["density_distance"](spark, DIR).collect()}
+    assert len(got) == len(ids) * (len(ids) - 1)
+    assert max(abs(got[a, b] - m[p, q]) for p, a in enumerate(ids) for q, b in enumerate(ids) if p != q) < 1e-5
