@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -118,26 +119,60 @@ class IDS(DecisionSet):
     of pairs of rules; the search works on these on the driver."""
 
     lambdas: Sequence[float] = (1.0,) * 7
-    max_iterations: int = 50
     seed: int = 0
 
     def select(self, points, rules):
         rules = RuleSet(tuple(r for r in rules if r.label != -1))
-        stats = ids_statistics(points, rules)
-        rng = random.Random(self.seed)
-        chosen: set[int] = set()
-        value = ids_objective(stats, chosen, self.lambdas)
-        for _ in range(self.max_iterations):
-            moves = [(ids_objective(stats, chosen ^ {i}, self.lambdas), -i) for i in range(len(rules))]
-            if not moves:
-                break
-            top, i = max(moves)
-            if top <= value + 1e-12:
-                break
-            chosen ^= {-i}
-            value = top
-        del rng
-        return rules.subset(sorted(chosen))
+        return rules.subset(sorted(ids_search(ids_statistics(points, rules), self.lambdas, self.seed)))
+
+
+def ids_search(stats: dict, lambdas: Sequence[float], seed: int = 0, delta: float = 1 / 3) -> set[int]:
+    """Smooth local search (Feige, Mirrokni and Vondrak 2011) to convergence.
+
+    A rule's weight is what it adds, on average, to a random set that has the
+    rules of the current set by chance (1 + delta) / 2 and others by
+    (1 - delta) / 2. A rule of positive weight comes in, one of negative weight
+    goes out. Rules are drawn independently and the terms are sums over rules,
+    pairs and classes, so that weights are exact and need no draws; each move
+    raises the average. The best of a set drawn around the one found, of its
+    complement and of itself is taken, and improved by single moves.
+    """
+    rng = random.Random(seed)
+    n = len(stats["rules"])
+    chosen: set[int] = set()
+    while n:
+        weights = ids_weights(stats, [(1 + delta) / 2 if i in chosen else (1 - delta) / 2 for i in range(n)], lambdas)
+        top, i = max((-w if i in chosen else w, -i) for i, w in enumerate(weights))
+        if top <= 1e-9:
+            break
+        chosen ^= {-i}
+    drawn = {i for i in range(n) if rng.random() < ((1 + delta) / 2 if i in chosen else (1 - delta) / 2)}
+    best = max((chosen, set(range(n)) - chosen, drawn), key=lambda c: ids_objective(stats, c, lambdas))
+    # a rule of it whose own move raises the objective still moves
+    while n:
+        weights = ids_weights(stats, [float(i in best) for i in range(n)], lambdas)
+        top, i = max((-w if i in best else w, -i) for i, w in enumerate(weights))
+        if top <= 1e-9:
+            break
+        best = best ^ {-i}
+    return best
+
+
+def ids_weights(s: dict, chance: Sequence[float], lambdas: Sequence[float]) -> list[float]:
+    """What each rule adds to the objective, on average over sets that have each other rule by its chance."""
+    rules = s["rules"]
+    same, cross = [0.0] * len(rules), [0.0] * len(rules)
+    for (i, j), c in s["pairs"].items():
+        to = same if rules[i].label == rules[j].label else cross
+        to[i] += c * chance[j]
+        to[j] += c * chance[i]
+    out = []
+    for i, r in enumerate(rules):
+        alone = math.prod(1 - chance[j] for j, o in enumerate(rules) if j != i and o.label == r.label)
+        ok, cover = s["ok"].get(i, 0), s["cover"].get(i, 0)
+        terms = [-1, -len(r.conditions), -same[i], -cross[i], alone, ok - cover, ok]
+        out.append(sum(w * t for w, t in zip(lambdas, terms, strict=True)))
+    return out
 
 
 def ids_statistics(points: DataFrame, rules: RuleSet) -> dict:

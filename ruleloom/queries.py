@@ -537,7 +537,7 @@ def cba_rules(spark, d):
 
 @query("ids_rules")
 def ids_rules(spark, d):
-    return _rule_rows(spark, IDS(miner=_miner(), max_iterations=10).fit(parts(spark, d)).rules)
+    return _rule_rows(spark, IDS(miner=_miner()).fit(parts(spark, d)).rules)
 
 
 @query("ids_objective", f"WITH h AS (SELECT * FROM {HITS} JOIN {CLUSTERS} USING (rule_id) JOIN {CUST} USING (id)) SELECT (4 - 3 + 4 * 4 - 7 + 2 * (SELECT count(*) FROM customer) * 16 - (SELECT count(*) FROM h a JOIN h b ON a.id = b.id AND a.rule_id < b.rule_id WHERE b.rule_id < 3) + 3 + (SELECT count(*) FROM customer) * 4 - (SELECT count(*) FROM h WHERE rule_id < 3 AND cluster <> label) + (SELECT count(*) FROM h WHERE rule_id < 3 AND cluster = label))::DOUBLE AS objective")

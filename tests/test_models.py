@@ -11,7 +11,7 @@ from ruleloom.operators import labels as L
 from ruleloom.operators import splits as S
 from ruleloom.operators.select import coverage_mistake_select, select_with_grid
 from ruleloom.plans.mining import ClassAssociationMiner, PointwiseMiner
-from ruleloom.plans.sets import CBA, IDS, DecisionSet, DSCluster
+from ruleloom.plans.sets import CBA, IDS, DecisionSet, DSCluster, ids_objective, ids_search, ids_weights
 from ruleloom.plans.trees import DecisionTree, ExplanationTree, ID3Tree, ImmTree
 from ruleloom.streaming.scoring import score_stream
 
@@ -203,3 +203,35 @@ def test_dbscan_is_brute_force(spark):
     want = {i: comp[i] if i in comp else min((comp[j] for j in near[i] & core), default=-1) for i in near}
     df = spark.createDataFrame(pts, "id long, a double, b double")
     assert {r["id"]: r["label"] for r in C.dbscan(df, ["a", "b"], 0.45, 4).collect()} == want
+
+
+def ids_stats(n, rng):
+    rules = [Rule(tuple(Condition.axis("f0", float(k)) for k in range(1 + i % 3)), i % 2) for i in range(n)]
+    ok = {i: rng.randint(0, 40) for i in range(n)}
+    pairs = {(i, j): rng.randint(0, 15) for i in range(n) for j in range(i + 1, n)}
+    return {"n": 60, "rules": rules, "cover": {i: k + rng.randint(0, 15) for i, k in ok.items()}, "ok": ok, "pairs": pairs}
+
+
+def test_ids_weights_are_averages_over_random_sets():
+    rng = random.Random(4)
+    s, lambdas = ids_stats(6, rng), (1.0, 0.5, 2.0, 0.3, 7.0, 1.5, 1.1)
+    chance = [rng.random() for _ in range(6)]
+    for i, w in enumerate(ids_weights(s, chance, lambdas)):
+        want = 0.0
+        for m in range(64):
+            c = {k for k in range(6) if m >> k & 1}
+            if i not in c:
+                p = math.prod(chance[k] if k in c else 1 - chance[k] for k in range(6) if k != i)
+                want += p * (ids_objective(s, c | {i}, lambdas) - ids_objective(s, c, lambdas))
+        assert w == pytest.approx(want)
+
+
+def test_ids_search_is_near_the_best_and_has_no_limit_of_moves():
+    rng = random.Random(5)
+    for _ in range(20):
+        s = ids_stats(8, rng)
+        every = [ids_objective(s, {k for k in range(8) if m >> k & 1}, (1.0,) * 7) for m in range(256)]
+        assert ids_objective(s, ids_search(s, (1.0,) * 7), (1.0,) * 7) >= 0.4 * max(every)
+    s = ids_stats(70, rng)
+    s["pairs"], s["ok"], s["cover"] = {}, dict.fromkeys(range(70), 50), dict.fromkeys(range(70), 50)
+    assert ids_search(s, (1.0,) * 7) == set(range(70))
