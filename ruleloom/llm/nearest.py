@@ -1,13 +1,19 @@
 """Approximate nearest neighbours with a forest of random-projection trees.
 
-The trees are grown on a bounded sample: a node splits at the median of its
-rows' projections on the difference of two random rows. Every vector is then
-routed down every tree and stands in one leaf of each. A query searches all
-trees through one priority queue, in which a subtree ranks by the smallest
-margin on the way to it, and takes the leaves that come out first. Queries meet
-the vectors of their leaves in blocks of bounded size, where the exact cosines
-are computed; each block passes on a query's best only, and the best of these
-are the answer.
+All nodes of a level of a tree share a direction, the difference of two random
+vectors, and split at the median of a bounded sample's projections: each node
+its own down to level TOP, and below it each level by the medians of the node
+at TOP. So a tree of any depth has few numbers, and its depth is taken so that
+leaves hold about LEAF vectors whatever the size of the table. A query searches
+all trees through one priority queue, in which a subtree ranks by the squared
+margins on the way to it, and takes a fixed number of leaves: its work does not
+grow with the table.
+
+Equal vectors are one candidate with the few smallest ids. What stands in the
+leaves is not the vector but a byte for each component, with a proven bound of
+its error. Queries meet these in blocks of bounded size, by a matrix product;
+what can be among the best by its bound is reranked exactly by the original
+vectors.
 """
 
 from __future__ import annotations
@@ -21,108 +27,102 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import remove, written
 
-#: Trees of the forest, and vectors that a leaf is meant to hold.
-TREES, LEAF = 12, 400
-#: Leaves of a tree at most: it bounds what is sent to the tasks.
-MOST_LEAVES = 1024
-#: Vectors and bytes of the sample that the trees are grown on, at most.
+#: Trees of the forest, vectors that a leaf is meant to hold, and leaves that a query takes from the queue.
+TREES, LEAF, LEAVES = 4, 1600, 32
+#: Levels whose nodes each have their own median.
+TOP = 10
+#: Vectors and bytes of the sample that the medians are taken of, at most.
 SAMPLE, SAMPLE_BYTES = 20_000, 32_000_000
-#: Share of all leaves, and leaves at least, that a query takes from the queue.
-SHARE, LEAST_LEAVES = 0.06, 60
-#: Vectors of one block of a leaf.
-BLOCK = 5_000
+#: Vectors, and queries, of one block of a leaf.
+BLOCK, BLOCK_QUERIES = 8_000, 2_000
+#: Leaves of several blocks up to which their list is sent to all tasks.
+MOST_HEAVY = 100_000
 
 
 @dataclass
 class Forest:
-    """Node arrays of all trees: a node is a leaf where ``left`` is -1."""
+    """directions: (trees, depth, d), unit rows; cuts[tree][level]: a cut for
+    each node of the level or, below TOP, for each node of level TOP."""
 
-    normals: np.ndarray
-    cuts: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    roots: list[int]
+    directions: np.ndarray
+    cuts: list[list[np.ndarray]]
+    top: int
 
     @property
-    def n_leaves(self) -> int:
-        return int((self.left < 0).sum())
-
-    def leaves_of(self, x: np.ndarray) -> np.ndarray:
-        """(rows, trees): the leaf of each row in each tree; x has unit rows."""
-        out = np.empty((len(x), len(self.roots)), np.int32)
-        for t, root in enumerate(self.roots):
-            node = np.full(len(x), root, np.int32)
-            while True:
-                inner = np.nonzero(self.left[node] >= 0)[0]
-                if not len(inner):
-                    break
-                at = node[inner]
-                side = np.einsum("ij,ij->i", x[inner], self.normals[at]) >= self.cuts[at]
-                node[inner] = np.where(side, self.right[at], self.left[at])
-            out[:, t] = node
-        return out
-
-    def search(self, x: np.ndarray, n: int) -> list[list[int]]:
+    def depth(self) -> int:
+        return self.directions.shape[1]
+
+    def projections(self, x: np.ndarray) -> np.ndarray:
+        """(rows, trees, depth)."""
+        t, depth, d = self.directions.shape
+        return (x @ self.directions.reshape(t * depth, d).T).reshape(len(x), t, depth)
+
+    def leaves_of(self, p: np.ndarray) -> np.ndarray:
+        """(rows, trees): the leaf of each row in each tree, from projections."""
+        node = np.zeros(p.shape[:2], np.int64)
+        for t, levels in enumerate(self.cuts):
+            for k, cut in enumerate(levels):
+                at = node[:, t]
+                node[:, t] = 2 * at + (p[:, t, k] >= cut[at >> max(0, k - self.top)])
+        return self.numbered(node, np.arange(len(self.cuts)))
+
+    @staticmethod
+    def numbered(node, tree):
+        return node | (tree << 56)
+
+    def search(self, p: np.ndarray, n: int) -> list[list[int]]:
         """The first n leaves that each row's queue gives."""
-        margins = x @ self.normals.T - self.cuts
+        depth, top = self.depth, self.top
+        cuts = [[c.tolist() for c in levels] for levels in self.cuts]
         found = []
-        for m in margins:
-            queue = [(-np.inf, r) for r in self.roots]
-            heapq.heapify(queue)
+        for row in p.tolist():
+            queue = [(0.0, t, 0, 0) for t in range(len(cuts))]
             leaves: list[int] = []
             while queue and len(leaves) < n:
-                p, k = heapq.heappop(queue)
-                if self.left[k] < 0:
-                    leaves.append(k)
-                else:
-                    heapq.heappush(queue, (max(p, -m[k]), int(self.right[k])))
-                    heapq.heappush(queue, (max(p, m[k]), int(self.left[k])))
+                far, t, k, node = heapq.heappop(queue)
+                while k < depth:  # to the leaf on the query's side, leaving the other sides in the queue
+                    m = row[t][k] - cuts[t][k][node >> max(0, k - top)]
+                    k, node = k + 1, 2 * node + (m >= 0)
+                    heapq.heappush(queue, (far + m * m, t, k, node ^ 1))
+                leaves.append(self.numbered(node, t))
             found.append(leaves)
         return found
 
 
-def grow(sample: np.ndarray, n_trees: int, leaf: float, seed: int = 11) -> Forest:
-    """A forest on unit rows; nodes of up to ``leaf`` rows, and nodes that no
-    projection splits, stay leaves."""
+def grow(sample: np.ndarray, n_trees: int, depth: int, top: int = TOP, seed: int = 11) -> Forest:
+    """A forest on unit rows."""
     rng = np.random.default_rng(seed)
-    d = sample.shape[1] if sample.ndim == 2 else 0
-    normals, cuts, left, right, roots = [], [], [], [], []
-
-    def add() -> int:
-        normals.append(np.zeros(d))
-        cuts.append(0.0)
-        left.append(-1)
-        right.append(-1)
-        return len(left) - 1
-
-    for _ in range(n_trees):
-        root = add()
-        roots.append(root)
-        todo = [(root, np.arange(len(sample)))]
-        while todo:
-            node, rows = todo.pop()
-            if len(rows) <= max(1.0, leaf):
-                continue
-            for _ in range(5):
-                a, b = sample[rng.choice(rows, 2, replace=False)]
-                normal = a - b
-                p = sample[rows] @ normal
-                cut = float(np.median(p))
-                side = p >= cut
-                if 0 < side.sum() < len(rows):
-                    break
-            else:
-                continue
-            normals[node], cuts[node] = normal, cut
-            left[node], right[node] = add(), add()
-            todo += [(left[node], rows[~side]), (right[node], rows[side])]
-    return Forest(np.array(normals).reshape(len(left), d), np.array(cuts), np.array(left, np.int32), np.array(right, np.int32), roots)
+    d = sample.shape[1]
+    directions = np.zeros((n_trees, depth, d))
+    for t in range(n_trees):
+        for k in range(depth):
+            a, b = sample[rng.integers(0, len(sample), 2)]
+            normal = a - b if (a != b).any() else rng.normal(size=d)
+            directions[t, k] = normal / np.linalg.norm(normal)
+    forest = Forest(directions, [[] for _ in range(n_trees)], top)
+    p = forest.projections(sample)
+    for t, levels in enumerate(forest.cuts):
+        node = np.zeros(len(sample), np.int64)
+        for k in range(depth):
+            own = node >> max(0, k - top)
+            levels.append(_medians(own, p[:, t, k], 1 << min(k, top)))
+            node = 2 * node + (p[:, t, k] >= levels[k][own])
+    return forest
+
+
+def _medians(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The upper median of each group's values; 0 for a group without any."""
+    order = np.lexsort((values, group))
+    starts = np.searchsorted(group[order], np.arange(n + 1))
+    size = np.diff(starts)
+    return np.where(size > 0, values[order][np.minimum(starts[:-1] + size // 2, len(values) - 1)], 0.0)
 
 
 def _usable(v: Column) -> Column:
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    # not true for a null, and NaN is over everything for Spark
+    fine = F.forall(v, lambda x: F.abs(x) < F.lit(float("inf")))
     return v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0)
 
 
@@ -136,74 +136,132 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / top / np.linalg.norm(x / top, axis=1, keepdims=True)
 
 
-def _leaf_rows(batches: Iterator[pa.RecordBatch], forest) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and tree: (leaf, id, v)."""
+def _code(batches: Iterator[pa.RecordBatch], forest, n: int) -> Iterator[pa.RecordBatch]:
+    """For each vector its bytes, their unit, how far they are from the unit
+    vector at most, its leaves and, if it is asked for, the leaves to look into."""
     f: Forest = forest.value
+    longs = pa.list_(pa.int64())
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
-            x = _matrix(part.column("v"))
-            leaves = f.leaves_of(_unit(x))
-            for t in range(leaves.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(leaves[:, t]), part.column("id"), part.column("v")], names=["leaf", "id", "v"])
+            x = _unit(_matrix(part.column("v")))
+            p = f.projections(x)
+            unit = np.abs(x).max(1) / 127
+            code = np.rint(x / unit[:, None]).astype(np.int8)
+            error = np.linalg.norm(x - code * unit[:, None], axis=1) + 1e-6
+            asked = part.column("asked").to_numpy(zero_copy_only=False)
+            probes: list = [None] * len(x)
+            for i, leaves in zip(np.nonzero(asked)[0], f.search(p[asked], n), strict=True):
+                probes[i] = leaves
+            codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("g"), part.column("sure"), codes, pa.array(unit), pa.array(error), pa.array(list(f.leaves_of(p)), longs), pa.array(probes, longs)], names=["g", "sure", "code", "unit", "error", "leaves", "probes"])
 
 
-def _query_rows(batches: Iterator[pa.RecordBatch], forest, n: int) -> Iterator[pa.RecordBatch]:
-    """A row for each query: (id, v, the leaves to look into)."""
-    f: Forest = forest.value
-    for b in batches:
-        for at in range(0, b.num_rows, 200):
-            part = b.slice(at, 200)
-            found = f.search(_unit(_matrix(part.column("v"))), n)
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(found, pa.list_(pa.int32()))], names=["id", "v", "leaves"])
-
-
-def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosine of each row of x with q. Each row's sum is taken by itself, so
-    that equal rows have equal scores wherever they stand."""
-    return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
+def _decoded(codes: pa.ChunkedArray, units: pa.ChunkedArray) -> np.ndarray:
+    code = np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(len(codes), -1)
+    return code.astype(np.float32) * units.to_numpy().astype(np.float32)[:, None]
 
 
 def _best_of_block(k: int):
-    def best(queries, vectors):
-        import pandas as pd
-
-        out = []
-        if len(queries) and len(vectors):
-            ids = vectors["id"].to_numpy()
-            x = np.stack(vectors["v"].to_numpy()).astype(np.float64)
-            for qid, qv in zip(queries["qid"].to_numpy(), queries["qv"], strict=True):
-                s = cosines(x, np.asarray(qv, np.float64))
-                own = ids == qid
-                if len(s) > 4 * k:  # all that tie with the k-th one not the query's own stay
-                    cut = np.partition(np.where(own, -np.inf, s), len(s) - k)[len(s) - k]
-                    kept = np.nonzero((s >= cut) & ~own)[0]
-                else:
-                    kept = np.nonzero(~own)[0]
-                seen: set = set()
-                for i in kept[np.lexsort((ids[kept], -s[kept]))]:
-                    if ids[i] not in seen:
-                        seen.add(ids[i])
-                        out.append((qid, ids[i], s[i]))
-                        if len(seen) == k:
-                            break
-        return pd.DataFrame(out, columns=["qid", "id", "score"])
+    """Of a block, the candidates of each query that may be among its k best:
+    those whose highest possible cosine is not below the k-th highest of the
+    least possible ones. Only ``sure`` candidates, which have an id of their
+    own, count for the latter."""
+
+    def best(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        n, m = queries.num_rows, vectors.num_rows
+        rows, cols, low, high = (np.empty(0, t) for t in (np.int64, np.int64, float, float))
+        if n and m:
+            near = (_decoded(queries.column("qcode"), queries.column("qunit")) @ _decoded(vectors.column("code"), vectors.column("unit")).T).astype(np.float64)
+            a, b = queries.column("qerror").to_numpy()[:, None], vectors.column("error").to_numpy()
+            slack = a + b + a * b + 1e-5
+            sure = vectors.column("sure").to_numpy()
+            cut = np.full(n, -np.inf)
+            if sure.sum() > k:  # one of them may be the query itself
+                cut = np.partition((near - slack)[:, sure], sure.sum() - k - 1, axis=1)[:, sure.sum() - k - 1]
+            rows, cols = np.nonzero(near + slack >= cut[:, None])
+            low, high = (near - slack)[rows, cols], (near + slack)[rows, cols]
+        g, v = queries.column("qg").take(pa.array(rows)), vectors.take(pa.array(cols))
+        return pa.table({"qg": g, "g": v.column("g"), "low": low, "high": high, "sure": v.column("sure")})
 
     return best
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, least_leaves: int = LEAST_LEAVES, block: int = BLOCK) -> DataFrame:
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosine of each row of x with that row of q (or with the one q). Vectors
+    of extreme length are scaled first, so that no square overflows."""
+
+    def tame(v: np.ndarray) -> np.ndarray:
+        top = np.abs(v).max(-1, keepdims=True)
+        return v / np.where((top > 1e-100) & (top < 1e100), 1.0, top)
+
+    x, q = tame(x), tame(q)
+    return (x * q).sum(-1) / (np.sqrt((x * x).sum(-1)) * np.sqrt((q * q).sum(-1)))
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            scores = cosines(_matrix(part.column("v")), _matrix(part.column("qv")))
+            yield pa.RecordBatch.from_arrays([part.column("qg"), part.column("ids"), pa.array(scores)], names=["qg", "ids", "score"])
+
+
+def _groups(base: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct vectors (g, v, ids: the k + 1 smallest, asked, sure: the
+    smallest id stands with no other vector), and the queries (qid, qg). A
+    vector is known by 128 bits of two hashes until it has its number g."""
+    base = base.withColumn("h", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")))
+    members = base.groupBy("h", "id").agg(F.bool_or("q").alias("q"))
+    order = Window.partitionBy("h").orderBy("id")
+    few = members.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    whole = base.groupBy("h").agg(F.first("v").alias("v"), F.bool_or("q").alias("asked"))
+    groups = whole.join(few, "h").select(F.monotonically_increasing_id().alias("g"), "h", "v", "ids", "asked")
+    several = written(members.groupBy("id").count().filter("count > 1").select(F.col("id").alias("several")), "nearest-several")
+    if several.isEmpty():
+        groups = groups.withColumn("sure", F.lit(True))
+    else:
+        groups = groups.join(several, F.get("ids", F.lit(0)) == F.col("several"), "left").withColumn("sure", F.col("several").isNull()).drop("several")
+    groups = written(groups, "nearest-groups")
+    remove(several)
+    queries = members.filter("q").join(groups.filter("asked").select("h", F.col("g").alias("qg")), "h").select(F.col("id").alias("qid"), "qg")
+    return groups, queries
+
+
+def _blocks(coded: DataFrame, block: int, block_queries: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries by leaf and block. Leaves of more than one block are
+    counted first; each block of a leaf's vectors meets each of its queries'."""
+    vectors = coded.select(F.explode("leaves").alias("leaf"), "g", "sure", "code", "unit", "error")
+    queries = coded.filter(F.col("probes").isNotNull()).select(F.explode("probes").alias("leaf"), *(F.col(c).alias("q" + c) for c in ("g", "code", "unit", "error")))
+    both = vectors.select("leaf", F.lit(1).alias("v"), F.lit(0).alias("q")).union(queries.select("leaf", F.lit(0), F.lit(1)))
+    sizes = both.groupBy("leaf").agg(F.ceil(F.sum("v") / block).cast("int").alias("nv"), F.ceil(F.sum("q") / block_queries).cast("int").alias("nq"))
+    heavy = written(sizes.filter("nv > 1 OR nq > 1"), "nearest-heavy")
+    n = heavy.limit(MOST_HEAVY + 1).count()
+    if not n:
+        return (side.withColumns({"bv": F.lit(0), "bq": F.lit(0)}) for side in (vectors, queries))
+    heavy = F.broadcast(heavy) if n <= MOST_HEAVY else heavy
+    one = lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
+    own = lambda g, c: F.pmod(F.xxhash64(g), one(F.col(c))).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), one(F.col(c)) - 1))
+    vectors = vectors.join(heavy, "leaf", "left").withColumn("bv", own("g", "nv")).withColumn("bq", every("nq")).drop("nv", "nq")
+    queries = queries.join(heavy, "leaf", "left").withColumn("bq", own("qg", "nq")).withColumn("bv", every("nv")).drop("nv", "nq")
+    return vectors, queries
+
+
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, trees: int = TREES, leaf: int = LEAF, leaves: int = LEAVES, block: int = BLOCK, block_queries: int = BLOCK_QUERIES, top: int = TOP) -> DataFrame:
     """Returns (query_id, rank, vec_id, score): the k nearest found of each row
     where ``is_query`` holds, by cosine in double precision, ties to the
     smaller id; all candidates if there are fewer and the leaves searched hold
-    them.
+    them. ``leaves`` trades recall for work; if the forest has no more leaves,
+    the result is exact.
 
     Vectors that are null, empty or zero or hold a null or a non-finite
     component take no part, nor do rows with a null id, nor, where lengths
     differ, vectors of another length than the most frequent one (the longest
     of these). A query's own id is no candidate, repeated rows of it included.
-    Other repeated ids count once, with their best score. Other columns are
-    not read. An empty table gives an empty result.
+    An id with several vectors counts once, with its best score, as a candidate
+    and as a query. Other columns are not read. An empty table gives an empty
+    result.
     """
     spark = vectors.sparkSession
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
@@ -211,35 +269,39 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     id_type = vectors.schema[id_col].dataType.simpleString()
     base = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(F.col("id").isNotNull() & _usable(F.col("v")))
     lengths = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    schema = f"query_id {id_type}, rank int, vec_id {id_type}, score double"
     if not lengths:
-        return spark.createDataFrame([], schema)
-    d, n = lengths[0]["d"], lengths[0]["count"]
-    base = written(base.filter(F.size("v") == d), "nearest-vectors")
+        return spark.createDataFrame([], f"query_id {id_type}, rank int, vec_id {id_type}, score double")
+    d = lengths[0]["d"]
+    groups, queries = _groups(base.filter(F.size("v") == d), k)
+    n = groups.count()
     most = int(min(SAMPLE, max(1000, SAMPLE_BYTES // (8 * d))))
-    drawn = base if n <= most else base.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    rows = drawn.select("v").limit(2 * most).toArrow().column("v").combine_chunks()
-    sample = _unit(_matrix(rows)) if len(rows) else np.zeros((0, d))
-    per_leaf = max(leaf, n / MOST_LEAVES)
-    forest = grow(sample, trees, per_leaf * len(sample) / n)
-    shared = spark.sparkContext.broadcast(forest)
-    take = int(max(least_leaves, share * forest.n_leaves))
-
-    def leaf_rows(batches):
-        return _leaf_rows(batches, shared)
-
-    def query_rows(batches):
-        return _query_rows(batches, shared, take)
-
-    indexed = base.select("id", "v").mapInArrow(leaf_rows, f"leaf int, id {id_type}, v {kind}")
-    # how many blocks each leaf needs: at most trees * 2 * MOST_LEAVES rows
-    sizes = written(indexed.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "nearest-leaves")
-    sized = F.broadcast(sizes)
-    blocks = indexed.join(sized, "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int").alias("block"), "id", "v")
-    asked = base.filter("q").select("id", "v").dropDuplicates(["id"]).mapInArrow(query_rows, f"id {id_type}, v {kind}, leaves array<int>")
-    asked = asked.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.explode("leaves").alias("leaf")).join(sized, "leaf")
-    asked = asked.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qid", "qv")
-    met = asked.groupBy("leaf", "block").cogroup(blocks.groupBy("leaf", "block")).applyInPandas(_best_of_block(k), f"qid {id_type}, id {id_type}, score double")
-    best = met.groupBy("qid", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    drawn = groups if n <= most else groups.filter(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    rows = drawn.orderBy("h").select("v").limit(2 * most).toArrow().column("v").combine_chunks()
+    sample = _unit(_matrix(rows)) if len(rows) else np.eye(1, d)
+    depth = max(0, round(np.log2(n / leaf)))
+    shared = spark.sparkContext.broadcast(grow(sample, trees, depth, top))
+
+    def code(batches):
+        return _code(batches, shared, leaves)
+
+    coded = groups.select("g", "v", "asked", "sure").mapInArrow(code, "g long, sure boolean, code binary, unit double, error double, leaves array<long>, probes array<long>")
+    coded = written(coded, "nearest-coded")
+    standing, asking = _blocks(coded, block, block_queries)
+    keys = ["leaf", "bv", "bq"]
+    met = asking.groupBy(*keys).cogroup(standing.groupBy(*keys)).applyInArrow(_best_of_block(k), "qg long, g long, low double, high double, sure boolean")
+    met = met.filter("qg != g").groupBy("qg", "g").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max("sure").alias("sure"))
+    each = Window.partitionBy("qg")
+    met = met.withColumn("n", F.row_number().over(each.orderBy(F.desc("sure"), F.desc("low"))))
+    met = met.withColumn("cut", F.max(F.when((F.col("n") == k) & F.col("sure"), F.col("low"))).over(each)).filter("cut IS NULL OR high >= cut")
+    own = groups.filter("asked").select(F.col("g").alias("qg"), "g")
+    pairs = met.select("qg", "g").union(own)  # others may have the query's very vector
+    theirs = groups.select("g", "v", "ids")
+    asked = groups.filter("asked").select(F.col("g").alias("qg"), F.col("v").alias("qv"))
+    scored = pairs.join(theirs, "g").join(asked, "qg").select("qg", "ids", "v", "qv").mapInArrow(_score, f"qg long, ids array<{id_type}>, score double")
+    scored = scored.select("qg", F.explode("ids").alias("id"), "score").groupBy("qg", "id").agg(F.max("score").alias("score"))
+    best = Window.orderBy(F.desc("score"), "id")
+    # one more than k, as one of them may be the query
+    scored = scored.withColumn("n", F.row_number().over(best.partitionBy("qg"))).filter(F.col("n") <= k + 1).drop("n")
+    out = queries.join(scored, "qg").filter("qid != id").groupBy("qid", "id").agg(F.max("score").alias("score"))
+    out = out.withColumn("rank", F.row_number().over(best.partitionBy("qid"))).filter(F.col("rank") <= k)
+    return out.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")

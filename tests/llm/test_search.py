@@ -101,11 +101,24 @@ def vectors(n, d, seed):
 
 
 def exact(ids, x, queries, k):
+    """The k nearest ids of each query, by all pairs; an id has its best score."""
     out = {}
     for q in queries:
-        s = nearest.cosines(x, x[ids.index(q)])
-        order = sorted((-s[i], ids[i]) for i in range(len(ids)) if ids[i] != q)
-        out[q] = [i for _, i in order[:k]]
+        best = {}
+        for own in [i for i in range(len(ids)) if ids[i] == q]:
+            for i, s in zip(ids, nearest.cosines(x, x[own]), strict=True):
+                if i != q:
+                    best[i] = max(best.get(i, -2), s)
+        out[q] = [i for _, i in sorted((-s, i) for i, s in best.items())[:k]]
+    return out
+
+
+def found(spark, ids, x, queries, **more):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    out = {}
+    for r in nearest.nearest(df, F.col("vec_id").isin(queries), **more).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert r["rank"] == len(out[r["query_id"]])
     return out
 
 
@@ -124,13 +137,48 @@ def test_neighbours_of_few_are_exact(spark):
     assert nearest.nearest(three, F.col("vec_id") == 0).count() == 2
 
 
-def test_recall(spark):
-    x = vectors(4000, 32, 2)
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    want = exact(list(range(4000)), x, range(0, 4000, 50), 5)
-    rows = nearest.nearest(df, F.col("vec_id") % 50 == 0, leaf=60, share=0.08, least_leaves=40, block=50).collect()
-    hits = sum(r["vec_id"] in want[r["query_id"]] for r in rows)
-    assert len(rows) == 400 and hits / 400 >= 0.9
+def test_recall_of_the_registered_parameters(spark):
+    """Directions without any order, which is the hardest case for trees."""
+    x = np.random.default_rng(2).normal(size=(20_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = x[::50] @ x.T
+    near[np.arange(400), np.arange(0, 20_000, 50)] = -2
+    want = np.argsort(-near, axis=1)[:, :5]
+    rows = nearest.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    hits = sum(r["vec_id"] in want[r["query_id"] // 50] for r in rows)
+    assert len(rows) == 2000 and 0.9 <= hits / 2000 < 1
+    assert all(abs(r["score"] - near[r["query_id"] // 50, r["vec_id"]]) < 1e-12 for r in rows)
+
+
+def test_repeated_ids_count_once(spark):
+    x = vectors(50, 6, 4)
+    x[1:11] = x[0] + 0.01 * np.random.default_rng(1).normal(size=(10, 6))  # all near the query 0
+    ids = [0] + [7] * 10 + list(range(100, 139))
+    assert found(spark, ids, x, [0, 100]) == exact(ids, x, [0, 100], 5)
+    x[2:6], x[20], x[21] = x[1], x[1], x[0]  # the same vector under one id, under another, and the query's own
+    assert found(spark, ids, x, [0, 7, 110]) == exact(ids, x, [0, 7, 110], 5)
+
+
+def test_copies_of_a_third_are_one_candidate(spark):
+    x = vectors(300, 6, 5)
+    x[::3] = x[0]
+    ids, queries = list(range(300)), [0, 3, 150, 50, 299]
+    assert found(spark, ids, x, queries) == exact(ids, x, queries, 5)
+
+
+def test_blocks_and_deep_trees_lose_nothing(spark):
+    x = vectors(400, 6, 6)
+    ids, queries = list(range(400)), list(range(0, 400, 10))
+    assert found(spark, ids, x, queries, leaf=10, leaves=10**6, top=2) == exact(ids, x, queries, 5)
+    assert found(spark, ids, x, queries, leaf=200, leaves=10**6, block=30, block_queries=7) == exact(ids, x, queries, 5)
+
+
+def test_extreme_lengths(spark):
+    x = vectors(40, 6, 7)
+    x[::2] *= 1e200
+    x[::3] *= 1e-250
+    assert found(spark, list(range(40)), x, [0, 1, 2]) == exact(list(range(40)), x, [0, 1, 2], 5)
 
 
 URLS = ["http://a.NET/x", "https://shop.example.net/en/1?q=1#t", "https://example.com/de/", "https://fr.org/fr/9", "http://b.org/en/7?page=2", None, "nothing", "x://", "http://net?x", "http://xnet/", "ftp://example.com/de", "http://h.example.com/en/3#/de/"]
