@@ -30,6 +30,8 @@ from .byte_bpe import Memo, _solid, _solid_end
 
 #: Characters of a chunk, and of the overlap that a text is first tried with.
 CHUNK, OVERLAP = 50_000, 500
+#: Characters of a span that a worker memoises, and spans of each of its memo's two generations.
+MEMOISED, MEMO = 64, 400_000
 #: A proven boundary is where the space of a match stands.
 PROVEN = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
@@ -45,7 +47,7 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.memo = Memo(400_000)
+        self.memo = Memo(MEMO)
 
     def plain(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False))
@@ -54,9 +56,10 @@ class Counter:
         """Offset in characters of each token's first character."""
         return [a for a, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets]
 
-    def _fill(self, parts: list[str]) -> None:
+    def _fill(self, parts: list[str], into: dict[str, int]) -> None:
         """Counts of ' ' + part for each part, from one joined text: each
-        part's count is the number of tokens that start in it."""
+        part's count is the number of tokens that start in it. Short parts,
+        which come again, are memoised too."""
         joined = "a " + " ".join(parts)
         at, count, k = [], [0] * len(parts), 0
         end = 2
@@ -68,23 +71,26 @@ class Counter:
                 k += 1
             count[k] += 1
         for p, n in zip(parts, count, strict=True):
-            self.memo.put(p, n)
+            into[p] = n
+            if len(p) <= MEMOISED:
+                self.memo.put(p, n)
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         get, specials = self.memo.get, self.specials
         split = [t.split(" ") for t in texts]
         fill: list[str] = []
+        here: dict[str, int] = {}  # of these texts only
         size = 0
         for p in set().union(*split).difference(self.memo.young):
             if _solid(p) and get(p) is None and not any(s in p for s in specials):
                 fill.append(p)
                 size += len(p)
                 if size > 100_000:
-                    self._fill(fill)
+                    self._fill(fill, here)
                     fill, size = [], 0
         if fill:
-            self._fill(fill)
+            self._fill(fill, here)
         out = []
         for text, parts in zip(texts, split, strict=True):
             first = parts[0]
@@ -93,7 +99,7 @@ class Counter:
                 continue
             counts = list(map(self.memo.young.get, parts[1:]))
             if None in counts:
-                counts = [get(p) if n is None else n for p, n in zip(parts[1:], counts, strict=True)]
+                counts = [here.get(p, get(p)) if n is None else n for p, n in zip(parts[1:], counts, strict=True)]
             out.append(self.plain(text) if None in counts else self.plain(first) + sum(counts))
         return out
 
@@ -119,19 +125,17 @@ def spans_of(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of each text. The key is a digest of id and text; equal rows give
-    equal chunks, and ``copies`` of chunk 0 tell how often the row stands."""
-    import hashlib
-
+    """Chunks of each text, under the key that came with it; a task cuts copies
+    of a text once."""
+    seen: set[str] = set()
     for b in slices(batches, "_text", 1_000_000):
-        for _id, text, n_bytes in zip(b.column("_id").to_pylist(), b.column("_text").to_pylist(), b.column("n_bytes").to_pylist(), strict=True):
-            key = hashlib.sha256(repr(_id).encode() + b"\0" + text.encode("utf-8", "surrogatepass")).hexdigest()
+        for key, text in zip(b.column("key").to_pylist(), b.column("_text").to_pylist(), strict=True):
+            if key in seen:
+                continue
+            seen.add(key)
             spans = spans_of(len(text), chunk, overlap)
             for k, (a, z) in enumerate(spans):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_id], b.column("_id").type), pa.array([n_bytes], pa.int64()), pa.array([key]), pa.array([k], pa.int32()), pa.array([a], pa.int64()), pa.array([z], pa.int64()), pa.array([len(spans)], pa.int32()), pa.array([text[a:z]])],
-                    names=["id", "n_bytes", "key", "k", "a", "z", "n_spans", "chunk"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([a], pa.int64()), pa.array([text[a:z]])], names=["key", "k", "a", "chunk"])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, overlap: int) -> Iterator[pa.RecordBatch]:
@@ -152,9 +156,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, overlap: int) -> Itera
                         into.append((a + m.start(), before[m.start()]))
             rows.append((len(starts), [x for x, _ in head], [y for _, y in head], [x for x, _ in tail], [y for _, y in tail]))
         cols = list(zip(*rows, strict=True))
-        kept = [b.column(c) for c in ("id", "n_bytes", "key", "k", "a", "z", "n_spans")]
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(cols[0], pa.int64()), *(pa.array(c, longs) for c in cols[1:])], names=["id", "n_bytes", "key", "k", "a", "z", "n_spans", "n", "head_at", "head_n", "tail_at", "tail_n"])
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array(cols[0], pa.int64()), *(pa.array(c, longs) for c in cols[1:])], names=["key", "k", "n", "head_at", "head_n", "tail_at", "tail_n"])
 
 
 def _splice(pdf):
@@ -162,10 +165,8 @@ def _splice(pdf):
     common proven boundary."""
     import pandas as pd
 
-    copies = int((pdf["k"] == 0).sum())
-    rows = pdf.drop_duplicates("k").sort_values("k")
     total, begun = 0, 0
-    recs = rows.to_dict("records")
+    recs = pdf.sort_values("k").to_dict("records")
     for left, right in zip(recs, recs[1:], strict=False):
         tail = dict(zip(left["tail_at"], left["tail_n"], strict=True))
         head = dict(zip(right["head_at"], right["head_n"], strict=True))
@@ -178,8 +179,7 @@ def _splice(pdf):
         begun = int(head[at])
     if total >= 0:
         total += int(recs[-1]["n"]) - begun
-    first = recs[0]
-    return pd.DataFrame({"id": [first["id"]], "n_bytes": [first["n_bytes"]], "key": [first["key"]], "n_tokens": [total], "copies": [copies]})
+    return pd.DataFrame({"key": [recs[0]["key"]], "n_tokens": [total]})
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -194,39 +194,32 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     overlap without a proven boundary is doubled until there is one or the
     text is encoded as one chunk (a text without spaces).
     """
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     is_huge = F.coalesce(F.length("_text") > chunk, F.lit(False))
-    schema = f"id {id_type}, n_bytes long, n_tokens long"
 
     def small(batches):
         return _small(batches, tokenizer_path)
 
-    out = narrow.filter(~is_huge).mapInArrow(small, schema)
-    huge = narrow.filter(is_huge)
+    out = narrow.filter(~is_huge).mapInArrow(small, f"id {id_type}, n_bytes long, n_tokens long")
+    # a huge text is known by its digest throughout, so that equal ones are encoded once and no row can miss its count
+    huge = narrow.filter(is_huge).withColumn("key", F.sha2(F.col("_text").cast("binary"), 256))
+    rows, texts, counts = huge.select("_id", "n_bytes", "key"), huge.select("key", "_text"), None
     while True:
-        done, failed = _round(huge, tokenizer_path, id_type, chunk, overlap)
-        copies = done.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        out = out.unionByName(copies.select("id", "n_bytes", "n_tokens"))
+        spliced = _round(texts, tokenizer_path, chunk, overlap)
+        done, failed = spliced.filter("n_tokens >= 0"), spliced.filter("n_tokens < 0")
+        counts = done if counts is None else counts.unionByName(done)
         if failed.isEmpty():
             break
         overlap, chunk = 2 * overlap, 2 * chunk
-        keys = failed.select(F.col("key").alias("_key")).distinct()
-        keyed = huge.withColumn("_key", F.sha2(F.concat(_repr(F.col("_id"), id_type), F.lit("\0"), F.col("_text")), 256))
-        huge = written(keyed.join(keys, "_key", "left_semi").select("_id", "_text", "n_bytes"), "token-huge")
+        texts = written(texts.join(failed.select("key"), "key", "left_semi").dropDuplicates(["key"]), "token-huge")
+    counted = rows.join(counts, "key", "left").select(F.col("_id").alias("id"), "n_bytes", F.coalesce("n_tokens", F.raise_error(F.lit("a huge text has no count")).cast("long")).alias("n_tokens"))
+    out = out.unionByName(counted)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _repr(c, id_type: str):
-    """Python's repr of an id, as _cut digests it."""
-    text = F.concat(F.lit("'"), c, F.lit("'")) if id_type == "string" else c.cast("string")
-    return F.coalesce(text, F.lit("None"))
-
-
-def _round(huge: DataFrame, path: str, id_type: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
-    """Spliced counts of the huge texts, and those that could not be spliced."""
-    base = f"id {id_type}, n_bytes long, key string, k int, a long, z long, n_spans int"
+def _round(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+    """(key, n_tokens) of the huge texts, spliced; -1 where that failed."""
 
     def cut(batches):
         return _cut(batches, chunk, overlap)
@@ -234,9 +227,8 @@ def _round(huge: DataFrame, path: str, id_type: str, chunk: int, overlap: int) -
     def encode(batches):
         return _encode(batches, path, overlap)
 
-    n = int(huge.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = huge.mapInArrow(cut, f"{base}, chunk string").repartition(n, "key", "k")
-    encoded = chunks.mapInArrow(encode, f"{base}, n long, head_at array<long>, head_n array<long>, tail_at array<long>, tail_n array<long>")
-    spliced = encoded.groupBy("key").applyInPandas(_splice, f"id {id_type}, n_bytes long, key string, n_tokens long, copies long")
-    spliced = written(spliced, "token-counts")
-    return spliced.filter("n_tokens >= 0"), spliced.filter("n_tokens < 0")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = texts.mapInArrow(cut, "key string, k int, a long, chunk string").repartition(n, "key", "k").dropDuplicates(["key", "k"])
+    encoded = chunks.mapInArrow(encode, "key string, k int, n long, head_at array<long>, head_n array<long>, tail_at array<long>, tail_n array<long>")
+    spliced = encoded.groupBy("key").applyInPandas(_splice, "key string, n_tokens long")
+    return written(spliced, "token-counts")

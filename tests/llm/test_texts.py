@@ -78,6 +78,29 @@ def test_token_counts(spark, chunk, overlap):
     assert token_counts.count_tokens(table(spark, rows).limit(0), JSON).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,3)", "date", "double", "binary"])
+def test_token_counts_keep_every_row(spark, kind):
+    """Ids of any type, in a second round too: one overlap has no boundary."""
+    hard = "it's " + "z" * 300 + " " + " ".join(["word"] * 60)
+    rows = [("it's \\ a\t\x01", hard), ("plain", hard + "!"), ("plain", hard + "!"), ("small", "a b"), (None, hard), (None, None)]
+    ids = {"string": None, "decimal(20,3)": "7.125", "date": "2020-02-03", "double": "0.1", "binary": "\u00ff"}
+    df = spark.createDataFrame([(i if ids[kind] is None or i is None else ids[kind], t) for i, t in rows], "doc_id string, text string")
+    df = df.withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = token_counts.count_tokens(df, JSON, chunk=120, overlap=8).collect()
+    counter = token_counts.load(JSON)
+    if kind in ("string", "binary"):
+        own = {(r["doc_id"], r["text"]) for r in df.collect()}
+        assert {r["doc_id"] for r in got} == {i for i, _ in own}
+    assert sorted(r["n_tokens"] for r in got) == sorted(counter.plain(t or "") for _, t in rows)
+
+
+def test_memo_of_counts_has_a_bound():
+    counter = token_counts.Counter(JSON)
+    text = " ".join(["a", "b" * 500, "c" * 70, "d" * 64, "b" * 500])
+    assert counter.count([text, text]) == [counter.plain(text)] * 2
+    assert {len(k) for k in counter.memo.young} <= {1, 64}
+
+
 def fingerprint(text):
     words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if w]
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
