@@ -6,9 +6,10 @@ the compressed and the decompressed size of every frame. The index maps each
 record's identifier to (bundle, frame, offset in the decompressed frame), so
 that one record is read by decompressing one frame.
 
-Bundles are written by the tasks to the shared folder, under a name of the
-task's own that is renamed when the file is whole; a task that runs again
-writes its bundle again under the same name.
+Bundles are written by the tasks to the shared folder, each under a name of the
+task attempt's own. The index that is committed tells which bundles count: what
+an attempt leaves behind that was lost, or that ran beside another one, is
+never read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from ._common import slices, work_path, written
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Decompressed bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME, BUNDLE = 256 * 1024, 64 * 1024 * 1024
+#: Frames of a bundle that are read back together.
+RUN = 16
 #: Only payloads of at least so many bytes are replaced by a reference.
 LEAST = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -106,14 +109,14 @@ class Bundle:
 
 
 class _Writer:
-    def __init__(self, folder: str, part: int):
+    def __init__(self, folder: str, part: str):
         self.fs, self.folder = pa.fs.FileSystem.from_uri(folder)
         self.part, self.k, self.packer = part, 0, zstandard.ZstdCompressor(level=3, write_content_size=True)
         self.out = None
 
     def _open(self):
         self.fs.create_dir(self.folder, recursive=True)
-        self.name = f"part-{self.part:05d}-{self.k:04d}.warc.zst"
+        self.name = f"part-{self.part}-{self.k:04d}.warc.zst"
         self.temporary = f"{self.folder}/.{self.name}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temporary)
         self.frames, self.held, self.size, self.rows, self.written = [], [], 0, [], 0
@@ -158,15 +161,17 @@ def _index_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
+    task = TaskContext.get()
+    part = f"{task.partitionId():05d}-{task.attemptNumber()}-{uuid.uuid4().hex[:8]}"
     writer, nth = _Writer(folder, part), 0
     for b in slices(batches, "html"):
         done = []
-        for page, url, html, first in zip(*(b.column(c).to_pylist() for c in ("page", "url", "html", "first")), strict=True):
+        for page, url, html, first, known in zip(*(b.column(c).to_pylist() for c in ("page", "url", "html", "first", "known")), strict=True):
             payload = (html or "").encode("utf-8", "surrogatepass")
             sha1, name = digest(payload), "" if page is None else page
             if first is None:
-                ident, refers, kind = record_id(name, sha1), None, "response"
+                # of repeated rows of a page one has the name that revisits know
+                ident, refers, kind = record_id(name, sha1, "" if known else f"{part}.{nth}"), None, "response"
             else:
                 ident, kind = record_id(name, sha1, f"{part}.{nth}"), "revisit"
                 refers = (record_id(first, sha1), first)
@@ -186,13 +191,24 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of payloads that are equal and of at least ``least`` bytes, the record with
     the smallest id is a response and the others revisit it.
     """
-    sha = F.sha1(F.coalesce(F.encode(html_col, "UTF-8"), F.lit(b"")))
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), sha.alias("sha"), F.coalesce(F.octet_length(html_col), F.lit(0)).alias("n"))
-    first = written(base.filter(F.col("n") >= least).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("c")).filter("c > 1").select(F.col("sha").alias("s"), "first"), "warc-repeated")
+    payload = F.coalesce(F.encode(html_col, "UTF-8"), F.lit(b""))
+    # payloads are told by length and two digests: SHA-1 alone can be made to collide
+    told = [F.coalesce(F.octet_length(html_col), F.lit(0)).alias("n"), F.sha1(payload).alias("sha"), F.sha2(payload, 256).alias("sha2")]
+    key = ["n", "sha", "sha2"]
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), *told)
+    per = base.filter(F.col("n") >= least).groupBy(*key, "id").agg(F.count("*").alias("times"))
+    least_id = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "times")))
+    first = per.groupBy(*key).agg(least_id.alias("m"), F.sum("times").alias("c")).filter("c > 1")
+    first = written(first.select(*key, F.col("m.id").alias("first"), F.col("m.times").alias("times"), F.lit(True).alias("again")), "warc-repeated")
     # read from a table, the repeated digests are dealt out anew: Spark can split the one that a third of the rows have
-    joined = base.join(first, (F.col("sha") == F.col("s")) & (F.col("n") >= least), "left")
+    joined = base.join(first, key, "left")
     other = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string"))
-    rows = joined.select(F.col("id").cast("string").alias("page"), "url", "html", other.alias("first"))
+    known = F.when(F.col("again"), F.coalesce((F.col("id") == F.col("first")) & (F.col("times") == 1), F.lit(False))).otherwise(F.col("n") >= least)
+    twice = F.coalesce((F.col("id") == F.col("first")) & (F.col("times") > 1), F.lit(False))
+    columns = [F.col("id").cast("string").alias("page"), "url", "html", other.alias("first"), known.alias("known")]
+    rows = joined.filter(~twice).select(*columns) if not first.filter("times > 1").isEmpty() else joined.select(*columns)
+    if not first.filter("times > 1").isEmpty():
+        rows = rows.unionByName(_one_known(joined.filter(twice).select(*columns, *key), key))
 
     def run(batches):
         return _write(batches, folder)
@@ -200,6 +216,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return written(rows.mapInArrow(run, "record_id string, bundle string, frame int, offset long"), "warc-index")
 
 
+def _one_known(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of the repeated rows of a page that others revisit, one is known. Rows
+    are numbered as they stand in a written table, which does not change."""
+    numbered = written(rows, "warc-twice").withColumn("r", F.monotonically_increasing_id())
+    lead = written(numbered.groupBy(*key).agg(F.min("r").alias("lead")), "warc-lead")
+    return numbered.join(lead, key).withColumn("known", F.col("r") == F.col("lead")).select("page", "url", "html", "first", "known")
+
+
 def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     fs, root = pa.fs.FileSystem.from_uri(folder)
     for b in batches:
@@ -231,14 +255,19 @@ def read_archives(index: DataFrame, folder: str, id_type: str = "long") -> DataF
     """Reads the records of an index back: (page_id, payload_bytes,
     payload_digest, record_type, refers_to, record_id, refers_to_record). The
     payload of each response is checked against its digest; a revisit's size
-    and digest are those that its header keeps of the full payload. A row of
-    the index that is gathered belongs to one bundle, whose size has a bound."""
+    and digest are those that its header keeps of the full payload. What a
+    task reads at once are RUN frames of a bundle; runs are dealt out by
+    number, as the index is too small to tell how much they hold."""
 
     def run(batches):
         return _read(batches, folder)
 
+    index = index.withColumn("run", F.floor(F.col("frame") / RUN))
+    runs = index.select("bundle", "run").distinct().count()
+    parts = max(1, min(4 * runs, max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs // 64)))
+
     schema = "page string, payload_bytes long, payload_digest string, record_type string, refers string, record_id string, refers_to_record string"
-    places = index.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("p")).select("bundle", F.col("p.frame").alias("frames"), F.col("p.offset").alias("offsets"))
+    places = index.repartition(parts, "bundle", "run").groupBy("bundle", "run").agg(F.collect_list(F.struct("frame", "offset")).alias("p")).select("bundle", F.col("p.frame").alias("frames"), F.col("p.offset").alias("offsets"))
     out = places.mapInArrow(run, schema)
     return out.select(F.col("page").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(id_type).alias("refers_to"), "record_id", "refers_to_record")
 
@@ -250,7 +279,8 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, id_col: str
 
     A null html is an empty payload; a null url an empty target. Rows that
     share both payload and the smallest id are all responses (they are the same
-    page). A null id comes after every other one and is read back as null; if
+    page), each with a record id of its own; revisits name one of them. Texts
+    of any length are whole records. A null id comes after every other one and is read back as null; if
     all ids of a payload are null, all its rows are responses. Other columns
     are not read. An empty table gives an empty result.
     """

@@ -109,10 +109,42 @@ def test_round_trip(spark, tmp_path):
         want.append((str(i), len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", str(f) if again else "None"))
     assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in got) == sorted(want)
     ids = {r["record_id"] for r in got}
+    assert len(ids) == len(got)
     assert all(r["refers_to_record"] in ids for r in got if r["refers_to_record"])
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_repeated_pages_have_records_of_their_own(spark, tmp_path):
+    rows = [(1, "u", "x")] * 4 + [(2, "u", "x"), (None, "u", "y"), (None, "u", "y"), (3, "u", ""), (3, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for least, revisits in ((0, 1), (1, 1), (2, 0)):
+        folder = f"file://{tmp_path}/w{least}"
+        got = warc.read_archives(warc.write_archives(df, folder, least=least), folder).collect()
+        ids = {r["record_id"] for r in got}
+        assert len(got) == len(ids) == len(rows)
+        again = [r for r in got if r["record_type"] == "revisit"]
+        assert len(again) == revisits and all(r["refers_to"] == 1 and r["refers_to_record"] in ids for r in again)
+
+
+def test_attempts_do_not_share_a_bundle(spark, tmp_path):
+    """Two attempts at one task write beside each other; the index that counts reads its own."""
+    _, df = pages(spark)
+    folder = f"file://{tmp_path}/w"
+    one, two = warc.write_archives(df, folder), warc.write_archives(df.orderBy(F.rand(1)).repartition(3), folder)
+    names = [{r["bundle"] for r in i.select("bundle").distinct().collect()} for i in (one, two)]
+    assert not names[0] & names[1]
+    results = [sorted((str(r["page_id"]), r["payload_digest"], r["record_type"]) for r in warc.read_archives(i, folder).collect()) for i in (one, two)]
+    assert results[0] == results[1]
+
+
+def test_archives_are_read_by_several_tasks(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("id").cast("string"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4000)).alias("html")).repartition(1)
+    folder = f"file://{tmp_path}/w"
+    out = warc.read_archives(warc.write_archives(df, folder), folder)
+    assert len({r["p"] for r in out.select(F.spark_partition_id().alias("p")).collect()}) > 1
+    assert out.count() == 300
+
+
 def test_bundles_are_plain_zstandard_and_seekable(spark, tmp_path):
     _, df = pages(spark)
     folder = f"file://{tmp_path}/w"
