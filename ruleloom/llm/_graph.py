@@ -14,17 +14,18 @@ def _sum(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The step's edges, and the table that they are read from."""
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), least
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = written(e.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
+    return moved.union(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,9 +41,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select("a", "b").filter("a != b").distinct(), "edges")
     state = _sum(now)
     while state[0]:
-        stars = written(_small_star(_large_star(now)), "stars")
+        large, of_large = _large_star(now)
+        small, of_small = _small_star(large)
+        stars = written(small, "stars")
         new = _sum(stars)
-        remove(now)
+        for spent in (now, of_large, of_small):
+            remove(spent)
         now = stars
         if new == state:
             break

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -138,10 +139,29 @@ def test_links_are_brute_force(spark):
     prints |= {crowd ^ rng.getrandbits(7) for _ in range(100)} | {0, 1, 2**63}
     signed = lambda v: v - 2**64 if v >= 2**63 else v
     df = spark.createDataFrame([(signed(v),) for v in prints], "fp long")
-    got = {r["node"] & (2**64 - 1): r["root"] for r in simhash.roots(df).collect()}
     want = classes(prints)
     groups = lambda part: sorted(sorted(k for k in part if part[k] == p) for p in set(part.values()))
-    assert groups(got) == groups(want)
+    for hot in (simhash.HOT, 1, 0):  # divided keys lose nothing
+        got = {r["node"] & (2**64 - 1): r["root"] for r in simhash.roots(df, hot=hot).collect()}
+        assert groups(got) == groups(want)
+
+
+def test_a_crowd_costs_no_squares(spark):
+    """40,000 fingerprints with one half in common, of several components,
+    beside as many strangers: only what may link meets."""
+    rng = random.Random(6)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    half = rng.getrandbits(32) << 32
+    crowd = {signed(half | rng.getrandbits(32)) for _ in range(40_000)}
+    strangers = {signed(rng.getrandbits(64)) for _ in range(40_000)}
+    took = []
+    for prints in (strangers, crowd):
+        df = spark.createDataFrame([(v,) for v in prints], "fp long").persist()
+        df.count()
+        start = time.monotonic()
+        assert simhash.roots(df).count() == len(prints)
+        took.append(time.monotonic() - start)
+    assert took[1] < 3 * took[0] + 20  # all pairs would be 800 million
 
 
 def test_near_duplicates_and_dedup(spark):
