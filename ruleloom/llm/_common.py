@@ -3,6 +3,7 @@ tables, fold arithmetic and slices of Arrow batches."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,6 +97,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
         yield b.slice(start)
 
 
+def runs(data: bytes, ends: str, most: int = 1_000_000) -> Iterator[bytes]:
+    """Cuts ``data`` behind bytes of the class ``ends`` into runs of about
+    ``most`` bytes (longer where no such byte stands), so that the words of a
+    very long text are never all held at once."""
+    if len(data) <= most:
+        yield data
+        return
+    end = re.compile(b"[" + ends.encode() + b"]")
+    start = 0
+    while start < len(data):
+        m = end.search(data, start + most)
+        stop = m.end() if m else len(data)
+        yield data[start:stop]
+        start = stop
+
+
 def class_sample(df: DataFrame, key: Column, label: str, most: int, seed: int = 7) -> tuple[DataFrame, dict]:
     """Rows drawn by a hash of ``key`` so that each value of ``label`` keeps
     about ``most`` of them (all, if it has fewer), and the counts by label.

@@ -2,7 +2,8 @@
 
 The corpus is indexed in segments: a row of the index holds, for a run of
 documents, each test term's postings (document, position) in one sorted list.
-Segments are written to the shared folder. A phrase query takes its terms from
+Which words are test terms is told by a filter of fixed size; the more terms,
+the more others it lets into the index, which does no harm. Segments are written to the shared folder. A phrase query takes its terms from
 the rarest to the commonest, by their counts over the whole index, and
 intersects their postings after taking off each term's offset in the phrase;
 what is left are the places where the whole phrase stands. A proximity query
@@ -15,6 +16,7 @@ benchmark has a bound; each block runs over all segments.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, written
+from ._common import remove, runs, slices, written
 
 #: Words of a window.
 WINDOW = 10
 #: Postings after which a segment is closed.
 SEGMENT = 1_000_000
-#: Terms up to which the test vocabulary is sent to the tasks; beyond, every term is indexed.
-MOST_TERMS = 500_000
+#: Bits of the filter of the test terms' CRC-32s, a power of two: its size does not grow with the benchmark.
+FILTER_BITS = 1 << 25
+#: Different words after which a segment is closed.
+SEGMENT_WORDS = 1_000_000
 #: Words of the items of one block of queries.
 BLOCK_WORDS = 200_000
 
@@ -42,41 +46,47 @@ def words(text: str | None) -> list[bytes]:
 
 
 class _Segment:
-    def __init__(self, vocabulary: set[bytes] | None, id_type: pa.DataType):
-        self.known: dict[bytes, int] | None = None if vocabulary is None else {t: i for i, t in enumerate(sorted(vocabulary))}
-        self.names = None if self.known is None else list(self.known)
-        self.id_type = id_type
+    def __init__(self, terms: np.ndarray | None, id_type: pa.DataType):
+        self.filter, self.id_type = terms, id_type
         self.empty()
 
     def empty(self):
         self.ids, self.n, self.terms, self.docs, self.positions, self.held = [], [], [], [], [], 0
-        if self.names is None:
-            self.own: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = {}  # of each word; -1 for one that is no test term
+        self.names: list[bytes] = []
+
+    def _new(self, word: bytes) -> int:
+        at = crc32(word) & (FILTER_BITS - 1)
+        if self.filter is not None and not self.filter[at >> 3] >> (at & 7) & 1:
+            self.number[word] = -1
+        else:
+            self.number[word] = len(self.names)
+            self.names.append(word)
+        return self.number[word]
 
     def add(self, doc_id, text: str | None) -> None:
-        w = words(text)
-        if self.known is not None:
-            get = self.known.get
-            t = np.array([get(x, -1) for x in w], np.int32)
+        n, get, new = 0, self.number.get, self._new
+        for run in runs((text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES), " "):
+            w = run.split()
+            t = np.array([new(x) if k is None else k for x in w for k in (get(x),)], np.int32)
             at = np.nonzero(t >= 0)[0]
-            t = t[at]
-        else:
-            own = self.own
-            t = np.array([own.setdefault(x, len(own)) for x in w], np.int32)
-            at = np.arange(len(w))
-        self.terms.append(t)
-        self.docs.append(np.full(len(t), len(self.ids), np.int32))
-        self.positions.append(at.astype(np.int32))
+            self.terms.append(t[at])
+            self.docs.append(np.full(len(at), len(self.ids), np.int32))
+            self.positions.append((at + n).astype(np.int32))
+            self.held += len(at)
+            n += len(w)
         self.ids.append(doc_id)
-        self.n.append(len(w))
-        self.held += len(t)
+        self.n.append(n)
+
+    def full(self, most: int) -> bool:
+        return self.held >= most or len(self.ids) >= most // 20 or len(self.number) >= SEGMENT_WORDS
 
     def row(self, seg: str) -> pa.RecordBatch:
         t = np.concatenate(self.terms)
         order = np.argsort(t, kind="stable")
         t, docs, positions = t[order], np.concatenate(self.docs)[order], np.concatenate(self.positions)[order]
         found, starts = np.unique(t, return_index=True)
-        names = list(self.own) if self.names is None else self.names
+        names = self.names
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
         out = pa.RecordBatch.from_arrays(
             [pa.array([seg]), one(self.ids, self.id_type), one(self.n, pa.int32()), one([names[i] for i in found], pa.binary()), one(np.append(starts, len(t)).astype(np.int32), pa.int32()), one(docs, pa.int32()), one(positions, pa.int32())],
@@ -86,16 +96,16 @@ class _Segment:
         return out
 
 
-def _index(batches: Iterator[pa.RecordBatch], vocabulary, most: int) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], terms, most: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     segment, k = None, 0
-    terms = vocabulary.value if vocabulary is not None else None
+    terms = terms.value if terms is not None else None
     for b in slices(batches, "_text"):
         if segment is None:
             segment = _Segment(terms, b.column("id").type)
         for doc_id, text in zip(b.column("id").to_pylist(), b.column("_text").to_pylist(), strict=True):
             segment.add(doc_id, text)
-            if segment.held >= most or len(segment.ids) >= most // 20:
+            if segment.full(most):
                 yield segment.row(f"{part}.{k}")
                 k += 1
     if segment is not None and segment.ids:
@@ -105,13 +115,16 @@ def _index(batches: Iterator[pa.RecordBatch], vocabulary, most: int) -> Iterator
 def build_index(docs: DataFrame, vocabulary: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", most: int = SEGMENT) -> DataFrame:
     """Writes the index: (seg, ids, n_words, terms, starts, docs, positions), a
     row for each segment. ``vocabulary`` (column term, binary) names the terms
-    that are looked for; None, or more than MOST_TERMS of them: all terms."""
-    spark = docs.sparkSession
+    that are looked for; None: all terms."""
     shared = None
     if vocabulary is not None:
-        found = vocabulary.select("term").distinct().limit(MOST_TERMS + 1).collect()
-        if len(found) <= MOST_TERMS:
-            shared = spark.sparkContext.broadcast({bytes(r["term"]) for r in found})
+        place = F.crc32("term").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1  # bitmaps count from 1
+        bits = vocabulary.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("b"))
+        found = np.zeros(FILTER_BITS // 8, np.uint8)
+        for r in bits.collect():  # FILTER_BITS / 32,768 rows of 4 KB at most
+            start = 4096 * (r["k"] - 1)
+            found[start : start + 4096] = np.frombuffer(bytes(r["b"]), np.uint8)
+        shared = docs.sparkSession.sparkContext.broadcast(found)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -199,35 +212,42 @@ def _joined(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"a": a, "z": z} for a, z in out]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, most_words: int) -> Iterator[list]:
-    """Items in runs of bounded size, streamed through the driver one by one."""
-    held, n = [], 0
-    for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        size = len(words(row["t"]))
-        if held and n + size > most_words:
-            yield held
-            held, n = [], 0
-        if size:
-            held.append((row["i"], row["t"]))
-            n += size
-    if held:
-        yield held
+def _sizes(items: DataFrame) -> DataFrame:
+    """(i, t, size: words) of the items that have words."""
+    id_type = items.schema["i"].dataType.simpleString()
+
+    def run(batches):
+        for b in slices(batches, "t"):
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("t"), pa.array([len(words(t)) for t in b.column("t").to_pylist()], pa.int64())], names=["i", "t", "size"])
+
+    return items.mapInArrow(run, f"i {id_type}, t string, size long").filter("size > 0")
 
 
 def matches(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slack: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(seg, ord, item_id, spans): for each document and item with a match, the
     joined word ranges [a, z) where windows of the item stand. slack 0: exact
     phrases; else each word within ``slack`` words of its place (a range is
-    then where the window would stand without slack)."""
+    then where the window would stand without slack).
+
+    Items are dealt by a hash to blocks of about ``block_words`` words; one
+    block at a time passes the driver. Terms are counted once for all of them.
+    """
     spark = index.sparkSession
     import pyspark.sql.pandas.types as types
 
     kind = items.schema[item_col].dataType
     id_type = types.to_arrow_type(kind)
     schema = f"seg string, ord int, item_id {kind.simpleString()}, spans array<struct<a:int,z:int>>"
-    counts = index.select(F.explode(F.arrays_zip(F.col("terms").alias("t"), F.expr("transform(slice(starts, 2, size(terms)), (x, i) -> x - starts[i])").alias("c"))).alias("x")).groupBy(F.col("x.t").alias("t")).agg(F.sum("x.c").alias("c"))
+    sized = written(_sizes(items.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))), "benchmark-items")
+    total = sized.agg(F.sum("size")).first()[0]
+    if not total:
+        return spark.createDataFrame([], schema)
+    each = F.explode(F.arrays_zip(F.col("terms").alias("t"), F.expr("transform(slice(starts, 2, size(terms)), (x, i) -> x - starts[i])").alias("c"))).alias("x")
+    counts = written(index.select(each).groupBy(F.col("x.t").alias("t")).agg(F.sum("x.c").alias("c")), "benchmark-terms")
+    n_blocks = -(-total // block_words)
     found = None
-    for held in _blocks(items, item_col, text_col, block_words):
+    for k in range(n_blocks):
+        held = [(r["i"], r["t"]) for r in sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k).collect()]
         by_window: dict[tuple[bytes, ...], list[int]] = {}
         for i, ws in enumerate(_windows([t for _, t in held], window)):
             for w in ws:
@@ -243,7 +263,9 @@ def matches(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_
 
         part = index.select("seg", "terms", "starts", "docs", "positions").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else found
+    remove(sized)
+    remove(counts)
+    return found
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, segment: int = SEGMENT, block_words: int = BLOCK_WORDS) -> DataFrame:
