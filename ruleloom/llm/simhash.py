@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import remove, slices, written
+from ._common import remove, runs, slices, written
 from ._graph import components
 
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
@@ -44,22 +44,26 @@ MASKS = [sum((1 << SEGMENTS[i]) - 1 << sum(SEGMENTS[:i]) for i in three) for thr
 
 def fingerprint(text: str | None) -> int:
     """The fingerprint of a text, as a signed 64-bit integer; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, ASCII white space only
-    if not words:
-        return 0
-    if len(words) < 3:
-        words = [b" ".join(words), b"", b""]
-        shingles = iter(words[:1])
-        n = 1
-    else:
-        shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False))
-        n = len(words) - 2
-    ones = np.zeros(64, np.int64)
-    hashes = map(_HASH, shingles)
+    data = (text or "").encode("utf-8", "surrogatepass")
+    ones, n, before = np.zeros(64, np.int64), 0, []
+    for run in runs(data, r"\x20\x09-\x0D"):
+        words = before + run.lower().split()  # of bytes: A-Z only, ASCII white space only
+        size = max(0, len(words) - 2)
+        ones += _set_bits(map(b" ".join, zip(words, words[1:], words[2:], strict=False)), size)
+        n += size
+        before = words[-2:]
+    if not n and before:
+        ones, n = _set_bits([b" ".join(before)], 1), 1
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+
+
+def _set_bits(shingles, n: int) -> np.ndarray:
+    """How many of the n shingles' hashes have each bit set."""
+    ones, hashes = np.zeros(64, np.int64), map(_HASH, shingles)
     for at in range(0, n, _STEP):
         h = np.fromiter(hashes, np.uint64, min(_STEP, n - at))
         ones += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return ones
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
