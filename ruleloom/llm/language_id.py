@@ -31,6 +31,8 @@ ORDERS = (1, 2, 3)
 PER_CLASS = 400
 #: Shares are multiplied by this before they are learnt from.
 SCALE = 30.0
+#: Characters of a text from which on it is counted in runs of so many.
+RUN = 200_000
 UNKNOWN = "und"
 
 
@@ -39,35 +41,92 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all texts, the text of each, and how many
-    letters each text has. Texts are cut nowhere."""
-    lower = [(" " + t.lower() + " ") if t else "  " for t in texts]
-    cp = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lower])
+def _kept(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which characters count, and which of them are letters: letters, and next
+    to a letter the first and the last of other characters, as spaces."""
     letter = _letters()[cp]
-    n_letters = np.bincount(doc[letter], minlength=len(texts))
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # a letter, or what follows one (as a space)
-    keep[:-1] |= letter[1:] & ~letter[:-1] & (~keep[:-1])
-    cp, doc, letter = np.where(letter, cp, 32)[keep].astype(np.uint64), doc[keep], letter[keep]
-    found, of = [], []
+    keep[1:] |= letter[:-1]
+    keep[:-1] |= letter[1:]
+    return keep, letter
+
+
+def _mixed(cp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each order n, the bucket of the n-gram that begins at each character."""
     mixed = np.zeros(len(cp), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         if len(cp) < n:
             break
         mixed = (mixed[: len(cp) - n + 1] * np.uint64(0x100000001B3) + cp[n - 1 :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
         if n in ORDERS:
-            same = doc[: len(cp) - n + 1] == doc[n - 1 :]
-            if n == 1:
-                same = same & letter
-            found.append((mixed[same] >> np.uint64(48)).astype(np.int32) & (BUCKETS - 1))
-            of.append(doc[: len(cp) - n + 1][same])
+            yield n, (mixed >> np.uint64(48)).astype(np.int32) & (BUCKETS - 1)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all texts, the text of each, and how many
+    letters each text has. Texts are cut nowhere."""
+    lower = [(" " + t.lower() + " ") if t else "  " for t in texts]
+    cp = _points("".join(lower))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lower])
+    keep, letter = _kept(cp)  # texts begin and end with a space, so that none reaches into the next
+    n_letters = np.bincount(doc[letter], minlength=len(texts))
+    cp, doc, letter = np.where(letter, cp, 32)[keep].astype(np.uint64), doc[keep], letter[keep]
+    found, of = [], []
+    for n, buckets in _mixed(cp):
+        same = doc[: len(cp) - n + 1] == doc[n - 1 :]
+        if n == 1:
+            same = same & letter
+        found.append(buckets[same])
+        of.append(doc[: len(cp) - n + 1][same])
     if not found:
         return np.empty(0, np.int32), np.empty(0, np.int32), n_letters
     return np.concatenate(found), np.concatenate(of), n_letters
 
 
+def long_grams(text: str, run: int = RUN) -> tuple[np.ndarray, int]:
+    """How often each bucket is met in one long text, and its letters: counted
+    by runs, each of which sees the two kept characters before it."""
+    lower = " " + text.lower() + " "
+    counts, n_letters, before = np.zeros(BUCKETS, np.int64), 0, np.empty(0, np.uint64)
+    for at in range(0, len(lower), run):
+        left = min(at, 1)
+        cp = _points(lower[at - left : at + run + 1])
+        keep, letter = _kept(cp)
+        here = slice(left, left + min(run, len(lower) - at))
+        keep, letter, cp = keep[here], letter[here], cp[here]
+        n_letters += int(letter.sum())
+        own = np.where(letter, cp, 32)[keep].astype(np.uint64)
+        joined = np.concatenate([before, own])
+        for n, buckets in _mixed(joined):
+            fresh = buckets[max(0, len(before) - n + 1) :]  # those that end in this run
+            counts += np.bincount(fresh[letter[keep]] if n == 1 else fresh, minlength=BUCKETS)
+        before = joined[-(max(ORDERS) - 1) :]
+    return counts, n_letters
+
+
+def counted(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, counts) of each text."""
+    short = [None if _is_long(t) else t for t in texts]
+    buckets, doc, _ = grams(short)
+    order = np.argsort(doc, kind="stable")
+    buckets, ends = buckets[order], np.searchsorted(doc[order], np.arange(len(texts) + 1))
+    for k, t in enumerate(texts):
+        if _is_long(t):
+            counts = long_grams(t)[0]
+            at = np.nonzero(counts)[0]
+            yield at, counts[at]
+        else:
+            yield np.unique(buckets[ends[k] : ends[k + 1]], return_counts=True)
+
+
+def _is_long(text: str | None) -> bool:
+    return text is not None and len(text) > RUN
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -80,9 +139,13 @@ class Model:
         return (self.weights * self.idf[:, None] * SCALE).astype(np.float32)
 
     def logits(self, texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        buckets, doc, n_letters = grams(texts)
+        buckets, doc, n_letters = grams([None if _is_long(t) else t for t in texts])
         n = np.bincount(doc, minlength=len(texts))
         sums = np.stack([np.bincount(doc, table[:, k][buckets], minlength=len(texts)) for k in range(len(self.languages))], 1)
+        for k, t in enumerate(texts):
+            if _is_long(t):
+                counts, n_letters[k] = long_grams(t)
+                n[k], sums[k] = counts.sum(), counts @ table
         return sums / np.maximum(n, 1)[:, None] + self.bias, n_letters
 
 
@@ -122,25 +185,17 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many of a task's documents each bucket is; at BUCKETS, how many there are."""
     df = np.zeros(BUCKETS + 1, np.int64)
     for b in slices(batches, "_text", 300_000):
-        texts = b.column("_text").to_pylist()
-        buckets, doc, _ = grams(texts)
-        order = np.argsort(doc, kind="stable")
-        buckets, ends = buckets[order], np.searchsorted(doc[order], np.arange(len(texts) + 1))
-        for k in range(len(texts)):
-            seen = np.zeros(BUCKETS, bool)
-            seen[buckets[ends[k] : ends[k + 1]]] = True
-            df[:BUCKETS] += seen
-        df[BUCKETS] += len(texts)
+        for seen, _ in counted(b.column("_text").to_pylist()):
+            df[seen] += 1
+        df[BUCKETS] += b.num_rows
     at = np.nonzero(df)[0]
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], names=["bucket", "df"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "_text", 300_000):
-        buckets, doc, _ = grams(b.column("_text").to_pylist())
         ids, shares = [], []
-        for k in range(b.num_rows):
-            found, n = np.unique(buckets[doc == k], return_counts=True)
+        for found, n in counted(b.column("_text").to_pylist()):
             ids.append(found.astype(np.int32))
             shares.append((n / max(1, n.sum())).astype(np.float32))
         yield pa.RecordBatch.from_arrays([b.column("_order"), b.column("_lang"), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["o", "lang", "b", "x"])
@@ -206,7 +261,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     label are given; held_out is whether the remainder is 1 (false for a null
     id, which is not learnt from either). lang_pred is a learnt label, or
     ``und`` with score 0 where the text is null or has no letter, or where
-    there was nothing to learn from. Whole texts of any length are used.
+    there was nothing to learn from. Whole texts of any length are used, very
+    long ones in runs.
     Repeated ids and rows are kept. Ties go to the label that sorts first.
     Other columns are not read. An empty table gives an empty result.
     """
@@ -216,9 +272,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows whose language is told with a score of ``least`` at least."""
+    """The rows whose language is told with a score of ``least`` at least; all
+    rows, if there is no label to learn from: a filter that has learnt nothing
+    takes nothing away."""
     rest = fold(id_col, 3)
     model = fit(docs, F.coalesce(rest != 1, F.lit(False)), text_col, label_col)
+    if not model.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
 
@@ -226,8 +286,6 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         m = shared.value
         table = m.table()
         for b in slices(batches, text_col, 300_000):
-            if not m.languages:
-                continue
             logits, n_letters = m.logits(b.column(b.schema.get_field_index(text_col)).to_pylist(), table)
             good = (softmax(logits / m.temperature).max(1) >= least) & (n_letters > 0)
             yield b.filter(pa.array(good))
