@@ -1,18 +1,146 @@
 """Language and quality by held-out accuracy, WARC by round trip, the pipeline end to end."""
 
 import base64
+import functools
 import hashlib
+import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from ruleloom.llm import language_id, quality, warc
+from ruleloom.llm import _common, decontaminate, language_id, quality, simhash, warc
+
+ODD = [None, "", " \n\t", "a", "One two", "The the THE end.", "x\n\nx\n y\x0bz\x0c", "é é | <b> 12 #!", "w " * 500 + "\nlast line\nlast line", "no-space" * 300]
+
+
+def plain_features(text):
+    """The features from their definitions, a character and a word at a time."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^ \t\n\x0b\x0c\r]+", data)
+    if not words:
+        return [0.0] * quality.N_FEATURES
+    kinds = [str.islower, str.isupper, str.isdigit, lambda c: c == " ", lambda c: c == "\n", lambda c: c > "\x7f", ".,".__contains__, "!?".__contains__, "#$%&*+=@^~".__contains__, "|<>[]{}\\/_".__contains__, "\"'():;-".__contains__]
+    chars = [chr(b) for b in data]
+    shares = [sum((c < "\x80" or k is kinds[5]) and k(c) for c in chars) / len(data) for k in kinds]
+    low = [w.lower() for w in words]
+    n, distinct = len(low), set(low)
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    repeats = sum(a == b for a, b in zip(low, low[1:], strict=False))
+    most = max(low.count(w) for w in distinct) / n if n >= 3 else 0.0
+    rest = [math.log(1 + n) / 10, len(data) / n / 10, min(1, len(data) / n / 40), len(distinct) / n, len(distinct) / n**0.75 if n > 1 else 1, most, repeats / n, 1 - len(set(lines)) / len(lines), len(zlib.compress(data, 1)) / (len(data) + 20), min(1, len(lines) / n * 5), 1 / n]
+    return [math.sqrt(x) for x in shares] + rest
+
+
+def plain_grams(text):
+    """Buckets of a text's n-grams and its letters, from the definitions."""
+    t = " " + (text or "").lower() + " "
+    kept = []
+    for i, c in enumerate(t):
+        near = t[i - 1 : i] if i else "", t[i + 1 : i + 2]
+        if c.isalpha():
+            kept.append(ord(c))
+        elif any(x.isalpha() for x in near):
+            kept.append(32)
+    found = {}
+    for n in (1, 2, 3):
+        for i in range(len(kept) - n + 1):
+            if n == 1 and kept[i] == 32:
+                continue
+            m = 0
+            for k in range(n):
+                m = (m * 0x100000001B3 + kept[i + k] + k + 1) * 0x9E3779B97F4A7C15 % 2**64
+            b = (m >> 48) % language_id.BUCKETS
+            found[b] = found.get(b, 0) + 1
+    return found, sum(c.isalpha() for c in t)
+
+
+def test_features_are_their_definitions(monkeypatch):
+    for cut in (1_000_000, 3):  # also in runs
+        monkeypatch.setattr(quality, "runs", functools.partial(_common.runs, most=cut))
+        for t in ODD:
+            assert quality.features(t) == pytest.approx(plain_features(t), abs=1e-12)
+
+
+def test_fingerprints_and_postings_in_runs(monkeypatch):
+    whole = [simhash.fingerprint(t) for t in ODD]
+    monkeypatch.setattr(simhash, "runs", functools.partial(_common.runs, most=3))
+    assert [simhash.fingerprint(t) for t in ODD] == whole
+    rows = []
+    for most in (1_000_000, 3):
+        monkeypatch.setattr(decontaminate, "runs", functools.partial(_common.runs, most=most))
+        s = decontaminate._Segment(None, pa.string())
+        for t in ODD:
+            s.add("x", t)
+        rows.append(s.row("s").to_pydict())
+    assert rows[0] == rows[1] and rows[0]["n_words"][0] == [len(decontaminate.words(t)) for t in ODD]
+
+
+def test_grams_are_their_definitions():
+    texts = [*ODD, "Straße — ΣΟΦΌΣ!! x1y  z", "日本語 テキスト"]
+    buckets, doc, letters = language_id.grams(texts)
+    for k, t in enumerate(texts):
+        found, n = plain_grams(t)
+        assert letters[k] == n
+        assert dict(zip(*np.unique(buckets[doc == k], return_counts=True), strict=True)) == found
+        for run in (1, 2, 7, 10**6):
+            counts, n_long = language_id.long_grams(t or "", run)
+            assert n_long == n and {b: counts[b] for b in np.nonzero(counts)[0]} == found
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    text = "some words of prose, " * 300_000  # 6 million characters
+    tracemalloc.start()
+    counts, n = language_id.long_grams(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 300_000 * 16 and peak < 8 * len(text)
+    model = language_id.Model(["aa", "bb"], np.ones(language_id.BUCKETS), np.random.default_rng(1).normal(size=(language_id.BUCKETS, 2)), np.zeros(2), 1.0)
+    both, _ = model.logits([text, "some words of prose, " * 3000], model.table())
+    assert both[0] == pytest.approx(both[1], abs=1e-2)
+
+
+def test_ftrl_is_the_published_update():
+    rng = np.random.default_rng(3)
+    rows = [(np.array(sorted(rng.choice(40, 5, replace=False))), rng.random(5), int(rng.integers(0, 3))) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.01
+    z, n = {}, {}
+
+    def weight(i, c):
+        v = z.get((i, c), 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n.get((i, c), 0.0))) / alpha + l2)
+
+    for _ in range(3):
+        for ids, x, y in rows:
+            w = {(i, c): weight(i, c) for i in ids for c in range(3)}
+            e = [math.exp(sum(v * w[i, c] for i, v in zip(ids, x, strict=True))) for c in range(3)]
+            for i, v in zip(ids, x, strict=True):
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    old = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i, c]
+                    n[i, c] = old + g * g
+    got = language_id.ftrl(rows, 3, alpha, beta, l1, l2, 3)
+    assert all(got[i, c] == pytest.approx(weight(i, c), abs=1e-9) for i in range(40) for c in range(3))
+
+
+def test_temperature_has_the_least_loss():
+    rng = np.random.default_rng(4)
+    logits = 3 * rng.normal(size=(200, 3))
+    y = (logits + 4 * rng.normal(size=(200, 3))).argmax(1)
+    loss = lambda t: -sum(math.log(math.exp(r[k] / t) / sum(math.exp(v / t) for v in r)) for r, k in zip(logits, y, strict=True))
+    best = language_id._temperature(logits, y)
+    assert all(loss(best) <= loss(t) + 1e-9 for t in (best * 0.9, best * 1.1, 0.05, 0.5, 1.0, 5.0))
+
 
 SYLLABLES = {"aa": ["ka", "lo", "mi"], "bb": ["été", "ou", "eau"], "cc": ["sch", "ung", "ei"]}
 
@@ -83,6 +211,42 @@ def test_quality(spark):
     assert quality.keep_good(docs, marks.limit(0)).count() == len(rows)
     kept = quality.keep_good(docs, marks)
     assert kept.columns == docs.columns and 200 < kept.count() < 250
+    good = sorted(str(r["doc_id"]) for r in got if r["predicted"])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == good
+
+
+def test_weights_and_cut_are_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, "aa", rng.randint(5, 30)) + "!" * rng.randint(0, 40)) for i in range(80)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int("!" * rng.randint(1, 40) not in t)) for i, t in rows], "doc_id long, quality int")
+    learn = F.col("doc_id") % 4 != 2
+    known = quality.known_labels(marks, "doc_id", "quality", learn)
+    pairs = quality._pairs(quality._drawn(docs, known, "doc_id", "text", 50)).collect()
+    x, y = np.array([r["d"] for r in pairs]), np.array([r["label"] for r in pairs])
+    model = quality.fit(docs, marks, learn=learn, per_class=50)
+    p = 1 / (1 + np.exp(-x @ model.weights))
+    spread = x.var(0, ddof=1)
+    gradient = x.T @ (p - y) / len(y) + quality.REGULARISATION * model.weights * spread
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (x @ w)).mean() + quality.REGULARISATION / 2 * (w * w * spread).sum()
+    assert np.abs(gradient).max() < 1e-3  # the optimum of the penalised logistic loss
+    assert all(loss(model.weights) <= loss(model.weights + step) for step in 0.3 * rng_steps(len(model.weights)))
+    label = {r["doc_id"]: r["quality"] for r in marks.collect() if r["doc_id"] % 4 != 2}
+    raw = sorted((float(np.dot(plain_features(t), model.weights)), label[i]) for i, t in rows + rows[:5] if i in label)
+    bad = sum(1 - v for _, v in raw)
+    want = (raw[bad - 1][0] + next(v for v, _ in raw if v > raw[bad - 1][0] + 1e-9)) / 2
+    assert quality.cut(quality.raw_scores(docs, model, "doc_id", "text"), known) == pytest.approx(want, abs=1e-9)
+
+
+def rng_steps(n):
+    return np.random.default_rng(9).normal(size=(20, n))
+
+
+def test_a_filter_that_learnt_nothing_keeps_all(spark):
+    docs = documents(spark)
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_identified(none).count() == docs.count()
+    assert quality.keep_good(docs, docs.select("doc_id", F.lit(1).alias("quality"))).count() == docs.count()
 
 
 def pages(spark):
