@@ -50,9 +50,8 @@ def remove(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> No
     """Deletes a table that ``written`` made and that nothing reads any more."""
     if isinstance(df_or_path, DataFrame):
         spark = df_or_path.sparkSession
-        for f in df_or_path.inputFiles():
+        for f in df_or_path.inputFiles()[:1]:
             _delete(spark, f.rpartition("/")[0])
-            break
     else:
         _delete(spark, df_or_path)
 
@@ -76,7 +75,13 @@ def fold(id_col: Column | str, n: int) -> Column:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` has about ``most_bytes`` in each cut
-    (one row at least): what Python holds at once stays bounded."""
+    (one row at least): what Python holds at once stays bounded. Workers live
+    on after a task, so that what it held is given back at its end."""
+    yield from _slices(batches, column, most_bytes)
+    pa.default_memory_pool().release_unused()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows == 0:
             continue

@@ -147,7 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and link like others. component_id is the smallest id of the component,
     null ids aside (null if it has none else). Repeated ids and rows are kept.
     Texts of any length are whole, hashed in steps of bounded size.
-    Other columns are not read. An empty table gives an empty result. h is a
+    Ties are none: the smallest id names a component, however many rows have
+    it. Other columns are not read. An empty table gives an empty result. h is a
     digest of id and text, root the least fingerprint of the component.
     """
     rows = written(fingerprints(docs, id_col, text_col), "simhash")

@@ -124,7 +124,9 @@ def judge(rows: DataFrame, rules: list[tuple[tuple[str, ...], str, float, float]
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[tuple[str, str], str] | None = None, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Returns (id_col, host, path, rule, verdict), a row for each row.
 
-    ``rule`` is the longest stated rule that fits, or null; the verdict is its
+    ``rule`` is the longest stated rule that fits, or null, of equally long
+    ones the one stated last; of mined rules that fit the surest one counts,
+    then the one with more support, then the shorter one; the verdict is its
     own, else that of the mined rules, else ``allow``. Rules are mined from the
     rows that a stated rule fits. A null url, or one without ``://``, has an
     empty host and path. Null and repeated ids and rows are kept. Other columns

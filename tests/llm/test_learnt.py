@@ -347,6 +347,31 @@ def test_pipeline_stages(spark):
     assert n / 2 < len(result) < n
 
 
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeats, clashing names and an empty table through all stages."""
+    import corpus_pipeline as p
+
+    rng = random.Random(7)
+    item = prose(rng, "aa", 30)
+    good = [(i, prose(rng, list(SYLLABLES)[i % 3], 40), list(SYLLABLES)[i % 3]) for i in range(90)]
+    bad = [(100 + i, " ".join(w + "!!" for w in prose(rng, "aa", 40).upper().split()), "aa") for i in range(60)]
+    odd = [(None, prose(rng, "aa", 40), None), (None, prose(rng, "bb", 40), "bb"), (200, None, "aa"), (201, "", "aa"), (202, "  12 ", None), (203, good[3][1], "aa"), good[5], (204, prose(rng, "aa", 40) + " " + item, "aa")]
+    schema = "doc_id long, text string, lang string, _dedup_h int, h int, _text string, id int"
+    docs = spark.createDataFrame([(*r, 1, 2, "x", 3) for r in good + bad + odd], schema)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad] + [(None, 1), (5, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    got = [r["doc_id"] for r in p.run(spark, f"{tmp_path}/a").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [i for i, *_ in good] + [None, None]))
+    for k, (name, stage) in enumerate(p.STAGES[:-1]):
+        assert stage(spark, docs, f"{tmp_path}/a").columns == docs.columns
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/a/{t}.parquet").write.parquet(f"{tmp_path}/b/{t}.parquet")
+    empty = p.run(spark, f"{tmp_path}/b")
+    assert empty.count() == 0 and empty.columns == p.run(spark, f"{tmp_path}/a").columns
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the fixture tables")
 def test_queries_with_sql(spark):
     import duckdb
