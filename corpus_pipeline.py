@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ruleloom.llm import byte_bpe, decontaminate, language_id, quality, simhash
-from ruleloom.llm._common import table, written
+from ruleloom.llm._common import remove, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,21 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to ``documents``; each one's result is written to the
-    shared folder and read again."""
+    shared folder and read again, and goes when the next one's is there.
+
+    Null and empty texts have no letter and go at the first stage. Null and
+    repeated ids are kept apart by their texts; of rows with equal id and text
+    one stays. Other columns pass through whatever their names. A classifier
+    that has nothing to learn from keeps all rows; an empty table gives an
+    empty result.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"pipeline-{name}")
+            if before is not None:
+                remove(before)
+            before = docs
     return docs
