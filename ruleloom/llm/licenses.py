@@ -3,14 +3,15 @@ templates, exact shingle containment verifies them.
 
 All of it is DataFrame functions. A text's words give five-word shingles; runs
 of shingles are windows. A window's signature holds, for each band, the least
-of its shingle hashes after an exclusive-or with the band's constant; windows
-and templates that share a value of a band meet in a join with the (small,
-fixed) template table. A band has one row, so that a window of Jaccard
+of its shingles' hashes under the band's own seed; windows and templates that
+share a value of a band meet in a join with the (small, fixed) template table.
+A band has one row, and bands are hashed apart, so that a window of Jaccard
 similarity J to a template's window is missed by all b bands with probability
 (1 - J) ** b:
 
-* templates of 1 to 3 shingles meet windows of 2 shingles at every shingle: a
-  full copy has J of at least 1/2, missed by 10 bands with 0.1 %;
+* templates of 1 to 3 shingles must stand whole (0.8 of 3 is over 2). Windows
+  of one shingle have the shingle itself as the least of any band, so that one
+  band never misses;
 * longer templates meet windows of 8 shingles at every fourth one, and give
   each of their own windows of 8: a full copy of 4 shingles has J of at least
   1/2, missed by 16 bands with 0.002 %; a copy of 11 or more has an equal
@@ -51,8 +52,8 @@ TEMPLATES = [
 ]
 SHINGLE = 5
 LEAST = 0.8
-#: (shingles of a window, shingles from one window to the next, bands) for short and for longer templates.
-SHORT, LONG = (2, 1, 10), (8, 4, 16)
+#: Shingles of a window, shingles from one window to the next, and bands, for longer templates.
+LONG = (8, 4, 16)
 #: Templates of so many shingles, or more, are longer ones.
 SPLIT = 4
 
@@ -62,11 +63,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _band(k: int) -> Column:
-    """The k-th band's constant."""
-    return F.xxhash64(F.lit(f"band {k}"))
-
-
 def _shingles(w: Column) -> Column:
     """Hashes of all runs of SHINGLE words; none if there are fewer. The words
     are bound to a lambda's variable, or they would be split anew at each use."""
@@ -79,12 +75,13 @@ def _shingles(w: Column) -> Column:
 
 
 def _banded(windows: DataFrame, size: int, bands: int) -> DataFrame:
-    """A row for each window (column x: p and up to ``size`` hashes h) and band,
-    with the least hash b; least() passes over the nulls of a short window."""
+    """A row for each window (column x: p and up to ``size`` hashes h) and band
+    (c), with its least hash b; least() passes over the nulls of a short window."""
     keep = [c for c in windows.columns if c != "x"]
     wide = windows.select(*keep, F.col("x.p").alias("p"), *(F.get("x.h", F.lit(k)).alias(f"h{k}") for k in range(size)))
-    each = wide.select("*", F.explode(F.array(*(_band(k) for k in range(bands)))).alias("c"))
-    return each.select(*keep, "p", F.least(*(F.col(f"h{k}").bitwiseXOR(F.col("c")) for k in range(size))).alias("b"))
+    each = wide.select("*", F.explode(F.array(*map(F.lit, range(bands)))).alias("c"))
+    hashed = lambda h: F.when(h.isNotNull(), F.xxhash64(h, F.col("c")))
+    return each.select(*keep, "p", "c", F.least(*(hashed(F.col(f"h{k}")) for k in range(size))).alias("b"))
 
 
 def _windows(s: Column, size: int, step: int) -> Column:
@@ -101,14 +98,20 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     return t.select("license", "t", F.size("t").alias("n")).filter("n > 0")
 
 
-def _candidates(rows: DataFrame, t: DataFrame, size: int, step: int, bands: int) -> DataFrame:
+def _short(rows: DataFrame, t: DataFrame) -> DataFrame:
+    """(id, key, p, license, t, n): windows of one shingle of a template."""
+    mine = t.select("license", "t", "n", F.explode("t").alias("own"))
+    return rows.select("id", "key", F.posexplode("s").alias("p", "h")).join(F.broadcast(mine), F.col("h") == F.col("own")).select("id", "key", "p", "license", "t", "n")
+
+
+def _long(rows: DataFrame, t: DataFrame, size: int, step: int, bands: int) -> DataFrame:
     """(id, key, p, license, t, n): windows of the documents that share a band
     with a template's window. Rows are narrow here: the shingles of a document
     stay behind."""
     mine = _banded(t.select("license", "t", "n", F.explode(_windows(F.col("t"), size, 1)).alias("x")), size, bands)
-    mine = mine.select("license", "t", "n", F.col("b").alias("band")).distinct()
+    mine = mine.select("license", "t", "n", F.col("c").alias("band"), F.col("b").alias("value")).distinct()
     theirs = _banded(rows.select("id", "key", F.explode(_windows(F.col("s"), size, step)).alias("x")), size, bands)
-    return theirs.join(F.broadcast(mine), F.col("b") == F.col("band")).select("id", "key", "p", "license", "t", "n")
+    return theirs.join(F.broadcast(mine), (F.col("b") == F.col("value")) & (F.col("c") == F.col("band"))).select("id", "key", "p", "license", "t", "n")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
@@ -119,15 +122,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     A null or empty text, and one under five words, has no notices. Rows that
     share an id are one document; null ids are one too. Repeated rows change
-    nothing. Other columns are not read. An empty table gives an empty result.
-    Texts are scanned whole.
+    nothing. Of templates of one license the best contained counts, of places
+    with equal containment the first. Other columns are not read. An empty
+    table gives an empty result. Texts of any length are scanned whole.
     """
     t = template_table(docs.sparkSession, templates or TEMPLATES)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     rows = texts.select("id", "key", _shingles(words(F.col("text"))).alias("s"))
     rows = rows.filter(F.size("s") > 0)
-    short = _candidates(rows, t.filter(F.col("n") < SPLIT), *SHORT)
-    long = _candidates(rows, t.filter(F.col("n") >= SPLIT), *LONG)
+    short = _short(rows, t.filter(F.col("n") < SPLIT))
+    long = _long(rows, t.filter(F.col("n") >= SPLIT), *LONG)
     met = written(short.unionByName(long).groupBy("id", "key", "p", "license", "t", "n").agg(F.lit(1).alias("one")), "license-windows")
     own = met.select(F.col("id").alias("i"), F.col("key").alias("k"), "p", "license", "t", "n")
     again = texts.join(own.select("i", "k").distinct(), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")

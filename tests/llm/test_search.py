@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -95,6 +96,23 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_bands_miss_as_rarely_as_stated(spark):
+    """Windows of 8 random shingles against a template's 4 (J = 1/2) and 4 of
+    its 5 (J = 4/9): the misses of few bands are those of independent ones."""
+    n, rng = 20_000, np.random.default_rng(8)
+    for own, j in ((4, 1 / 2), (5, 4 / 9)):
+        common = rng.integers(-(2**63), 2**63 - 1, (n, 4))
+        rest = [rng.integers(-(2**63), 2**63 - 1, (n, k)) for k in (4, own - 4)]
+        rows = [(i, *(np.concatenate([common[i], r[i]]).tolist() for r in rest)) for i in range(n)]
+        df = spark.createDataFrame(rows, "i long, a array<long>, b array<long>")
+        side = lambda c, out, df=df: licenses._banded(df.select("i", F.struct(F.lit(0).alias("p"), F.col(c).alias("h")).alias("x")), 8, 16).select("i", "c", F.col("b").alias(out))
+        met = side("a", "u").join(side("b", "v"), ["i", "c"]).filter("u = v")
+        for bands in (1, 4, 16):
+            missed = 1 - met.filter(F.col("c") < bands).select("i").distinct().count() / n
+            want = (1 - j) ** bands
+            assert abs(missed - want) < 5 * (want / n) ** 0.5 + 2 / n
+
+
 def vectors(n, d, seed):
     rng = np.random.default_rng(seed)
     return rng.normal(size=(10, d))[rng.integers(0, 10, n)] + 0.5 * rng.normal(size=(n, d))
@@ -209,6 +227,14 @@ def test_mined_rules_are_brute_force(spark):
         assert confidence == pytest.approx(having.count(verdict) / len(having))
         assert support == pytest.approx(having.count(verdict) / len(rows))
     assert (("p:a", "p:b"), "block") in {(r[0], r[1]) for r in rules}
+    # and none is missing: what is frequent and sure is implied by a rule with some of its tokens that is as sure
+    for n in range(1, 6):
+        for tokens in combinations([f"p:{c}" for c in "abcde"], n):
+            having = [y for t, y in rows if set(tokens) <= set(t)]
+            for verdict in ("block", "allow"):
+                k = having.count(verdict)
+                if k / len(rows) >= 0.05 and k / len(having) >= 0.8:
+                    assert any(set(r[0]) <= set(tokens) and r[1] == verdict and r[2] >= k / len(having) - 1e-9 for r in rules)
     judged = df.select("t", url_rules.judge(df, rules).alias("v")).collect()
     for r in judged:
         assert r["v"] == next((v for tokens, v, *_ in rules if set(tokens) <= set(r["t"])), "allow")
