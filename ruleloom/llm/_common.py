@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,10 +73,25 @@ def fold(id_col: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What a worker keeps from task to task: one model, the last one used."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4_000_000, keep: tuple | None = None) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` has about ``most_bytes`` in each cut
     (one row at least): what Python holds at once stays bounded. Workers live
-    on after a task, so that what it held is given back at its end."""
+    on after a task, so that what it held is given back at its end, and a
+    model that other tasks held, and that is not the one to ``keep``, at its
+    beginning."""
+    if keep not in _HELD:
+        _HELD.clear()
     yield from _slices(batches, column, most_bytes)
     pa.default_memory_pool().release_unused()
 

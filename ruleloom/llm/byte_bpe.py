@@ -20,7 +20,6 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -28,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import held, slices
 
 #: Entries of each generation of a worker's memos.
-MEMO = 250_000
+MEMO = 125_000
 
 
 class Memo:
@@ -68,7 +67,7 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.all_bytes = all(bytes([i]) in ranks for i in range(256))  # then a token begins at every byte
         self._shorter: dict[int, int] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by left << 32 | right
         self._pieces = Memo()
         self._spans = Memo()
 
@@ -106,7 +105,7 @@ class ByteBpe:
             ok = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         if len(self._pairs) >= 2 * MEMO:
             self._pairs.clear()
-        self._pairs[left, right] = ok
+        self._pairs[left << 32 | right] = ok
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -124,7 +123,7 @@ class ByteBpe:
         while True:
             end = pos + len(bytes_of[token])
             if not closed[end]:
-                ok = known((last, token))
+                ok = known(last << 32 | token)
                 if ok or ok is None and self.fits(last, token):
                     out.append(token)
                     if end == n:
@@ -205,17 +204,17 @@ def cuts(text: str) -> Iterator[str]:
     yield "".join(held)
 
 
-@lru_cache(maxsize=4)
 def load(path: str, pattern: str) -> ByteBpe:
-    """Reads a file of base64 tokens and ranks; a worker keeps it."""
+    """Reads a file of base64 tokens and ranks."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
     return ByteBpe(ranks, pattern)
 
 
 def _run(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests: bool) -> Iterator[pa.RecordBatch]:
-    bpe = load(path, pattern)
-    for b in slices(batches, "_text"):
+    key = ("byte_bpe", path, pattern)
+    bpe = held(key, lambda: load(path, pattern))
+    for b in slices(batches, "_text", keep=key):
         ids = b.column("_id")
         n, first, second = [], [], []
         for text in b.column("_text").to_pylist():

@@ -19,13 +19,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, written
+from ._common import held, slices, written
 from .byte_bpe import Memo, _solid, _solid_end
 
 #: Characters of a chunk, and of the overlap that a text is first tried with.
@@ -104,14 +103,14 @@ class Counter:
         return out
 
 
-@lru_cache(maxsize=4)
 def load(path: str) -> Counter:
-    return Counter(path)
+    """The worker's own; see ``held``."""
+    return held(("token_counts", path), lambda: Counter(path))
 
 
 def _small(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     counter = load(path)
-    for b in slices(batches, "_text", 1_000_000):
+    for b in slices(batches, "_text", 1_000_000, ("token_counts", path)):
         n = counter.count([t or "" for t in b.column("_text").to_pylist()])
         yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("n_bytes"), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
@@ -143,7 +142,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, overlap: int) -> Itera
     last ``overlap`` characters where a boundary is proven and found, with the
     number of the chunk's tokens before each."""
     counter = load(path)
-    for b in slices(batches, "chunk", 1_000_000):
+    for b in slices(batches, "chunk", 1_000_000, ("token_counts", path)):
         rows = []
         for a, text in zip(b.column("a").to_pylist(), b.column("chunk").to_pylist(), strict=True):
             starts = counter.starts(text)
