@@ -48,6 +48,8 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
+#: Documents that are handed to a Python worker at once.
+BATCH = 1000
 #: SQL can express neither the classifiers nor the fingerprints' hash.
 ORACLE_SQL = None
 
@@ -62,6 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     that has nothing to learn from keeps all rows; an empty table gives an
     empty result.
     """
+    # whole documents go through Python workers: few at once, on both sides
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     docs = table(spark, sf_dir, "documents")
     before = None
     for k, (name, stage) in enumerate(STAGES):
