@@ -267,6 +267,17 @@ def silhouette(spark, d):
     return _rounded(P.silhouette(*_edist(spark, d)), "silhouette")
 
 
+#: Each vector in the cluster of its label, and every third one in the next cluster too.
+_OVER = f"(SELECT id, label AS c FROM {EMB} UNION ALL SELECT id, (label + 1) % 10 FROM {EMB} WHERE id % 3 = 0)"
+
+
+@query("silhouette_overlap", f"WITH o AS {_OVER}, m AS (SELECT i, c, avg(d) AS d FROM {EDIST} JOIN o ON j = o.id GROUP BY 1, 2), s AS (SELECT o.id, o.c, coalesce(max(d) FILTER (WHERE m.c = o.c), 0) AS a, min(d) FILTER (WHERE m.c <> o.c) AS b FROM o JOIN m ON m.i = o.id GROUP BY 1, 2), p AS (SELECT id, sum((b - a) / greatest(a, b)) / count(*) AS s FROM s GROUP BY 1) SELECT round(avg(s), 6) AS silhouette FROM p")
+def silhouette_overlap(spark, d):
+    dist, dc = _edist(spark, d)
+    more = dc.filter("id % 3 = 0").select("id", ((F.col("cluster") + 1) % 10).cast("int").alias("cluster"))
+    return _rounded(P.silhouette(dist, dc.union(more)), "silhouette")
+
+
 @query("max_intra_distance", f"SELECT li AS cluster, round(max(d), 6) AS max_intra FROM {EDIST} WHERE li = lj GROUP BY 1")
 def max_intra(spark, d):
     return _rounded(P.max_intra(*_edist(spark, d)), "max_intra")
@@ -495,13 +506,20 @@ def weighted_depth(spark, d):
 
 # selection, mining, decision sets
 
-_SEL = f"SELECT rule_id, count(*) FILTER (WHERE cluster = label) AS g, count(*) FILTER (WHERE cluster <> label) AS c FROM {HITS} JOIN {CLUSTERS} USING (rule_id) JOIN {CUST} USING (id) GROUP BY 1"
+def _greedy_sql(n: int, lam: float) -> str:
+    """One stage for each step: the rule with the best score joins those chosen."""
+    steps = [f"h AS (SELECT id, rule_id, cluster, cluster = label AS ok FROM {HITS} JOIN {CLUSTERS} USING (rule_id) JOIN {CUST} USING (id)), bad AS (SELECT rule_id, count(*) FILTER (WHERE NOT ok) AS c FROM h GROUP BY 1), s0 AS (SELECT NULL::INT AS rule_id WHERE false)"]
+    for i in range(n):
+        gain = f"(SELECT rule_id, count(*) AS g FROM h WHERE ok AND NOT EXISTS (SELECT 1 FROM h x JOIN s{i} USING (rule_id) WHERE x.ok AND x.id = h.id AND x.cluster = h.cluster) GROUP BY 1)"
+        score = f"power({1 - 1 / n}::DOUBLE, {n - i - 1}) * coalesce(g, 0) - {lam}::DOUBLE * c"
+        steps.append(f"s{i + 1} AS (SELECT rule_id FROM s{i} UNION ALL (SELECT rule_id FROM bad LEFT JOIN {gain} USING (rule_id) WHERE rule_id NOT IN (SELECT rule_id FROM s{i}) AND {score} > 0 ORDER BY {score} DESC, rule_id LIMIT 1))")
+    return f"WITH {', '.join(steps)} SELECT rule_id::INT AS rule_id FROM s{n}"
 
 
-@query("greedy_select", f"SELECT rule_id FROM ({_SEL}) WHERE g - 0.1 * c > 0 ORDER BY g - 0.1 * c DESC, rule_id LIMIT 1")
+@query("greedy_select", _greedy_sql(4, 0.1))
 def greedy_select(spark, d):
     _, hits, rc, dc = _hits(spark, d)
-    return spark.createDataFrame([(i,) for i in coverage_mistake_select(dc, rc, hits, 1, 0.1)], "rule_id int")
+    return spark.createDataFrame([(i,) for i in coverage_mistake_select(dc, rc, hits, 4, 0.1)], "rule_id int")
 
 
 CUTS = {"x0": [15.0, 20.0, 40.0], "x1": [920.0, 960.0]}

@@ -94,7 +94,7 @@ def test_silhouette_of_two_far_clusters(spark):
     dc = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "id long, cluster int")
     assert one(P.silhouette(P.distances(p, ["a"]), dc)) == 1
     alone = dc.filter("id > 0").union(spark.createDataFrame([(0, 2)], "id long, cluster int"))
-    assert one(P.silhouette(P.distances(p, ["a"]), alone)) == pytest.approx((0.0 + 0.0 + 1 + 1) / 4, abs=1)
+    assert one(P.silhouette(P.distances(p, ["a"]), alone)) == pytest.approx((0 + 0 + 1 + 1) / 4)
 
 
 def test_density_distance_is_minimax_path(spark):
@@ -136,3 +136,29 @@ def test_wide_distances_are_those_of_the_plan(spark):
     p = spark.createDataFrame(pts, "id long, " + ", ".join(f"{x} double" for x in names))
     got = {(r["i"], r["j"]): r["d"] for r in P.distances(p, names).collect()}
     assert len(got) == 50 * 49 and all(abs(got[i, j] - math.dist(x, y)) < 1e-12 for i, *x in pts for j, *y in pts if i != j)
+
+
+def test_silhouette_leaves_the_point_out(spark):
+    """By definition, for clusters that overlap and for infinite distances."""
+    import itertools
+
+    from ruleloom.operators import pairs
+
+    def brute(d, members):
+        total = []
+        for i in sorted({i for m in members.values() for i in m}):
+            mine, scores = [c for c in members if i in members[c]], []
+            mean = lambda c, i=i: (lambda o: sum(d[i, j] for j in o) / len(o) if o else 0.0)(members[c] - {i})
+            for c in mine:
+                a, b = mean(c), min(mean(k) for k in members if k != c)
+                scores.append(0 if a == b else -1 if a == float("inf") else 1 if b == float("inf") else (b - a) / max(a, b))
+            total.append(sum(scores) / len(mine))
+        return sum(total) / len(total)
+
+    x = {0: 0.0, 1: 1.0, 2: 2.5, 3: 7.0, 4: 7.0}
+    inf = float("inf")
+    for members, cut in (({0: {0, 1, 2}, 1: {2, 3}}, None), ({0: {0, 1}, 1: {1, 2}, 2: {1}}, None), ({0: {0, 1}, 1: {2, 3}, 2: {4}}, 5.0), ({0: {0, 3}, 1: {1, 2}}, 5.0), ({0: {0, 3}, 1: {4}}, 5.0)):
+        d = {(i, j): (abs(x[i] - x[j]) if cut is None or abs(x[i] - x[j]) < cut else inf) for i, j in itertools.permutations(x, 2)}
+        dist = spark.createDataFrame([(i, j, v) for (i, j), v in d.items()], "i long, j long, d double")
+        dc = spark.createDataFrame([(i, c) for c, m in members.items() for i in m], "id long, cluster int")
+        assert pairs.silhouette(dist, dc).first()[0] == pytest.approx(brute(d, members), abs=1e-9)
