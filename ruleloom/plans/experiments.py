@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from ..model import RuleSet
 from ..operators import labels as L
 from ..operators import metrics as M
+from ..operators import pairs as P
 
 RESULT = "module string, sample int, metric string, x double, value double"
 
 
-def measure(points: DataFrame, rules: RuleSet, lam: float) -> dict[str, float]:
-    """Coverage, overlap, score, distance to the reference and rule length."""
+def measure(points: DataFrame, rules: RuleSet, lam: float, features: Sequence[str] = (), centers: Sequence[Sequence[float]] = (), dist: DataFrame | None = None) -> dict[str, float]:
+    """Coverage, overlap, score, distance to the reference and rule length;
+    with the reference's centers, numbered as its clusters, the clustering cost
+    and the distance ratio too, and with distances (i, j, d) the silhouette."""
     spark = points.sparkSession
     hits = L.data_to_rules(points, rules).persist()
     try:
@@ -26,7 +29,14 @@ def measure(points: DataFrame, rules: RuleSet, lam: float) -> dict[str, float]:
         s = M.coverage_mistake(dc, hits, rc, n, lam).first()
         predicted = L.predict(points, rules, uncovered=())
         truth = points.select("id", L.labels_format("label").alias("labels"))
-        return {
+        more = {}
+        if centers:
+            at = spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(centers)], "cluster int, " + ", ".join(f"`{f}` double" for f in features))
+            more["clustering_cost"] = M.kmeans_cost(points, features, at, found, n, average=True, normalize=True).first()[0]
+            more["distance_ratio"] = M.distance_ratio_score(M.distance_ratio(points, features, centers), found).first()[0]
+        if dist is not None:
+            more["silhouette"] = P.silhouette(dist, found).first()[0]
+        return more | {
             "coverage": s["covered"] / n if n else float("nan"), "coverage_mistake_score": s["coverage_mistake_score"], "overlap": M.overlap(found).first()[0],
             "clustering_distance": M.clustering_distance(truth, predicted).first()[0], "weighted_rule_length": M.rule_length(hits, rc).first()[0], "max_rule_length": float(rules.max_length),
         }

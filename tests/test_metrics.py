@@ -162,3 +162,18 @@ def test_silhouette_leaves_the_point_out(spark):
         dist = spark.createDataFrame([(i, j, v) for (i, j), v in d.items()], "i long, j long, d double")
         dc = spark.createDataFrame([(i, c) for c, m in members.items() for i in m], "id long, cluster int")
         assert pairs.silhouette(dist, dc).first()[0] == pytest.approx(brute(d, members), abs=1e-9)
+
+
+def test_all_measures_of_a_rule_set(spark):
+    from ruleloom.model import Condition, Rule, RuleSet
+    from ruleloom.plans.experiments import measure
+
+    p = spark.createDataFrame([(0, 0.0, 0), (1, 1.0, 0), (2, 4.0, 1), (3, 9.0, 1)], "id long, x double, label int")
+    rules = RuleSet((Rule((Condition.axis("x", 4.0),), 0), Rule((Condition.axis("x", 2.0, 1),), 1)))  # both have point 2
+    got = measure(p, rules, 1.0, ["x"], [[0.0], [9.0]], P.distances(p, ["x"]))
+    assert got["clustering_cost"] == pytest.approx((0 + 1 + (16 + 25) / 2 + 0) / 4)
+    assert got["distance_ratio"] == math.inf and got["coverage"] == 1 and got["overlap"] == 1.25  # 9 / 0 at both ends
+    a, b = [2.5, 2.0, 3.5, 5.0], [6.5, 5.5, 5.0, 22 / 3]
+    want = [(y - x) / max(x, y) for x, y in zip(a, b, strict=True)]
+    want[2] = (want[2] + (3.5 - 5.0) / 5.0) / 2  # point 2 in both of its clusters
+    assert got["silhouette"] == pytest.approx(sum(want) / 4)
