@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Sequence
 
@@ -119,7 +118,3 @@ def _mdl(values: list[float], by: list[list[int]], a: int, z: int) -> list[float
         return []
     cut = (values[at] + values[at + 1]) / 2
     return [*_mdl(values, by, a, at + 1), cut, *_mdl(values, by, at + 1, z)]
-
-
-def locate(cuts: Sequence[float], value: float) -> int:
-    return bisect.bisect_left(list(cuts), value)
