@@ -8,10 +8,10 @@ from itertools import product
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import _merge, spanning_tree
+from .graphs import cut, merge, spanning_tree
 
 
 def kmeans(points: DataFrame, features: Sequence[str], k: int, seed: int = 342) -> tuple[DataFrame, list[list[float]]]:
@@ -44,16 +44,12 @@ def core_points(points: DataFrame, features: Sequence[str], eps: float, n_core:
 def dbscan(points: DataFrame, features: Sequence[str], eps: float, n_core: int) -> DataFrame:
     """(id, label): clusters are numbered by their least core point; a border
     point joins the lowest cluster with a core point near it; noise is -1."""
-    spark = points.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    near = keep(neighbours(points, features, eps))
+    near = cut(neighbours(points, features, eps))
     counts = near.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n"))
-    core = keep(points.select("id").join(counts, "id", "left").filter(F.coalesce("n", F.lit(0)) + 1 >= n_core).select("id"))
+    core = cut(points.select("id").join(counts, "id", "left").filter(F.coalesce("n", F.lit(0)) + 1 >= n_core).select("id"))
     links = near.join(core.select(F.col("id").alias("i")), "i", "left_semi").join(core.select(F.col("id").alias("j")), "j", "left_semi")
-    comp = keep(_merge(core.select(F.col("id").alias("v"), F.col("id").alias("c")), links.select(F.col("i").alias("ci"), F.col("j").alias("cj")), keep))
+    comp = cut(merge(core.select(F.col("id").alias("v"), F.col("id").alias("c")), links.select(F.col("i").alias("ci"), F.col("j").alias("cj"))))
     names = comp.select("c").distinct().orderBy("c")
-    from pyspark.sql import Window
-
     numbered = names.select("c", (F.row_number().over(Window.orderBy("c")) - 1).alias("label"))  # clusters only
     member = comp.join(numbered, "c").select(F.col("v").alias("id"), "label")
     border = near.join(member.select(F.col("id").alias("j"), "label"), "j").groupBy(F.col("i").alias("id")).agg(F.min("label").alias("near"))
@@ -62,14 +58,10 @@ def dbscan(points: DataFrame, features: Sequence[str], eps: float, n_core: int)
 
 def single_linkage(dist: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, label): components of the spanning tree without its k - 1 longest edges."""
-    spark = dist.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    tree = keep(spanning_tree(dist))
+    tree = spanning_tree(dist)
     gone = tree.orderBy(F.desc("d"), F.desc("i"), F.desc("j")).limit(max(0, k - 1))
     links = tree.join(gone, ["i", "j"], "left_anti").select(F.col("i").alias("ci"), F.col("j").alias("cj"))
-    comp = _merge(ids.select(F.col("id").alias("v"), F.col("id").alias("c")), links, keep)
-    from pyspark.sql import Window
-
+    comp = merge(ids.select(F.col("id").alias("v"), F.col("id").alias("c")), links)
     names = comp.select("c").distinct().select("c", (F.row_number().over(Window.orderBy("c")) - 1).cast("int").alias("label"))
     return comp.join(names, "c").select(F.col("v").alias("id"), "label")
 

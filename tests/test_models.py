@@ -10,6 +10,8 @@ from ruleloom.operators import clusters as C
 from ruleloom.operators import labels as L
 from ruleloom.operators import splits as S
 from ruleloom.operators.select import coverage_mistake_select, select_with_grid
+from ruleloom.operators.graphs import spanning_tree
+from ruleloom.operators.pairs import distances
 from ruleloom.plans.mining import ClassAssociationMiner, PointwiseMiner
 from ruleloom.plans.sets import CBA, IDS, DecisionSet, DSCluster, ids_objective, ids_search, ids_weights
 from ruleloom.plans.trees import DecisionTree, ExplanationTree, ID3Tree, ImmTree
@@ -205,6 +207,31 @@ def test_dbscan_is_brute_force(spark):
     assert {r["id"]: r["label"] for r in C.dbscan(df, ["a", "b"], 0.45, 4).collect()} == want
 
 
+def test_single_linkage_is_brute_force_on_a_chain(spark):
+    rng = random.Random(9)
+    at = [sum(rng.choice([1.0, 1.5, 2.0]) for _ in range(i)) for i in range(24)]
+    pts = [(i, x + (50.0 if i >= 16 else 0.0)) for i, x in zip(rng.sample(range(24), 24), sorted(at), strict=True)]
+    df = spark.createDataFrame(pts, "id long, a double")
+    dist = distances(df, ["a"]).cache()
+    edges = sorted(((r["d"], r["i"], r["j"]) for r in dist.filter("i < j").collect()))
+    up, want = {i: i for i, _ in pts}, set()
+    root = lambda x: x if up[x] == x else root(up[x])
+    for d, i, j in edges:
+        if root(i) != root(j):
+            up[root(i)] = root(j)
+            want.add((i, j, d))
+    for held in (0, 1000):
+        assert {tuple(r) for r in spanning_tree(dist, held).collect()} == want
+    kept = sorted(want, key=lambda e: (e[2], e[0], e[1]))[:-2]
+    up = {i: i for i, _ in pts}
+    for i, j, _ in kept:
+        up[root(i)] = root(j)
+    least = {}
+    for i in sorted(up):
+        least.setdefault(root(i), len(least))
+    assert {r["id"]: r["label"] for r in C.single_linkage(dist, df, 3).collect()} == {i: least[root(i)] for i in up}
+
+
 def ids_stats(n, rng):
     rules = [Rule(tuple(Condition.axis("f0", float(k)) for k in range(1 + i % 3)), i % 2) for i in range(n)]
     ok = {i: rng.randint(0, 40) for i in range(n)}
