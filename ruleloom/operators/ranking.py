@@ -19,7 +19,30 @@ def best_by(df: DataFrame, by: list[str], score: str, proxy: str, key: str, seed
     return df.groupBy(*by).agg(picked.alias("_m")).select(*by, "_m._r.*")
 
 
+def value_spans(cells: DataFrame, spans: int = 64) -> dict[int, list[float]]:
+    """Approximate percentiles of each feature's values, to cut it into spans."""
+    at = [k / spans for k in range(1, spans)]
+    return {r["feature"]: sorted(set(r["e"])) for r in cells.groupBy("feature").agg(F.percentile_approx("value", at, 1_000).alias("e")).collect()}
+
+
+def placed(cells: DataFrame, *order: str) -> DataFrame:
+    """(feature, value, ...) with a ``place`` from 0 by the given order, which
+    begins with the value. Each feature is cut into spans: rows are numbered in
+    their span, and moved by the sizes of the spans below, so that no task
+    sorts a whole feature. Where spans are cut decides on balance only."""
+    edges = value_spans(cells)
+    cut = F.lit(0)
+    for f, e in edges.items():
+        cut = F.when(F.col("feature") == f, F.size(F.filter(F.array(*map(F.lit, e)), lambda x: x < F.col("value")))).otherwise(cut)
+    cells = cells.withColumn("_b", cut)
+    sizes = cells.groupBy("feature", "_b").agg(F.count("*").alias("_n"))
+    below = Window.partitionBy("feature").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("feature", "_b", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_s"))  # a row a span
+    inner = F.row_number().over(Window.partitionBy("feature", "_b").orderBy(*order))
+    return cells.withColumn("_r", inner).join(F.broadcast(starts), ["feature", "_b"]).withColumn("place", F.col("_s") + F.col("_r") - 1).drop("_b", "_r", "_s")
+
+
 def value_ranks(points: DataFrame, features: list[str]) -> DataFrame:
     """(id, feature, value, rank) with ranks from 1 by value, then id."""
     cells = points.select("id", F.posexplode(F.array(*(F.col(f).cast("double") for f in features))).alias("feature", "value"))
-    return cells.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy("value", "id")))
+    return placed(cells, "value", "id").select("id", "feature", "value", (F.col("place") + 1).cast("int").alias("rank"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import bin_of, entropy_cuts
 from ..model import Condition, Rule, RuleSet
+from ..operators.graphs import cut
+from ..operators.ranking import placed
 
 
 class RuleMiner(ABC):
@@ -105,10 +107,20 @@ class ClassAssociationMiner(RuleMiner):
 
 @dataclass
 class PointwiseMiner(RuleMiner):
-    """Grows a random box around each seed point until a point of another label
-    would be inside. Seeds are spread over tasks; all of them grow against a
-    sample of at most ``most_points`` points, which is sent to the tasks.
-    Support and confidence are counted over all points afterwards."""
+    """Grows a random box around each labelled point, in a random number of
+    features, until a point of another label would come inside.
+
+    Each side of a box moves by one value at a time. The moments at which it
+    moves are those of a Poisson process of its own, so that the next side to
+    move is drawn evenly, and a box can be grown against each block of points
+    apart: a point comes inside when the last of its features does, and the box
+    stops at the least such moment over all blocks. Every point is a seed and
+    an obstacle; blocks of both meet in an equi-join, in which all pairs are
+    looked at, so this is for tables whose pairs can be paid for. Points
+    without a label or with a null or NaN feature take no part, equal points of
+    a label are one obstacle, and a point of another label on the seed itself
+    stops nothing. Support and confidence are counted over all points.
+    """
 
     features: Sequence[str]
     samples: int = 10
@@ -116,7 +128,7 @@ class PointwiseMiner(RuleMiner):
     prob_stop: float = 1.0
     ignore: tuple[int, ...] = (-1,)
     seed: int = 0
-    most_points: int = 100_000
+    block: int = 4096
 
     def __post_init__(self):
         _share(self.prob_dim, "prob_dim")
@@ -125,59 +137,142 @@ class PointwiseMiner(RuleMiner):
             raise ValueError("samples is a positive int")
 
     def fit(self, points: DataFrame) -> RuleSet:
-        points = points.filter(F.col("label").isNotNull())
-        drawn = points.orderBy(F.xxhash64("id", F.lit(self.seed))).limit(self.most_points).select("id", "label", *self.features).toPandas()
-        spark = points.sparkSession
-        shared = spark.sparkContext.broadcast((drawn[list(self.features)].to_numpy(float), drawn["label"].to_numpy()))
-        prob_dim, prob_stop, seed = self.prob_dim, self.prob_stop, self.seed
-
-        def grow(batches):
-            x, y = shared.value
+        """Rules in the order of label and bounds; ``cars`` has their figures."""
+        found = self.table(points).orderBy("label", "lo", "hi").collect()
+        self.cars = []
+        for r in found:
+            items = tuple((f, a, z) for f, a, z in zip(self.features, r["lo"], r["hi"], strict=True) if np.isfinite(a) or np.isfinite(z))
+            if items:
+                self.cars.append(Car(items, r["label"], r["support"], r["confidence"]))
+        return RuleSet(tuple(c.rule() for c in self.cars)).trimmed()
+
+    def table(self, points: DataFrame) -> DataFrame:
+        """(lo, hi, label, n, support, confidence) of each different box; bounds
+        (lower, upper] for each feature, infinite where it has none."""
+        sound = [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in self.features]
+        points = points.select("id", "label", *self.features).filter(F.col("label").isNotNull())
+        for c in sound:
+            points = points.filter(c)
+        names, d = list(self.features), len(self.features)
+        cells = points.select(F.posexplode(F.array(*(F.col(f).cast("double") for f in names))).alias("feature", "value")).distinct()
+        places = cut(placed(cells, "value"))
+        ends = {r["feature"]: r["m"] for r in places.groupBy("feature").agg(F.max("place").alias("m")).collect()}
+        at = points.select("id", "label", *(F.col(f).cast("double").alias(f) for f in names))
+        for k, f in enumerate(names):
+            at = at.join(places.filter(F.col("feature") == k).select(F.col("value").alias(f), F.col("place").alias(f"p{k}")), f)
+        at = cut(at.select("id", "label", F.array(*(F.col(f"p{k}") for k in range(d))).alias("p")))
+        same = at.groupBy("p", "label").agg(F.count("*").alias("n"))
+        total = at.count()
+        blocks = max(1, -(-total // self.block))
+        deal = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+        every = F.sequence(F.lit(0), F.lit(blocks - 1))
+        rows = same.groupBy(deal(blocks, "p", "label").alias("bj")).agg(F.collect_list(F.struct("p", "label", "n")).alias("q"))
+        right = cut(rows.select("bj", F.flatten("q.p").alias("xp"), F.col("q.label").alias("xy"), F.col("q.n").alias("xn")))
+
+        def meet(left: DataFrame, rows: int, columns: list[str], out, schema: str) -> DataFrame:
+            """Left rows, about 1,000 at once, with each block of points, through out(row)."""
+            packs = max(1, -(-rows // 1000))
+            packed = left.groupBy(deal(packs, *columns).alias("bi")).agg(F.collect_list(F.struct(*columns)).alias("s"))
+            packed = packed.select(F.explode(every).alias("bj"), "bi", *(F.col(f"s.{c}").alias(c) for c in columns))
+            joined = packed.join(right, "bj").repartition(min(packs * blocks, 8 * left.sparkSession.sparkContext.defaultParallelism), "bi", "bj")
+
+            def run(batches):
+                for b in batches:
+                    for r in b.itertuples(index=False):
+                        yield out(r, np.asarray(r.xp, np.int64).reshape(-1, d))
+
+            return joined.select(*columns, "xp", "xy", "xn").mapInPandas(run, schema)
+
+        grow = _Growth(d, self.prob_dim, self.prob_stop, self.seed)
+        seeds = at.filter(~F.col("label").isin(list(self.ignore)))
+        seeds = seeds.select(F.xxhash64("id").bitwiseAND(F.lit(2**62 - 1)).alias("key"), "label", "p", F.explode(F.sequence(F.lit(0), F.lit(self.samples - 1))).alias("s"))
+
+        def stops(r, x):
+            y = np.asarray(r.xy)
+            times = [grow.stop(int(s), int(key), np.asarray(p), x[y != label]) for s, key, label, p in zip(r.s, r.key, r.label, r.p, strict=True)]
+            return pd.DataFrame({"key": r.key, "s": r.s, "label": r.label, "p": list(r.p), "t": times})
+
+        stopped = meet(seeds, total * self.samples, ["key", "s", "label", "p"], stops, "key long, s int, label int, p array<long>, t double").groupBy("key", "s", "label", "p").agg(F.min("t").alias("t"))
+        last = [ends.get(k, 0) for k in range(d)]
+
+        def boxes(batches):
             for b in batches:
-                boxes = [_box(x, y, int(r), np.random.default_rng([seed, int(s), int(r)]), prob_dim, prob_stop) for s, r in zip(b["s"], b["r"], strict=True)]
-                yield pd.DataFrame([(lo, hi, int(y[r])) for (lo, hi), r in zip(boxes, b["r"], strict=True)], columns=["lo", "hi", "label"])
+                made = [grow.box(int(s), int(key), np.asarray(p), t, last) for s, key, p, t in zip(b["s"], b["key"], b["p"], b["t"], strict=True)]
+                yield pd.DataFrame({"label": b["label"], "a": [a for a, _ in made], "z": [z for _, z in made]})
 
-        rows = np.nonzero(~np.isin(drawn["label"].to_numpy(), self.ignore))[0]
-        seeds = spark.createDataFrame(pd.DataFrame({"r": rows.astype(int)})).select("r", F.explode(F.sequence(F.lit(0), F.lit(self.samples - 1))).alias("s"))
-        found = seeds.repartition(max(2, spark.sparkContext.defaultParallelism)).mapInPandas(grow, "lo array<double>, hi array<double>, label int").distinct().orderBy("label", "lo", "hi").collect()
-        rules = []
-        for r in found:
-            bounds = [c for f, a, z in zip(self.features, r["lo"], r["hi"], strict=True) for c in (Condition.axis(f, a, 1), Condition.axis(f, z, -1))]
-            rules.append(Rule(tuple(bounds), r["label"]))
-        return RuleSet(tuple(rules)).trimmed()
-
-
-def _box(x: np.ndarray, y: np.ndarray, r: int, rng: np.random.Generator, prob_dim: float, prob_stop: float) -> tuple[list[float], list[float]]:
-    """Bounds (lower, upper] of a box around row r: a random number of features
-    is bounded; their sides move out by one rank at a time, in random order,
-    and stop where a point of another label would come inside."""
-    n, d = x.shape
-    m = min(d, int(rng.geometric(prob_dim)) if prob_dim > 0 else d)
-    chosen = sorted(rng.choice(d, m, replace=False))
-    values = [np.unique(x[:, j]) for j in chosen]
-    low = [int(np.searchsorted(v, x[r, j])) for v, j in zip(values, chosen, strict=True)]
-    high = list(low)
-    open_sides = [(k, s) for k in range(m) for s in (-1, 1)]
-    other = x[y != y[r]][:, chosen]
-    while open_sides:
-        k, s = open_sides[rng.integers(len(open_sides))]
-        new_low, new_high = list(low), list(high)
-        if s < 0:
-            new_low[k] -= 1
-        else:
-            new_high[k] += 1
-        if new_low[k] < 0 or new_high[k] >= len(values[k]):
-            open_sides.remove((k, s))
-            continue
-        inside = np.all([(other[:, i] >= values[i][new_low[i]]) & (other[:, i] <= values[i][new_high[i]]) for i in range(m)], axis=0)
-        before = np.all([(other[:, i] >= values[i][low[i]]) & (other[:, i] <= values[i][high[i]]) for i in range(m)], axis=0)
-        if (inside & ~before).any() and rng.random() < prob_stop:
-            break
-        low, high = new_low, new_high
-    lo, hi = [-np.inf] * d, [np.inf] * d
-    for i, j in enumerate(chosen):
-        if low[i] > 0:
-            lo[j] = float(values[i][low[i] - 1])
-        if high[i] < len(values[i]) - 1:
-            hi[j] = float(values[i][high[i]])
-    return lo, hi
+        found = cut(stopped.mapInPandas(boxes, "label int, a array<long>, z array<long>").distinct())
+
+        def inside(r, x):
+            y, n = np.asarray(r.xy), np.asarray(r.xn)
+            hits = [np.all((x > np.asarray(a)) & (x <= np.asarray(z)), axis=1) for a, z in zip(r.a, r.z, strict=True)]
+            return pd.DataFrame({"label": r.label, "a": list(r.a), "z": list(r.z), "n": [int(n[h].sum()) for h in hits], "ok": [int(n[h & (y == label)].sum()) for h, label in zip(hits, r.label, strict=True)]})
+
+        counts = meet(found, found.count(), ["label", "a", "z"], inside, "label int, a array<long>, z array<long>, n long, ok long").groupBy("label", "a", "z").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
+        for k in range(d):  # places back to values; -1 and the last place are no bounds
+            of = places.filter(F.col("feature") == k)
+            counts = counts.withColumns({"_a": F.get("a", F.lit(k)), "_z": F.get("z", F.lit(k))})
+            counts = counts.join(of.select(F.col("place").alias("_a"), F.col("value").alias(f"lo{k}")), "_a", "left").join(of.select(F.col("place").alias("_z"), F.col("value").alias(f"hi{k}")), "_z", "left")
+            counts = counts.withColumn(f"hi{k}", F.when(F.col("_z") < F.lit(last[k]), F.col(f"hi{k}"))).drop("_a", "_z")
+        inf = float("inf")
+        lo, hi = (F.array(*(F.coalesce(f"{side}{k}", F.lit(x)) for k in range(d))).alias(side) for side, x in (("lo", -inf), ("hi", inf)))
+        return counts.select(lo, hi, "label", "n", (F.col("n") / max(1, total)).alias("support"), (F.col("ok") / F.col("n")).alias("confidence"))
+
+
+@dataclass(frozen=True)
+class _Growth:
+    """The random draws of a box, the same wherever they are made."""
+
+    d: int
+    prob_dim: float
+    prob_stop: float
+    seed: int
+
+    def chosen(self, s: int, key: int) -> np.ndarray:
+        rng = np.random.default_rng([self.seed, s, key])
+        m = min(self.d, int(rng.geometric(self.prob_dim)) if self.prob_dim > 0 else self.d)
+        return np.sort(rng.choice(self.d, m, replace=False))
+
+    def moves(self, s: int, key: int, k: int, side: int, n: int) -> np.ndarray:
+        """Moments of a side's first n moves."""
+        return np.cumsum(np.random.default_rng([self.seed, s, key, k, side]).standard_exponential(n))
+
+    def stop(self, s: int, key: int, p: np.ndarray, others: np.ndarray, reach: int = 64) -> float:
+        """The first moment at which one of the others stops the box."""
+        chosen = self.chosen(s, key)
+        far = np.abs(others[:, chosen] - p[chosen])
+        furthest = int(far.max(initial=0))
+        while furthest:
+            reach = min(reach, furthest)
+            near = (far.max(axis=1) <= reach) & (far.max(axis=1) > 0)
+            moments = {(k, side): np.concatenate([[0.0], self.moves(s, key, int(k), side, reach)]) for k in chosen for side in (0, 1)}
+            steps, up = far[near], others[near][:, chosen] > p[chosen]
+            each = np.stack([np.where(up[:, i], moments[k, 1][steps[:, i]], moments[k, 0][steps[:, i]]) for i, k in enumerate(chosen)], axis=1)
+            t = each.max(axis=1)
+            if self.prob_stop < 1 and len(t):
+                by = each.argmax(axis=1)
+                coins = {(k, side): np.random.default_rng([self.seed, s, key, int(k), side, 1]).random(reach) for k in chosen for side in (0, 1)}
+                t = t[[coins[chosen[i], int(up[q, i])][steps[q, i] - 1] < self.prob_stop for q, i in enumerate(by)]]
+            first = float(t.min(initial=np.inf))
+            if reach == furthest or first <= min(m[-1] for m in moments.values()):
+                return first
+            reach *= 4
+        return float("inf")
+
+    def box(self, s: int, key: int, p: np.ndarray, t: float, last: Sequence[int]) -> tuple[list[int], list[int]]:
+        """Places (lower, upper] of a box that stops at moment t."""
+        lower, upper = [-1] * self.d, list(last)
+        for k in map(int, self.chosen(s, key)):
+            room = (int(p[k]), int(last[k] - p[k]))
+            down, up = (n if np.isinf(t) else self._made(s, key, k, side, n, t) for side, n in enumerate(room))
+            lower[k], upper[k] = int(p[k]) - down - 1, int(p[k]) + up
+        return lower, upper
+
+    def _made(self, s: int, key: int, k: int, side: int, room: int, t: float) -> int:
+        """How many moves a side has made before moment t."""
+        n = min(room, 64)
+        while n:
+            made = int(np.searchsorted(self.moves(s, key, k, side, n), t))
+            if made < n or n == room:
+                return made
+            n = min(room, 4 * n)
+        return 0

@@ -566,10 +566,7 @@ def ids_terms(spark, d):
 
 @query("pointwise_rules")
 def pointwise_rules(spark, d):
-    p = parts(spark, d)
-    rules = PointwiseMiner(["x0", "x1"], samples=1, most_points=500).fit(p)
-    hits = L.data_to_rules(p, RuleSet(rules.rules[:50])).join(p.select("id", "label"), "id").join(L.rules_to_clusters(spark, rules), "rule_id")
-    return hits.groupBy("rule_id").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("cluster")).cast("int")).alias("confidence"))
+    return PointwiseMiner(["x0", "x1"]).table(parts(spark, d))
 
 
 # clusterings

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ruleloom.operators import splits as S
 from ruleloom.operators.select import coverage_mistake_select, select_with_grid
 from ruleloom.operators.graphs import spanning_tree
 from ruleloom.operators.pairs import distances
-from ruleloom.plans.mining import ClassAssociationMiner, PointwiseMiner
+from ruleloom.plans.mining import ClassAssociationMiner, PointwiseMiner, _Growth
 from ruleloom.plans.sets import CBA, IDS, DecisionSet, DSCluster, ids_objective, ids_search, ids_weights
 from ruleloom.plans.trees import DecisionTree, ExplanationTree, ID3Tree, ImmTree
 from ruleloom.streaming.scoring import score_stream
@@ -174,6 +175,46 @@ def test_pointwise_boxes_hold_one_label(spark):
     assert again == rules
 
 
+def test_pointwise_boxes_are_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, float(rng.randint(0, 25)), float(rng.randint(0, 25)), rng.choice([0, 0, 0, 1])) for i in range(150)]
+    p = points(spark, [*rows, (900, None, 1.0, 0)])
+    for prob_stop in (1.0, 0.4):
+        make = lambda block, prob_stop=prob_stop: PointwiseMiner(["f0", "f1"], samples=2, prob_stop=prob_stop, block=block)
+        found = make(4096).table(p).collect()
+        assert sorted(map(tuple, found), key=str) == sorted(map(tuple, make(40).table(p).collect()), key=str)  # blocks change nothing
+        for r in found:
+            hit = [y for _, a, b, y in rows if r["lo"][0] < a <= r["hi"][0] and r["lo"][1] < b <= r["hi"][1]]
+            assert r["n"] == len(hit) and r["support"] == pytest.approx(len(hit) / 150)
+            assert r["confidence"] == pytest.approx(hit.count(r["label"]) / len(hit))
+        sure = sum(r["confidence"] == 1.0 for r in found) / len(found)
+        assert sure > 0.5 if prob_stop == 1 else sure < 1
+
+
+def test_a_box_moves_one_side_at_a_time():
+    grow = _Growth(2, 0.01, 1.0, 3)
+    rng = np.random.default_rng(5)
+    for key in range(200):
+        x = rng.integers(0, 40, (60, 2))
+        p, last = x[0], [39, 39]
+        others = x[1:]
+        sides = sorted((t, k, side) for k in map(int, grow.chosen(0, key)) for side in (0, 1) for t in grow.moves(0, key, k, side, 40))
+        lo, hi = [-1, -1], [39, 39]
+        for k in map(int, grow.chosen(0, key)):
+            lo[k], hi[k] = p[k] - 1, p[k]
+        had = np.all((others > lo) & (others <= hi), axis=1)
+        for _, k, side in sides:
+            new_lo, new_hi = list(lo), list(hi)
+            if side:
+                new_hi[k] = min(39, hi[k] + 1)
+            else:
+                new_lo[k] = max(-1, lo[k] - 1)
+            if (np.all((others > new_lo) & (others <= new_hi), axis=1) & ~had).any():
+                break
+            lo, hi = new_lo, new_hi
+        assert grow.box(0, key, p, grow.stop(0, key, p, others, reach=2), last) == (lo, hi)
+
+
 def test_predict_without_cover_and_on_a_stream(spark, tmp_path):
     p = points(spark, grid(20))
     rules = RuleSet((Rule((Condition.axis("f0", 0.5),), 4),))
