@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Scaler
+from ..operators.splits import axes, candidates
 
 
 def standard_scaler(points: DataFrame, features: Sequence[str]) -> Scaler:
@@ -73,48 +74,45 @@ def _entropy(counts: Sequence[float]) -> float:
     return -sum(c / n * math.log2(c / n) for c in counts if c) if n else 0.0
 
 
-def entropy_cuts(points: DataFrame, features: Sequence[str], label: str, most_values: int = 100_000) -> dict[str, list[float]]:
+def entropy_cuts(points: DataFrame, features: Sequence[str], label: str) -> dict[str, list[float]]:
     """Cuts by Fayyad and Irani's minimum description length (1993).
 
-    One job counts (feature, value, label); recursion then works on these
-    counts. A feature with over ``most_values`` distinct values is first
-    rounded to that many percentiles, so that what the driver holds is bounded.
-    """
-    out: dict[str, list[float]] = {}
-    for f in features:
-        rows = points.select(F.col(f).cast("double").alias("v"), F.col(label).alias("y")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-        if rows.agg(F.approx_count_distinct("v")).first()[0] > most_values:
-            edges = sorted(set(rows.agg(F.percentile_approx("v", [k / 1000 for k in range(1001)], 100_000)).first()[0]))
-            rows = rows.withColumn("v", F.lit(edges)[F.least(bin_of(F.col("v"), edges), F.lit(len(edges) - 1))])
-        counts = rows.groupBy("v", "y").count().orderBy("v").collect()
-        labels = {y: k for k, y in enumerate(sorted({r["y"] for r in counts}))}
-        values: list[float] = []
-        by: list[list[int]] = []
-        for r in counts:
-            if not values or values[-1] != r["v"]:
-                values.append(r["v"])
-                by.append([0] * len(labels))
-            by[-1][labels[r["y"]]] += r["count"]
-        out[f] = sorted(_mdl(values, by, 0, len(values)))
-    return out
-
-
-def _mdl(values: list[float], by: list[list[int]], a: int, z: int) -> list[float]:
-    total = [sum(c) for c in zip(*by[a:z], strict=True)] if z > a else []
-    n = sum(total)
-    if z - a < 2 or sum(c > 0 for c in total) < 2:
-        return []
-    h, left, best, at = _entropy(total), [0] * len(total), None, -1
-    for k in range(a, z - 1):
-        left = [x + y for x, y in zip(left, by[k], strict=True)]
-        right = [t - x for t, x in zip(total, left, strict=True)]
-        e = (sum(left) * _entropy(left) + sum(right) * _entropy(right)) / n
-        if best is None or e < best[0] - 1e-12:
-            best, at = (e, left, right), k
-    e, left, right = best
-    k, k1, k2 = (sum(c > 0 for c in x) for x in (total, left, right))
+    Each round finds the best cut of every open interval of a feature by one
+    plan over all its values; the driver sees that cut and the label counts on
+    both sides. Ties go to the lowest cut. Nulls and NaN take no part."""
+    return {f: _cuts(points.select(F.col(f).cast("double").alias("v"), F.col(label).alias("label"))) for f in features}
+
+
+def _cuts(rows: DataFrame) -> list[float]:
+    rows = rows.filter(F.col("v").isNotNull() & ~F.isnan("v") & F.col("label").isNotNull()).persist()
+    labels = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    cuts, intervals = [], [(-math.inf, math.inf)]
+    total = lambda side: F.aggregate(side, F.lit(0).cast("long"), lambda a, x: a + x)
+    while intervals and len(labels) > 1:
+        node = F.lit(None).cast("int")
+        for k, (low, high) in enumerate(intervals):
+            node = F.when((F.col("v") > low) & (F.col("v") <= high), F.lit(k)).otherwise(node)
+        left, right = total("l"), total("r")
+        inner = lambda c, n: F.aggregate(c, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log2(x / F.greatest(n, F.lit(1)))).otherwise(0.0))
+        e = F.round((inner("l", left) + inner("r", right)) / (left + right), 12)
+        found = candidates(rows, axes(["v"]), labels, node).groupBy("node").agg(F.min(F.struct(e.alias("e"), "threshold", "above", "l", "r")).alias("b"))
+        later = []
+        for r in found.select("node", "b.*").collect():  # a row an interval
+            if _pays(r["l"], r["r"]):
+                cut = (r["threshold"] + r["above"]) / 2
+                low, high = intervals[r["node"]]
+                cuts.append(cut)
+                later += [(low, cut), (cut, high)]
+        intervals = later
+    rows.unpersist()
+    return sorted(cuts)
+
+
+def _pays(left: Sequence[int], right: Sequence[int]) -> bool:
+    """Does a cut with these label counts tell more than it takes to state?"""
+    whole = [a + b for a, b in zip(left, right, strict=True)]
+    n, h = sum(whole), _entropy(whole)
+    k, k1, k2 = (sum(c > 0 for c in x) for x in (whole, left, right))
+    e = (sum(left) * _entropy(left) + sum(right) * _entropy(right)) / n
     delta = math.log2(3**k - 2) - (k * h - k1 * _entropy(left) - k2 * _entropy(right))
-    if h - e <= (math.log2(n - 1) + delta) / n:
-        return []
-    cut = (values[at] + values[at + 1]) / 2
-    return [*_mdl(values, by, a, at + 1), cut, *_mdl(values, by, at + 1, z)]
+    return k > 1 and h - e > (math.log2(n - 1) + delta) / n

@@ -151,6 +151,49 @@ def test_entropy_cuts_find_the_borders(spark):
     assert any(abs(c - 0.5) < 0.02 for c in cuts["f0"]) and any(abs(c - 0.4) < 0.03 for c in cuts["f1"])
 
 
+def entropy(counts):
+    n = sum(counts)
+    return -sum(c / n * math.log2(c / n) for c in counts if c) if n else 0.0
+
+
+def mdl(values, by, a, z):
+    total = [sum(c) for c in zip(*by[a:z], strict=True)] if z > a else []
+    n = sum(total)
+    if z - a < 2 or sum(c > 0 for c in total) < 2:
+        return []
+    h, left, best, at = entropy(total), [0] * len(total), None, -1
+    for k in range(a, z - 1):
+        left = [x + y for x, y in zip(left, by[k], strict=True)]
+        right = [t - x for t, x in zip(total, left, strict=True)]
+        e = (sum(left) * entropy(left) + sum(right) * entropy(right)) / n
+        if best is None or e < best[0] - 1e-12:
+            best, at = (e, left, right), k
+    e, left, right = best
+    k, k1, k2 = (sum(c > 0 for c in x) for x in (total, left, right))
+    delta = math.log2(3**k - 2) - (k * h - k1 * entropy(left) - k2 * entropy(right))
+    if h - e <= (math.log2(n - 1) + delta) / n:
+        return []
+    cut = (values[at] + values[at + 1]) / 2
+    return [*mdl(values, by, a, at + 1), cut, *mdl(values, by, at + 1, z)]
+
+
+def test_entropy_cuts_are_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(1500):
+        v = rng.randint(0, 300) / 4
+        rows.append((i, v, (0 if v < 20 else 1 if v < 45 else 2) if rng.random() < 0.9 else rng.randint(0, 2)))
+    values = sorted({v for _, v, _ in rows})
+    place = {v: k for k, v in enumerate(values)}
+    by = [[0, 0, 0] for _ in values]
+    for _, v, y in rows:
+        by[place[v]][y] += 1
+    want = mdl(values, by, 0, len(values))
+    got = entropy_cuts(points(spark, [*rows, (9000, None, 1), (9001, float("nan"), 2)]), ["f0"], "label")["f0"]
+    assert got == pytest.approx(sorted(want)) and len(want) >= 2
+    assert entropy_cuts(points(spark, [(0, 1.0, 0), (1, 2.0, 0)]), ["f0"], "label") == {"f0": []}
+
+
 def test_decision_sets(spark):
     p = points(spark, grid()).cache()
     miner = ClassAssociationMiner(["f0", "f1"], min_support=0.05, min_confidence=0.8, cuts={"f0": [0.5], "f1": [0.4]})
