@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, licenses, nearest, quality, simhash, token_counts, url_rules, warc
+from . import byte_bpe, decontaminate, filter_audit, language_id, licenses, nearest, packing, quality, simhash, token_counts, url_rules, variants, warc
 from ._common import table
 
 
@@ -53,6 +53,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_nearest": op2_nearest,
@@ -64,9 +76,13 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op11_packing": op11_packing,
+    "op12_variants": op12_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
 #: SQL twins, for DuckDB, of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontaminate.SQL,
     "op10_warc": warc.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
