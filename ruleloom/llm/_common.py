@@ -133,15 +133,29 @@ def runs(data: bytes, ends: str, most: int = 1_000_000) -> Iterator[bytes]:
         start = stop
 
 
-def class_sample(df: DataFrame, key: Column, label: str, most: int, seed: int = 7) -> tuple[DataFrame, dict]:
-    """Rows drawn by a hash of ``key`` so that each value of ``label`` keeps
-    about ``most`` of them (all, if it has fewer), and the counts by label.
-    Which rows are drawn depends on the rows alone, not on their order or
-    partitions. There may be 10,000 labels at most."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().limit(10_001).collect()}
+def below(h: Column, share: float | Column) -> Column:
+    """Is the 64-bit hash ``h`` among that share of all hashes? Fine enough for
+    a share of one in 2 ** 52, and all of them from 1 on."""
+    share = F.lit(share) if isinstance(share, float) else share
+    return (F.shiftrightunsigned(h, 1).cast("double") < share * F.lit(float(1 << 63))) | (share >= 1)
+
+
+def class_sample(df: DataFrame, key: Column, label: str, most: int, seed: int = 7) -> tuple[DataFrame, list]:
+    """Rows drawn by the hash of ``key`` so that each value of ``label`` keeps
+    its rows of about ``most`` to 1.5 ``most`` keys, those with the least hashes
+    (all, if it has fewer), and the labels. Keys are counted, not rows, so that
+    copies neither crowd others out nor take a label's place. Which rows are
+    drawn depends on the rows alone, not on their order or partitions. There
+    may be 10,000 labels at most."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.approx_count_distinct(key, 0.02)).limit(10_001).collect()}
     if len(counts) > 10_000:
         raise ValueError(f"{label} has over 10,000 values; it is no class label")
-    share = F.lit(0)
+    share = F.lit(0.0)
     for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(int(min(1.0, most / n) * 1_000_000))).otherwise(share)
-    return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < share), counts
+        share = F.when(F.col(label) == F.lit(value), F.lit(share_of(most, n))).otherwise(share)
+    return df.filter(below(F.xxhash64(key, F.lit(seed)), share)), sorted(counts)
+
+
+def share_of(most: int, n: int) -> float:
+    """The share to draw of about n, so that ``most`` are reached almost surely."""
+    return min(1.0, 1.25 * most / n) if n > 1.1 * most else 1.0

@@ -4,8 +4,8 @@ Bytes are mapped to Latin-1 characters, so that a pyahocorasick automaton over
 the vocabulary finds every token at every byte of a piece in one pass. The
 encoder walks the piece, takes the longest token that ends at a still open
 position and that may follow the token before it, and steps back when none
-does. Each byte position is closed at most once, so that a piece of n bytes
-costs O(n) steps. Two adjacent tokens are compatible if merging their joined
+does. Each byte position is closed at most once, and a search for a token sees
+a token's length of the piece, so that a piece of n bytes costs O(n). Two adjacent tokens are compatible if merging their joined
 bytes by rank gives just these two tokens; that is memoised. A sequence whose
 neighbours are all compatible is the one that the ranked merges give.
 
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import pyarrow as pa
@@ -31,6 +33,9 @@ from ._common import held, slices
 
 #: Entries of each generation of a worker's memos.
 MEMO = 125_000
+#: Characters of a run of a very long text.
+RUN = 1_000_000
+_BETWEEN = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
 class Memo:
@@ -65,6 +70,7 @@ class ByteBpe:
         for b, i in ranks.items():
             self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.longest = max(map(len, ranks), default=0)
         self.all_bytes = all(bytes([i]) in ranks for i in range(256))  # then a token begins at every byte
         self._shorter: dict[int, int] = {}
         self._pairs: dict[int, bool] = {}  # by left << 32 | right
@@ -75,6 +81,8 @@ class ByteBpe:
 
     def merged(self, data: bytes) -> list[int]:
         """The ranked merges themselves, for the short strings of a pair."""
+        if len(data) > 1000:
+            return self._merged_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         rank = self.ranks.get
         while len(parts) > 1:
@@ -88,6 +96,33 @@ class ByteBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _merged_long(self, data: bytes) -> list[int]:
+        """The same by a heap of the pairs that may merge, the first of a rank first."""
+        n, rank = len(data), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that begins at a place, and the part before it
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapify(heap)
+        gone = bytearray(n + 1)
+
+        def join(i: int) -> None:
+            if i >= 0 and end[i] < n:
+                to = end[end[i]]
+                r = rank(data[i:to])
+                if r is not None:
+                    heappush(heap, (r, i, to))
+
+        while heap:
+            _, i, to = heappop(heap)
+            if gone[i] or end[i] >= to or end[i] == n or end[end[i]] != to:
+                continue  # one of the two has merged with another since
+            gone[end[i]] = 1
+            end[i] = to
+            if to < n:
+                before[to] = i
+            join(i)
+            join(before[i])
+        return [self.ranks[data[i : end[i]]] for i in range(n) if not gone[i]]
+
     def shorter(self, token: int) -> int:
         """The longest other token that ``token`` begins with, or -1."""
         found = self._shorter.get(token)
@@ -115,11 +150,17 @@ class ByteBpe:
             return [whole]
         if not self.all_bytes:
             return self.merged(piece)
-        n, chars, longest = len(piece), piece.decode("latin-1"), self.automaton.iter_long
+        n, chars, iter_long, most = len(piece), piece.decode("latin-1"), self.automaton.iter_long, self.longest
+
+        def longest(at: int) -> int:
+            """The longest token at a place. A search takes time with the string
+            that it is given, so that it gets no more than a token's length."""
+            return next(iter_long(chars[at : at + most]))[1]
+
         known, bytes_of = self._pairs.get, self.bytes_of
         closed = bytearray(n + 1)
         out: list[int] = []
-        pos, last, token = 0, -1, next(longest(chars))[1]
+        pos, last, token = 0, -1, longest(0)
         while True:
             end = pos + len(bytes_of[token])
             if not closed[end]:
@@ -128,7 +169,7 @@ class ByteBpe:
                     out.append(token)
                     if end == n:
                         return out
-                    pos, last, token = end, token, next(longest(chars, end))[1]
+                    pos, last, token = end, token, longest(end)
                     continue
             token = self.shorter(token)
             if token < 0:
@@ -204,6 +245,19 @@ def cuts(text: str) -> Iterator[str]:
     yield "".join(held)
 
 
+def long_runs(text: str, most: int = RUN) -> Iterator[str]:
+    """Cuts a very long text where ``cuts`` does too, but seldom, so that its
+    spans and ids are never all held at once."""
+    start = 0
+    while len(text) - start > most:
+        m = _BETWEEN.search(text, start + most)
+        if not m:
+            break
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:]
+
+
 def load(path: str, pattern: str) -> ByteBpe:
     """Reads a file of base64 tokens and ranks."""
     with open(path, "rb") as f:
@@ -211,18 +265,36 @@ def load(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(ranks, pattern)
 
 
+class _Whole:
+    """Takes bytes as a digest does, and keeps them."""
+
+    def __init__(self):
+        self.parts: list[bytes] = []
+
+    def update(self, part: bytes) -> None:
+        self.parts.append(part)
+
+    def whole(self) -> bytes:
+        return b"".join(self.parts)
+
+
 def _run(batches: Iterator[pa.RecordBatch], path: str, pattern: str, digests: bool) -> Iterator[pa.RecordBatch]:
     key = ("byte_bpe", path, pattern)
     bpe = held(key, lambda: load(path, pattern))
+    new = hashlib.sha256 if digests else _Whole
     for b in slices(batches, "_text", keep=key):
         ids = b.column("_id")
         n, first, second = [], [], []
         for text in b.column("_text").to_pylist():
-            packed = bpe.encode_packed(text or "")
-            decoded = bpe.decode(array("I", packed))
-            n.append(len(packed) // 4)
-            first.append(hashlib.sha256(packed).hexdigest() if digests else packed)
-            second.append(hashlib.sha256(decoded).hexdigest() if digests else decoded)
+            size, packed, decoded = 0, new(), new()
+            for run in long_runs(text or ""):
+                some = bpe.encode_packed(run)
+                size += len(some) // 4
+                packed.update(some)
+                decoded.update(bpe.decode(array("I", some)))
+            n.append(size)
+            first.append(packed.hexdigest() if digests else packed.whole())
+            second.append(decoded.hexdigest() if digests else decoded.whole())
         kind = pa.string() if digests else pa.binary()
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, kind)], names=["id", "n_tokens", "ids", "decoded"])
 
@@ -238,8 +310,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     A null or empty text has no tokens and decodes to no bytes. Null and
     repeated ids and repeated rows are kept as they are. Other columns of
     ``docs``, whatever their names, are not read. An empty table gives an
-    empty result. A text of any length is encoded whole; a piece of n bytes
-    takes O(n) steps and memory.
+    empty result. A text of any length is encoded whole, a very long one in runs
+    between words, of which only digests are kept where these are asked for; a
+    piece of n bytes takes O(n) steps and memory.
     """
     id_type = docs.schema[id_col].dataType
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

@@ -13,6 +13,7 @@ learnt from a bounded sample of them (PER_CLASS a language).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -211,13 +212,17 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", label_col: str =
     for r in df:
         counts[r["bucket"]] = r["df"]
     idf = np.log((1 + counts[BUCKETS]) / (1 + counts[:BUCKETS])) + 1
-    drawn, by = class_sample(narrow, key, "_lang", per_class)
-    languages = sorted(by)
+    drawn, languages = class_sample(narrow, key, "_lang", per_class)
     if not languages:
         return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     drawn = drawn.dropDuplicates(["_text", "_lang"])
-    got = drawn.select(F.xxhash64("_text", F.lit(1)).alias("_order"), "_lang", "_text").mapInArrow(_rows, "o long, lang string, b array<int>, x array<float>").limit(2 * per_class * len(languages)).collect()
+    most = 2 * per_class * len(languages)
+    got = drawn.select(F.xxhash64("_text", F.lit(1)).alias("_order"), "_lang", "_text").mapInArrow(_rows, "o long, lang string, b array<int>, x array<float>").limit(most + 1).collect()
+    if len(got) > most:
+        raise RuntimeError(f"over {most} texts were drawn to learn from")
     got.sort(key=lambda r: (r["o"], r["lang"]))
+    seen: Counter = Counter()
+    got = [r for r in got if seen.update([r["lang"]]) or seen[r["lang"]] <= per_class]
     data = [(np.append(np.array(r["b"], np.int64), BUCKETS), np.append(np.array(r["x"]) * idf[np.array(r["b"], np.int64)] * SCALE, 1.0), languages.index(r["lang"])) for r in got]
     held = data[::5] if len(data) >= 10 else data
     taught = [x for k, x in enumerate(data) if k % 5] if len(data) >= 10 else data

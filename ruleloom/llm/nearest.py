@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import remove, written
+from ._common import below, remove, share_of, written
 
 #: Trees of the forest, vectors that a leaf is meant to hold, and leaves that a query takes from the queue.
 TREES, LEAF, LEAVES = 4, 1600, 32
@@ -275,8 +275,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     groups, queries = _groups(base.filter(F.size("v") == d), k)
     n = groups.count()
     most = int(min(SAMPLE, max(1000, SAMPLE_BYTES // (8 * d))))
-    drawn = groups if n <= most else groups.filter(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    rows = drawn.orderBy("h").select("v").limit(2 * most).toArrow().column("v").combine_chunks()
+    drawn = groups if n <= most else groups.filter(below(F.xxhash64("h"), share_of(most, n)))
+    rows = drawn.orderBy("h").select("v").limit(most).toArrow().column("v").combine_chunks()
     sample = _unit(_matrix(rows)) if len(rows) else np.eye(1, d)
     depth = max(0, round(np.log2(n / leaf)))
     shared = spark.sparkContext.broadcast(grow(sample, trees, depth, top))

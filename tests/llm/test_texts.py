@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ruleloom.llm import byte_bpe, simhash, token_counts
+from ruleloom.llm import _ids, byte_bpe, simhash, token_counts
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +30,10 @@ def table(spark, rows):
 ROWS = [*enumerate(texts(40)), (None, "null id"), (900, None), (900, None), (901, "twice"), (901, "twice")]
 
 
+def plain(text):
+    return len(_ids.load(JSON).tokenizer.encode(text, add_special_tokens=False))
+
+
 def test_encoder_is_the_library():
     import tiktoken
 
@@ -69,11 +73,10 @@ def test_bpe_operator(spark):
 
 @pytest.mark.parametrize("chunk,overlap", [(50_000, 500), (120, 8)])
 def test_token_counts(spark, chunk, overlap):
-    counter = token_counts.load(JSON)
     long = " ".join(random.Random(3).choices(["word", "la", "foo.", "x\n y", "日本", "it's", "<|endoftext|>"], k=900))
     rows = [*ROWS, (950, long), (951, "z" * 700), (952, long), (952, long), (None, long), (953, "日本" * 200 + " a b")]
     got = token_counts.count_tokens(table(spark, rows), JSON, chunk=chunk, overlap=overlap).collect()
-    want = sorted((str(i), len((t or "").encode()), counter.plain(t or "")) for i, t in rows)
+    want = sorted((str(i), len((t or "").encode()), plain(t or "")) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in got) == want
     assert all(r["over_limit"] == (r["n_tokens"] > 512) for r in got)
     assert token_counts.count_tokens(table(spark, rows).limit(0), JSON).count() == 0
@@ -88,18 +91,92 @@ def test_token_counts_keep_every_row(spark, kind):
     df = spark.createDataFrame([(i if ids[kind] is None or i is None else ids[kind], t) for i, t in rows], "doc_id string, text string")
     df = df.withColumn("doc_id", F.col("doc_id").cast(kind))
     got = token_counts.count_tokens(df, JSON, chunk=120, overlap=8).collect()
-    counter = token_counts.load(JSON)
     if kind in ("string", "binary"):
         own = {(r["doc_id"], r["text"]) for r in df.collect()}
         assert {r["doc_id"] for r in got} == {i for i, _ in own}
-    assert sorted(r["n_tokens"] for r in got) == sorted(counter.plain(t or "") for _, t in rows)
+    assert sorted(r["n_tokens"] for r in got) == sorted(plain(t or "") for _, t in rows)
+
+
+def boundaries(text):
+    """Where the library's own pre-tokenizer begins pieces."""
+    pieces = _ids.load(JSON).tokenizer.pre_tokenizer.pre_tokenize_str(text)
+    return {a for _, (a, _) in pieces}
+
+
+def test_proven_boundaries_are_the_librarys():
+    rng = random.Random(7)
+    bits = ["the", "ß", "日本", "我", "的", "，", "。", "「", "'s", "'", "12", "½", ".", ";", " ", "  ", "\n", "\r\n", "\t", "\xa0", "\u3000", "́", "\u0558", "\U0001f642", "-", "’", "ア", "ー"]
+    seen = 0
+    for _ in range(4000):
+        text = "".join(rng.choices(bits, k=12))
+        at = {m.start() for m in token_counts.PROVEN.finditer(text)} - {0, len(text)}
+        assert at <= boundaries(text), text
+        seen += len(at)
+    assert seen > 10_000
+
+
+SPACELESS = {
+    "chinese": "".join(random.Random(8).choices("我們的語言沒有空格，。；「」", k=6000)),
+    "lines": "\n".join(random.Random(8).choices(["word", "Zeile", "mot", "12"], k=1200)),
+    "marks": " ".join(["a, b. c;"] * 700),
+    "no marks": " ".join(["a,", "(b)", "c;"] * 700),
+}
+
+
+@pytest.mark.parametrize("kind", SPACELESS)
+def test_texts_without_words_are_spread(spark, kind):
+    text, sizes = SPACELESS[kind], []
+    got = token_counts.count_tokens(table(spark, [(1, text)]), JSON, chunk=100, overlap=70).collect()
+    assert got[0]["n_tokens"] == plain(text)
+    # in one round: no overlap fails
+    starts = list(range(0, len(text) - 70, 100))
+    assert len(starts) > 40
+    for a in starts[1:]:
+        sizes.append(sum(1 for _ in token_counts.PROVEN.finditer(text, a + 13, a + 57)))
+    assert min(sizes) > 0
+
+
+def test_only_a_failed_overlap_is_widened():
+    starts, widths, todo = token_counts.relaid([0, 100, 200, 300], [5, 5, 5, 5], [1])
+    assert (starts, widths, todo) == ([0, 100, 200, 300], [5, 50, 5, 5], [False, True, True, False])
+    starts, widths, todo = token_counts.relaid(starts, widths, [1])
+    assert (starts, widths, todo) == ([0, 100, 300], [5, 5, 5], [False, True, False])
+    assert token_counts.relaid([0, 100], [5, 5], [0])[0] == [0]
+
+
+def test_counts_after_several_rounds(spark):
+    """Runs of letters that are longer than an overlap, a wider one, and a chunk."""
+    rng = random.Random(9)
+    parts = [" ".join(rng.choices(["to", "of", "12"], k=150)), "z" * 40, "of it", "y" * 700, "x" * 2500, "it's", "w" * 90, "end " * 100]
+    text = " ".join(parts)
+    rows = [(1, text), (2, text[::-1]), (3, "q" * 5000), (4, text), (5, "'" * 900 + "s" * 900)]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(table(spark, rows), JSON, chunk=100, overlap=10).collect()}
+    assert got == {i: plain(t) for i, t in rows}
+
+
+def test_encoder_is_linear_and_merges_of_long_pieces():
+    bpe = byte_bpe.load(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    for n in (1, 2, 5, 60, 300):
+        for _ in range(40):
+            piece = bytes(rng.choice(b"abehinot\xc3\xa9") for _ in range(n))
+            assert bpe._merged_long(piece) == bpe.merged(piece) == bpe.encode_piece(piece)
+    took = []
+    for n in (100_000, 400_000):
+        piece = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)).encode()
+        bpe.encode_piece(piece[:50_000])
+        began = time.process_time()
+        ids = bpe.encode_piece(piece)
+        took.append(time.process_time() - began)
+        assert bpe.decode(ids) == piece
+    assert took[1] < 8 * took[0]  # quadratic: 16 times
 
 
-def test_memo_of_counts_has_a_bound():
-    counter = token_counts.Counter(JSON)
-    text = " ".join(["a", "b" * 500, "c" * 70, "d" * 64, "b" * 500])
-    assert counter.count([text, text]) == [counter.plain(text)] * 2
-    assert {len(k) for k in counter.memo.young} <= {1, 64}
+def test_long_texts_are_encoded_in_runs():
+    bpe = byte_bpe.load(RANKS, public_tokenizers.PATTERN)
+    for t in texts(300):
+        assert "".join(byte_bpe.long_runs(t, 5)) == t
+        assert b"".join(bpe.encode_packed(r) for r in byte_bpe.long_runs(t, 5)) == bpe.encode_packed(t)
 
 
 def fingerprint(text):
