@@ -6,8 +6,10 @@ its own down to level TOP, and below it each level by the medians of the node
 at TOP. So a tree of any depth has few numbers, and its depth is taken so that
 leaves hold about LEAF vectors whatever the size of the table. A query searches
 all trees through one priority queue, in which a subtree ranks by the squared
-margins on the way to it, and takes a fixed number of leaves: its work does not
-grow with the table.
+margins on the way to it. How many leaves it takes is measured: some queries'
+true neighbours are found by one scan, and as many leaves are taken as lead to
+the asked share of them. So recall holds at any size, and work follows from how
+well the data can be told apart.
 
 Equal vectors are one candidate with the few smallest ids. What stands in the
 leaves is not the vector but a byte for each component, with a proven bound of
@@ -19,8 +21,10 @@ vectors.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 
 from ._common import below, remove, share_of, written
 
-#: Trees of the forest, vectors that a leaf is meant to hold, and leaves that a query takes from the queue.
-TREES, LEAF, LEAVES = 4, 1600, 32
+#: Trees of the forest, vectors that a leaf is meant to hold, and leaves of a tree where the table allows it.
+TREES, LEAF, LEAST_LEAVES = 4, 1600, 32
+#: Share of the true neighbours that the leaves taken are to hold, and queries that this is measured on.
+RECALL, MEASURED = 0.97, 200
 #: Levels whose nodes each have their own median.
 TOP = 10
 #: Vectors and bytes of the sample that the medians are taken of, at most.
@@ -74,21 +80,23 @@ class Forest:
 
     def search(self, p: np.ndarray, n: int) -> list[list[int]]:
         """The first n leaves that each row's queue gives."""
-        depth, top = self.depth, self.top
+        return [list(islice(walk, n)) for walk in self.walks(p)]
+
+    def walks(self, p: np.ndarray) -> Iterator[Iterator[int]]:
+        """For each row all leaves, in the order of its queue."""
         cuts = [[c.tolist() for c in levels] for levels in self.cuts]
-        found = []
-        for row in p.tolist():
-            queue = [(0.0, t, 0, 0) for t in range(len(cuts))]
-            leaves: list[int] = []
-            while queue and len(leaves) < n:
-                far, t, k, node = heapq.heappop(queue)
-                while k < depth:  # to the leaf on the query's side, leaving the other sides in the queue
-                    m = row[t][k] - cuts[t][k][node >> max(0, k - top)]
-                    k, node = k + 1, 2 * node + (m >= 0)
-                    heapq.heappush(queue, (far + m * m, t, k, node ^ 1))
-                leaves.append(self.numbered(node, t))
-            found.append(leaves)
-        return found
+        return (self._walk(row, cuts) for row in p.tolist())
+
+    def _walk(self, row: list, cuts: list) -> Iterator[int]:
+        depth, top = self.depth, self.top
+        queue = [(0.0, t, 0, 0) for t in range(len(cuts))]
+        while queue:
+            far, t, k, node = heapq.heappop(queue)
+            while k < depth:  # to the leaf on the query's side, leaving the other sides in the queue
+                m = row[t][k] - cuts[t][k][node >> max(0, k - top)]
+                k, node = k + 1, 2 * node + (m >= 0)
+                heapq.heappush(queue, (far + m * m, t, k, node ^ 1))
+            yield self.numbered(node, t)
 
 
 def grow(sample: np.ndarray, n_trees: int, depth: int, top: int = TOP, seed: int = 11) -> Forest:
@@ -157,6 +165,64 @@ def _code(batches: Iterator[pa.RecordBatch], forest, n: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([part.column("g"), part.column("sure"), codes, pa.array(unit), pa.array(error), pa.array(list(f.leaves_of(p)), longs), pa.array(probes, longs)], names=["g", "sure", "code", "unit", "error", "leaves", "probes"])
 
 
+def _closest(batches: Iterator[pa.RecordBatch], forest, asked, k: int) -> Iterator[pa.RecordBatch]:
+    """Of a task's vectors the k closest to each measured query, with their leaves."""
+    f, (own, q) = forest.value, asked.value
+    g, score, leaves = np.empty((len(q), 0), np.int64), np.empty((len(q), 0)), np.empty((len(q), 0, len(f.cuts)), np.int64)
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            x, ids = _unit(_matrix(part.column("v"))), part.column("g").to_numpy()
+            near = q @ x.T
+            near[own[:, None] == ids] = -2.0
+            few = np.argpartition(near, -min(k, len(ids)), 1)[:, -k:]
+            here = f.leaves_of(f.projections(x))
+            g, score, leaves = np.hstack([g, ids[few]]), np.hstack([score, np.take_along_axis(near, few, 1)]), np.concatenate([leaves, here[few]], 1)
+            best = np.argsort(-score, 1, kind="stable")[:, :k]
+            g, score, leaves = np.take_along_axis(g, best, 1), np.take_along_axis(score, best, 1), np.take_along_axis(leaves, best[:, :, None], 1)
+    row, col = np.nonzero(score > -1.5)
+    yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(g[row, col]), pa.array(score[row, col]), pa.array(list(leaves[row, col]), pa.list_(pa.int64()))], names=["q", "g", "score", "leaves"])
+
+
+def _ranks(batches: Iterator[pa.RecordBatch], forest, asked) -> Iterator[pa.RecordBatch]:
+    """How many leaves a query's queue gives until each true neighbour is met."""
+    f, (_, q) = forest.value, asked.value
+    for b in batches:
+        rows = b.column("q").to_numpy()
+        out = []
+        for walk, wanted in zip(f.walks(f.projections(q[rows])), b.column("wanted").to_pylist(), strict=True):
+            left = [set(leaves) for leaves in wanted]
+            for n, leaf in enumerate(walk, 1):
+                out += [n] * sum(leaf in w for w in left)
+                left = [w for w in left if leaf not in w]
+                if not left:
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["rank"])
+
+
+def leaves_for(groups: DataFrame, forest, k: int, recall: float, measured: int = MEASURED) -> int:
+    """Leaves to take so that ``recall`` of the true k neighbours of some
+    queries of ``groups`` (g, h, v, asked), those with the least hashes, is met."""
+    some = groups.filter("asked").orderBy(F.xxhash64("h"), "g").select("g", "v").limit(measured).toArrow()
+    if not len(some):
+        return 1
+    spark = groups.sparkSession
+    asked = spark.sparkContext.broadcast((some.column("g").to_numpy(), _unit(_matrix(some.column("v").combine_chunks()))))
+
+    def closest(batches):
+        return _closest(batches, forest, asked, k)
+
+    def ranks(batches):
+        return _ranks(batches, forest, asked)
+
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "g")
+    near = groups.select("g", "v").mapInArrow(closest, "q int, g long, score double, leaves array<long>")
+    near = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
+    wanted = near.groupBy("q").agg(F.collect_list("leaves").alias("wanted"))  # k lists
+    found = sorted(r["rank"] for r in wanted.mapInArrow(ranks, "rank long").collect())  # k numbers a measured query
+    return found[max(0, math.ceil(recall * len(found)) - 1)] if found else 1
+
+
 def _decoded(codes: pa.ChunkedArray, units: pa.ChunkedArray) -> np.ndarray:
     code = np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(len(codes), -1)
     return code.astype(np.float32) * units.to_numpy().astype(np.float32)[:, None]
@@ -248,12 +314,13 @@ def _blocks(coded: DataFrame, block: int, block_queries: int) -> tuple[DataFrame
     return vectors, queries
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, trees: int = TREES, leaf: int = LEAF, leaves: int = LEAVES, block: int = BLOCK, block_queries: int = BLOCK_QUERIES, top: int = TOP) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, trees: int = TREES, leaf: int = LEAF, leaves: int | None = None, recall: float = RECALL, block: int = BLOCK, block_queries: int = BLOCK_QUERIES, top: int = TOP) -> DataFrame:
     """Returns (query_id, rank, vec_id, score): the k nearest found of each row
     where ``is_query`` holds, by cosine in double precision, ties to the
     smaller id; all candidates if there are fewer and the leaves searched hold
-    them. ``leaves`` trades recall for work; if the forest has no more leaves,
-    the result is exact.
+    them. ``leaves`` of the forest are looked into; without it as many as are
+    measured to hold ``recall`` of the true neighbours. If the forest has no
+    more leaves, the result is exact.
 
     Vectors that are null, empty or zero or hold a null or a non-finite
     component take no part, nor do rows with a null id, nor, where lengths
@@ -278,8 +345,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     drawn = groups if n <= most else groups.filter(below(F.xxhash64("h"), share_of(most, n)))
     rows = drawn.orderBy("h").select("v").limit(most).toArrow().column("v").combine_chunks()
     sample = _unit(_matrix(rows)) if len(rows) else np.eye(1, d)
-    depth = max(0, round(np.log2(n / leaf)))
+    leaf = min(leaf, max(64, n // LEAST_LEAVES))
+    depth = max(0, round(np.log2(max(1, n) / leaf)))
     shared = spark.sparkContext.broadcast(grow(sample, trees, depth, top))
+    leaves = leaves or leaves_for(groups, shared, k, recall)
 
     def code(batches):
         return _code(batches, shared, leaves)

@@ -388,3 +388,21 @@ def test_queries_with_sql(spark):
         assert sorted(rel.columns) == columns
         at = [rel.columns.index(c) for c in columns]
         assert sorted(map(str, (tuple(r) for r in df.select(columns).collect()))) == sorted(str(tuple(r[k] for k in at)) for r in rel.fetchall())
+
+
+def test_every_label_is_drawn_at_any_size(spark):
+    """A label of 10 ** 9 keys, as its count has it, keeps its share; one whose
+    rows are nearly all copies of a text keeps its other texts."""
+    from ruleloom.llm import _common
+
+    assert abs(_common.share_of(400, 10**9) * 10**9 - 500) < 1e-6
+    hashes = spark.range(1 << 20).select(F.xxhash64("id").alias("h"))
+    share = 300 / (1 << 20)
+    assert 200 < hashes.filter(_common.below(F.col("h"), share)).count() < 400
+    assert hashes.filter(_common.below(F.col("h"), 1.0)).count() == 1 << 20
+    assert hashes.filter(_common.below(F.col("h"), 1e-30)).count() == 0
+    rows = [("hot", "copy")] * 20_000 + [("hot", f"t{i}") for i in range(30)] + [("small", f"s{i}") for i in range(5)] + [("big", f"b{i}") for i in range(8000)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    drawn, labels = _common.class_sample(df, F.xxhash64("text"), "lang", 40)
+    n = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count_distinct("text").alias("n")).collect()}
+    assert labels == ["big", "hot", "small"] and n["small"] == 5 and n["hot"] == 31 and 25 <= n["big"] <= 80

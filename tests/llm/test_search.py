@@ -169,6 +169,28 @@ def test_recall_of_the_registered_parameters(spark):
     assert all(abs(r["score"] - near[r["query_id"] // 50, r["vec_id"]]) < 1e-12 for r in rows)
 
 
+@pytest.mark.parametrize("crowded", [False, True])
+def test_leaves_follow_the_data(spark, crowded, monkeypatch):
+    """The forest has more leaves than one at a fixture's size; few are taken where
+    vectors stand in crowds, many where they have no order. The nodes below
+    ``top`` share cuts."""
+    rng, n = np.random.default_rng(3), 4000
+    x = rng.normal(size=(n, 32)) if not crowded else rng.normal(size=(40, 32)).repeat(n // 40, 0) + 0.05 * rng.normal(size=(n, 32))
+    taken, measure = [], nearest.leaves_for
+
+    def leaves_for(groups, forest, *more):
+        taken.append((measure(groups, forest, *more), len(forest.value.cuts) << forest.value.depth))
+        return taken[-1][0]
+
+    monkeypatch.setattr(nearest, "leaves_for", leaves_for)
+    queries = list(range(0, n, 50))
+    got, want = found(spark, list(range(n)), x, queries, top=3), exact(list(range(n)), x, queries, 5)
+    hits = sum(len(set(got[q]) & set(want[q])) for q in queries)
+    (some, of), share = taken[0], hits / (5 * len(queries))
+    assert of >= 64 and share >= 0.95
+    assert some < 0.1 * of if crowded else some > 0.2 * of
+
+
 def test_repeated_ids_count_once(spark):
     x = vectors(50, 6, 4)
     x[1:11] = x[0] + 0.01 * np.random.default_rng(1).normal(size=(10, 6))  # all near the query 0
