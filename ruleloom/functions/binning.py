@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Scaler
-from ..operators.splits import axes, candidates
+from ..operators.ranking import quantiles, value_spans
+from ..operators.splits import axes, candidates, cells
 
 
 def standard_scaler(points: DataFrame, features: Sequence[str]) -> Scaler:
@@ -41,11 +42,15 @@ def bin_of(value: Column, cuts: Sequence[float]) -> Column:
 
 def quantile_cuts(points: DataFrame, features: Sequence[str], n_bins: int, exact: bool = True) -> dict[str, list[float]]:
     """Edges at equal shares, repeated ones dropped; the lowest is inclusive.
-    ``exact`` False: approximate percentiles, by mergeable sketches."""
+    Exact ones by rank selection; ``exact`` False: approximate percentiles, by
+    mergeable sketches."""
     at = [k / n_bins for k in range(n_bins + 1)]
-    take = (lambda f: F.percentile(f, at)) if exact else (lambda f: F.percentile_approx(f, at, 100_000))
-    row = points.agg(*(take(f).alias(f) for f in features)).first()
-    return {f: sorted(set(map(float, row[f] or []))) for f in features}
+    if exact:
+        found = quantiles(points, features, at)
+    else:
+        row = points.agg(*(F.percentile_approx(f, at, 100_000).alias(f) for f in features)).first()
+        found = {f: row[f] or [] for f in features}
+    return {f: sorted(set(map(float, found[f]))) for f in features}
 
 
 def uniform_cuts(points: DataFrame, features: Sequence[str], n_bins: int) -> dict[str, list[float]]:
@@ -86,7 +91,7 @@ def entropy_cuts(points: DataFrame, features: Sequence[str], label: str) -> dict
 def _cuts(rows: DataFrame) -> list[float]:
     rows = rows.filter(F.col("v").isNotNull() & ~F.isnan("v") & F.col("label").isNotNull()).persist()
     labels = sorted(r["label"] for r in rows.select("label").distinct().collect())
-    cuts, intervals = [], [(-math.inf, math.inf)]
+    cuts, intervals, spans = [], [(-math.inf, math.inf)], value_spans(cells(rows, axes(["v"])))
     total = lambda side: F.aggregate(side, F.lit(0).cast("long"), lambda a, x: a + x)
     while intervals and len(labels) > 1:
         node = F.lit(None).cast("int")
@@ -95,7 +100,7 @@ def _cuts(rows: DataFrame) -> list[float]:
         left, right = total("l"), total("r")
         inner = lambda c, n: F.aggregate(c, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log2(x / F.greatest(n, F.lit(1)))).otherwise(0.0))
         e = F.round((inner("l", left) + inner("r", right)) / (left + right), 12)
-        found = candidates(rows, axes(["v"]), labels, node).groupBy("node").agg(F.min(F.struct(e.alias("e"), "threshold", "above", "l", "r")).alias("b"))
+        found = candidates(rows, axes(["v"]), labels, node, spans=spans).groupBy("node").agg(F.min(F.struct(e.alias("e"), "threshold", "above", "l", "r")).alias("b"))
         later = []
         for r in found.select("node", "b.*").collect():  # a row an interval
             if _pays(r["l"], r["r"]):

@@ -9,6 +9,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import prefix_sums, value_spans
+
 NAN, INF = float("nan"), float("inf")
 
 
@@ -154,3 +156,15 @@ def clustering_distance(a: DataFrame, b: DataFrame, percentage: bool = True, ign
     pairs = F.col("m") * (F.col("m") - 1) / 2
     total = F.col("x") + F.col("w")
     return across.join(within).select((total / F.when(pairs > 0, pairs) if percentage else total.cast("double")).alias("clustering_distance"))
+
+
+def auc(scored: DataFrame) -> DataFrame:
+    """(class, auc) of rows (class, score, positive, n): how likely a positive
+    row's score is over a negative one's, ties counting half; null for a class
+    without both. By rank sums: distinct scores are counted, and the negatives
+    below each are summed by spans of scores, so that no task sorts a class."""
+    counts = scored.groupBy(F.col("class").alias("feature"), F.col("score").cast("double").alias("value")).agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("positive"), 0).otherwise(F.col("n"))).alias("q"))
+    summed = prefix_sums(counts, ["feature"], ["p", "q"], value_spans(counts)).join(counts, ["feature", "value"])
+    won = F.sum(F.col("p") * (F.get("upto", F.lit(1)) - F.col("q") / 2))
+    pairs = (F.sum("p") * F.sum("q")).cast("double")
+    return summed.groupBy(F.col("feature").alias("class")).agg((won / F.when(pairs > 0, pairs)).alias("auc"))

@@ -1,14 +1,15 @@
 """Split search for trees: one plan for all kinds of split.
 
-Points become cells (node, feature, value) with a count for each label; a
-window sums these from the lowest value on, so that every candidate threshold
-knows the label counts on both of its sides. A score is an expression over
-these counts, and the best candidate of each node is a maximum: one shuffle,
+Points become cells (node, feature, value) with a count for each label; sums of
+these from the lowest value on tell every candidate threshold the label counts
+on both of its sides. Sums are taken in spans of a feature's values and moved
+by the spans below, so that no task sorts a whole node. A score is an
+expression over these counts, and the best candidate of each node is a maximum,
 whatever the number of thresholds. Ties go to the lowest feature, then to the
 lowest threshold.
 
 Thresholds are data values. With ``bins``, values are first moved up to the
-edges of that many percentiles, which bounds a window's rows at scale.
+edges of that many percentiles, so that there are fewer of them.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import prefix_sums, value_spans
+
 #: Slopes of oblique splits of two features; 0 and infinity are the axes themselves.
 SLOPES = (0.5, 1.0, 2.0, -2.0, -1.0, -0.5)
 
@@ -46,21 +49,25 @@ def oblique(features: Sequence[str]) -> list[Projection]:
     return axes(features) + [Projection((a, b), (-s, 1.0)) for a, b in combinations(features, 2) for s in SLOPES]
 
 
-def candidates(points: DataFrame, projections: Sequence[Projection], labels: Sequence[int], node: Column | None = None, bins: int | None = None) -> DataFrame:
+def cells(points: DataFrame, projections: Sequence[Projection], *more: Column | str) -> DataFrame:
+    """(more..., feature, value) for each point and projection; null and NaN take no part."""
+    found = points.select(*more, F.posexplode(F.array(*(p.column() for p in projections))).alias("feature", "value"))
+    return found.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def candidates(points: DataFrame, projections: Sequence[Projection], labels: Sequence[int], node: Column | None = None, bins: int | None = None, spans: dict[int, list[float]] | None = None) -> DataFrame:
     """(node, feature, threshold, above: the next value, l: counts of labels at
     most the threshold, r: counts over it), for every value but each node's
-    highest."""
+    highest. ``spans``: each feature's edges, where they are known already."""
     node = F.lit(0) if node is None else node
-    cells = points.select(node.alias("node"), F.col("label"), F.posexplode(F.array(*(p.column() for p in projections))).alias("feature", "value"))
-    cells = cells.filter(F.col("node").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
+    at = cells(points, projections, node.alias("node"), "label").filter(F.col("node").isNotNull())
     if bins:
-        edges = cells.groupBy("node", "feature").agg(F.percentile_approx("value", [k / bins for k in range(1, bins + 1)], 10_000).alias("e"))
-        cells = cells.join(edges, ["node", "feature"]).withColumn("value", F.array_min(F.filter("e", lambda x: x >= F.col("value")))).drop("e")
-    counts = cells.groupBy("node", "feature", "value").agg(*(F.count_if(F.col("label") == y).alias(f"c{k}") for k, y in enumerate(labels)))
-    whole = Window.partitionBy("node", "feature")
-    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    summed = counts.select("node", "feature", F.col("value").alias("threshold"), F.lead("value").over(whole.orderBy("value")).alias("above"), F.array(*(F.sum(f"c{k}").over(upto) for k in range(len(labels)))).alias("l"), F.array(*(F.sum(f"c{k}").over(whole) for k in range(len(labels)))).alias("t"))
-    out = summed.select("node", "feature", "threshold", "above", "l", F.zip_with("t", "l", lambda t, a: t - a).alias("r"))
+        edges = at.groupBy("node", "feature").agg(F.percentile_approx("value", [k / bins for k in range(1, bins + 1)], 10_000).alias("e"))
+        at = at.join(edges, ["node", "feature"]).withColumn("value", F.array_min(F.filter("e", lambda x: x >= F.col("value")))).drop("e")
+    names = [f"c{k}" for k in range(len(labels))]
+    counts = at.groupBy("node", "feature", "value").agg(*(F.count_if(F.col("label") == y).alias(c) for c, y in zip(names, labels, strict=True)))
+    summed = prefix_sums(counts, ["node", "feature"], names, value_spans(at) if spans is None else spans)
+    out = summed.select("node", "feature", F.col("value").alias("threshold"), "above", F.col("upto").alias("l"), F.zip_with("all", "upto", lambda t, a: t - a).alias("r"))
     return out.filter(_sum("r") > 0)
 
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import RuleSet
 from ..operators.labels import data_to_rules, predict, rules_to_clusters
-from ..operators.metrics import rule_length
+from ..operators.metrics import auc, rule_length
 from ..operators.select import coverage_mistake_select
 from .mining import Car, ClassAssociationMiner, RuleMiner
 
@@ -116,14 +116,110 @@ def _rank(c: Car):
 class IDS(DecisionSet):
     """Interpretable decision sets (Lakkaraju et al. 2016): smooth local search
     over seven terms. The terms need, of the points, only counts of rules and
-    of pairs of rules; the search works on these on the driver."""
+    of pairs of rules; the search works on these on the driver.
 
-    lambdas: Sequence[float] = (1.0,) * 7
+    With ``lambdas`` None the terms' weights are searched for by coordinate
+    ascent: one after the other, each by ternary search in its range (of
+    ``ranges``, 0 to 1000 each unless given) down to ``precision``, for the set
+    with the greatest mean AUC, in ``max_iterations`` rounds at most."""
+
+    lambdas: Sequence[float] | None = (1.0,) * 7
     seed: int = 0
+    ranges: Sequence[tuple[float, float]] | None = None
+    precision: float = 1.0
+    max_iterations: int = 50
+
+    def __post_init__(self):
+        super().__post_init__()
+        if self.lambdas is not None and len(self.lambdas) != 7:
+            raise ValueError("lambdas has seven weights")
+        self.ranges = [(0.0, 1000.0)] * 7 if self.ranges is None else [tuple(map(float, r)) for r in self.ranges]
+        if len(self.ranges) != 7 or any(a > z for a, z in self.ranges):
+            raise ValueError("ranges has seven pairs of a least and a greatest weight")
+        if self.precision <= 0 or self.max_iterations < 1:
+            raise ValueError("precision is over 0 and max_iterations over 0")
 
     def select(self, points, rules):
         rules = RuleSet(tuple(r for r in rules if r.label != -1))
-        return rules.subset(sorted(ids_search(ids_statistics(points, rules), self.lambdas, self.seed)))
+        stats = ids_statistics(points, rules)
+        if self.lambdas is not None:
+            return rules.subset(sorted(ids_search(stats, self.lambdas, self.seed)))
+        patterns = rule_patterns(points, rules).persist()
+        found: dict[frozenset[int], float] = {}
+
+        def score(weights: Sequence[float]) -> float:
+            chosen = frozenset(ids_search(stats, weights, self.seed))
+            if chosen not in found:  # many weights lead to the same set
+                found[chosen] = mean_auc(patterns, stats, chosen)
+            return found[chosen]
+
+        try:
+            self.weights, self.auc = coordinate_ascent(score, self.ranges, self.precision, self.max_iterations)
+        finally:
+            patterns.unpersist()
+        return rules.subset(sorted(ids_search(stats, self.weights, self.seed)))
+
+
+def rule_patterns(points: DataFrame, rules: RuleSet) -> DataFrame:
+    """(rules: numbers of those that fit, label, n): all that scores of points need."""
+    from ..operators.labels import rule_matches
+
+    return points.filter(F.col("label").isNotNull()).select(rule_matches(rules).alias("rules"), "label").groupBy("rules", "label").agg(F.count("*").alias("n"))
+
+
+def class_scores(patterns: DataFrame, stats: dict, chosen: Iterable[int]) -> DataFrame:
+    """(class, score, positive, n): a point's score in a class is the greatest
+    confidence of the chosen rules of that class that fit it, 0 without one.
+    Classes are the labels of all rules and points."""
+    chosen, rules = set(chosen), stats["rules"]
+    classes = sorted({r.label for r in rules} | {r["label"] for r in patterns.select("label").distinct().collect()})
+
+    def greatest(table: Column) -> Column:
+        return F.aggregate("rules", F.lit(0.0), lambda a, i: F.greatest(a, F.get(table, i)))
+
+    sides = []
+    for y in classes:
+        by_rule = [stats["ok"].get(i, 0) / stats["cover"][i] if i in chosen and r.label == y and stats["cover"].get(i) else 0.0 for i, r in enumerate(rules)]
+        table = F.array(*map(F.lit, by_rule)) if rules else F.array().cast("array<double>")
+        sides.append(F.struct(F.lit(y).alias("class"), greatest(table).alias("score")))
+    each = patterns.select("label", "n", F.explode(F.array(*sides)).alias("s"))
+    return each.select("s.class", "s.score", (F.col("s.class") == F.col("label")).alias("positive"), "n")
+
+
+def mean_auc(patterns: DataFrame, stats: dict, chosen: Iterable[int]) -> float:
+    """Mean AUC, one class against the rest, of the classes that have both."""
+    return float(auc(class_scores(patterns, stats, chosen)).agg(F.avg("auc")).first()[0] or 0.0)
+
+
+def coordinate_ascent(score: Callable[[Sequence[float]], float], ranges: Sequence[tuple[float, float]], precision: float, most: int) -> tuple[list[float], float]:
+    """Weights within ``ranges`` and their score. Starts from the best of the
+    middle of all ranges and the points where one weight is greatest and the
+    others least; then each weight in turn is set by ternary search between the
+    ends of its range, which count too. Of all weights met the best are kept, the
+    first of equal ones. Ends when a round raises the score no more, or after
+    ``most`` rounds."""
+    starts = [[(a + z) / 2 for a, z in ranges], *([z if i == k else a for i, (a, z) in enumerate(ranges)] for k in range(len(ranges)))]
+    best, now = max(((score(w), w) for w in starts), key=lambda x: x[0])
+    for _ in range(most):
+        before = best
+        for k, (low, high) in enumerate(ranges):
+
+            def tried(x: float, k: int = k) -> float:
+                nonlocal best, now
+                weights = [*now[:k], x, *now[k + 1 :]]
+                s = score(weights)
+                if s > best:
+                    best, now = s, weights
+                return s
+
+            tried(low), tried(high)
+            while high - low > precision:
+                third = (high - low) / 3
+                left, right = tried(low + third), tried(high - third)
+                low, high = (low + third, high) if left < right else (low, high - third)
+        if best <= before:
+            break
+    return now, best
 
 
 def ids_search(stats: dict, lambdas: Sequence[float], seed: int = 0, delta: float = 1 / 3) -> set[int]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..model import Condition, Node
 from ..operators import splits
 from ..operators.labels import predict_tree
+from ..operators.ranking import value_spans
 
 
 @dataclass
@@ -53,6 +54,7 @@ class Tree:
         labels, n = sorted(counts), sum(counts.values())
         limit = self.max_leaf_nodes or n
         self._made = 0
+        self._spans = value_spans(splits.cells(points, self.projections()))
         self.root = self._node(0, counts)
         self.root.leaf_num = 0
         heap: list = []
@@ -85,7 +87,7 @@ class Tree:
         by = {x.node_id: x for x in leaves}
         here = points.withColumn("_node", self.root.column(lambda x: x.node_id if x.node_id in by else None)).filter(F.col("_node").isNotNull())
         projections = self.projections()
-        found = splits.candidates(here, projections, labels, F.col("_node"), self.bins).persist()
+        found = splits.candidates(here, projections, labels, F.col("_node"), self.bins, self._spans).persist()
         try:
             best = splits.best_splits(found, self.gain(labels, n), self.min_points_leaf)
             chosen = found.join(F.broadcast(best), ["node", "feature", "threshold"])  # a row for each of the round's leaves

@@ -19,7 +19,7 @@ from .operators.select import coverage_mistake_select
 from .plans import experiments as X
 from .plans.modules import DecisionForest, DecisionTreeMod, IMMBase
 from .plans.mining import ClassAssociationMiner, PointwiseMiner
-from .plans.sets import CBA, IDS, DSCluster, ids_objective, ids_statistics
+from .plans.sets import CBA, IDS, DSCluster, class_scores, ids_objective, ids_statistics, rule_patterns
 from .plans.trees import DecisionTree, ExkmcTree, ExplanationTree, ID3Tree, ImmTree, ObliqueTree, ShallowTree, nearest_center
 from .sources import datasets
 from .sources import tables as T
@@ -564,6 +564,23 @@ def ids_terms(spark, d):
     return spark.createDataFrame([(float(ids_objective(stats, {0, 1, 2}, (1.0,) * 7)),)], "objective double")
 
 
+@query("rule_auc", f"""WITH hit AS (SELECT id, rule_id, cluster, label FROM {HITS} JOIN {CLUSTERS} USING (rule_id) JOIN {CUST} USING (id)),
+conf AS (SELECT rule_id, avg((cluster = label)::INT) AS c FROM hit GROUP BY 1),
+scored AS (SELECT p.id, k.class, (p.label = k.class) AS pos, coalesce(max(c), 0) AS score FROM {CUST} p CROSS JOIN (SELECT DISTINCT label AS class FROM {CUST}) k LEFT JOIN (hit JOIN conf USING (rule_id)) h ON h.id = p.id AND h.cluster = k.class GROUP BY ALL),
+ranked AS (SELECT class, pos, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2 AS r FROM scored)
+SELECT class, round((sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)), 9) AS auc FROM ranked GROUP BY 1""")
+def rule_auc(spark, d):
+    p = customers(spark, d)
+    return _rounded(M.auc(class_scores(rule_patterns(p, RULES), ids_statistics(p, RULES), range(len(RULES)))), "auc", places=9)
+
+
+@query("ids_weights")
+def ids_weights_found(spark, d):
+    """The weights of IDS that are found by coordinate ascent, and their AUC."""
+    model = IDS(given=RULES, lambdas=None, ranges=[(0.0, 10.0)] * 7, precision=4.0, max_iterations=1).fit(customers(spark, d))
+    return spark.createDataFrame([(k, float(w), float(model.auc)) for k, w in enumerate(model.weights)], "term int, weight double, auc double")
+
+
 @query("pointwise_rules")
 def pointwise_rules(spark, d):
     return PointwiseMiner(["x0", "x1"]).table(parts(spark, d))

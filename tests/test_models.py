@@ -9,12 +9,13 @@ from ruleloom.functions.binning import entropy_cuts
 from ruleloom.model import Condition, Rule, RuleSet
 from ruleloom.operators import clusters as C
 from ruleloom.operators import labels as L
+from ruleloom.operators import ranking as R
 from ruleloom.operators import splits as S
 from ruleloom.operators.select import coverage_mistake_select, select_with_grid
 from ruleloom.operators.graphs import spanning_tree
 from ruleloom.operators.pairs import distances
 from ruleloom.plans.mining import ClassAssociationMiner, PointwiseMiner, _Growth
-from ruleloom.plans.sets import CBA, IDS, DecisionSet, DSCluster, ids_objective, ids_search, ids_weights
+from ruleloom.plans.sets import CBA, IDS, DecisionSet, DSCluster, coordinate_ascent, ids_objective, ids_search, ids_statistics, ids_weights, mean_auc, rule_patterns
 from ruleloom.plans.trees import DecisionTree, ExplanationTree, ID3Tree, ImmTree
 from ruleloom.streaming.scoring import score_stream
 
@@ -346,3 +347,93 @@ def test_ids_search_is_near_the_best_and_has_no_limit_of_moves():
     s = ids_stats(70, rng)
     s["pairs"], s["ok"], s["cover"] = {}, dict.fromkeys(range(70), 50), dict.fromkeys(range(70), 50)
     assert ids_search(s, (1.0,) * 7) == set(range(70))
+
+
+# spans and rank selection
+
+
+def test_sums_by_spans_are_those_of_the_whole(spark):
+    """One value holds a third of the rows; spans of every number of edges give the same."""
+    rng = random.Random(3)
+    rows = [(i, 7.0 if i % 3 == 0 else round(rng.gauss(5, 4), 1), float(rng.randint(0, 3)), rng.randint(0, 2)) for i in range(900)]
+    p = points(spark, [*rows, (5000, None, float("nan"), 1)]).cache()
+    node = F.when(F.col("f1") > 1, 1).otherwise(0)
+    want = {}
+    for k in (0, 1):
+        for n in (0, 1):
+            own = [r for r in rows if (r[2] > 1) == n]
+            values = sorted({r[1 + k] for r in own})
+            for t, above in zip(values, values[1:], strict=False):
+                sides = [[sum(r[3] == y and (r[1 + k] <= t) == low for r in own) for y in range(3)] for low in (True, False)]
+                want[n, k, t] = (above, *map(tuple, sides))
+    for spans in (None, {0: [], 1: []}, {0: [1.0, 6.9, 7.0, 7.1], 1: [0.0]}, {0: [x / 4 for x in range(-20, 60)]}):
+        got = S.candidates(p.filter("f0 IS NOT NULL"), S.axes(["f0", "f1"]), [0, 1, 2], node, spans=spans).collect()
+        assert {(r["node"], r["feature"], r["threshold"]): (r["above"], tuple(r["l"]), tuple(r["r"])) for r in got} == want
+    plan = S.candidates(p, S.axes(["f0"]), [0, 1, 2], spans={0: [1.0]})._jdf.queryExecution().optimizedPlan().toString()
+    assert "_b" in plan
+
+
+def test_order_statistics_are_exact(spark):
+    rng = random.Random(11)
+    columns = [[rng.gauss(0, 1) for _ in range(4000)], [3.0] * 2500 + [float(rng.randint(0, 5)) for _ in range(1500)], [10.0 ** rng.randint(-300, 300) for _ in range(4000)], [1.0] * 4000]
+    cells = spark.createDataFrame([(f, v) for f, c in enumerate(columns) for v in c] + [(0, None)] * 9, "feature int, value double").repartition(4)
+    ranks = [0, 1, 999, 1000, 2000, 2001, 3998, 3999]
+    for held in (2, 50, 10**6):
+        got = R.order_statistics(cells, {f: ranks for f in range(4)}, held)
+        assert got == {f: {r: sorted(c)[r] for r in ranks} for f, c in enumerate(columns)}
+    assert R.order_statistics(cells.limit(0), {0: [0]}) == {0: {}}
+
+
+def test_quantiles_are_those_of_numpy(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([1.5, 2.5, rng.random() * 9]), float(i), 0) for i in range(3001)]
+    p = points(spark, [*rows, (9000, None, None, 0)])
+    shares = [0, 0.1, 0.25, 1 / 3, 0.5, 0.9, 1]
+    got = R.quantiles(p, ["f0", "f1"], shares)
+    for k, f in ((1, "f0"), (2, "f1")):
+        assert got[f] == pytest.approx(np.quantile([r[k] for r in rows], shares), rel=1e-12)
+    assert R.quantiles(p.limit(0), ["f0"], shares) == {"f0": []}
+
+
+# IDS's weights
+
+
+def brute_auc(rows, rules, stats, chosen):
+    aucs = []
+    for y in sorted({r[3] for r in rows} | {r.label for r in rules}):
+        conf = {i: stats["ok"].get(i, 0) / stats["cover"][i] for i in chosen if rules[i].label == y and stats["cover"].get(i)}
+        fits = lambda r, i: all((r[1] <= c.threshold) if c.direction < 0 else (r[1] > c.threshold) for c in rules[i].conditions)
+        score = [max((c for i, c in conf.items() if fits(r, i)), default=0.0) for r in rows]
+        pos, neg = [s for s, r in zip(score, rows, strict=True) if r[3] == y], [s for s, r in zip(score, rows, strict=True) if r[3] != y]
+        if pos and neg:
+            aucs.append(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg))
+    return sum(aucs) / len(aucs)
+
+
+def test_ids_searches_for_weights(spark):
+    rng = random.Random(13)
+    rows = [(i, x := rng.random() * 10, 0.0, int(x > 4) if rng.random() < 0.8 else 2) for i in range(120)]
+    p = points(spark, rows).cache()
+    rules = RuleSet((Rule((Condition.axis("f0", 4.0),), 0), Rule((Condition.axis("f0", 4.0, 1),), 1), Rule((Condition.axis("f0", 9.0),), 1), Rule((Condition.axis("f0", 2.0, 1),), 2), Rule((Condition.axis("f0", 1.0),), 2)))
+    stats = ids_statistics(p, rules)
+    patterns = rule_patterns(p, rules).cache()
+    sets = [frozenset(i for i in range(5) if m >> i & 1) for m in range(32)]
+    every = {c: brute_auc(rows, list(rules), stats, c) for c in sets}
+    for c in sets[::3]:
+        assert mean_auc(patterns, stats, c) == pytest.approx(every[c])
+    # all sets that weights from a grid lead to
+    reached = {frozenset(ids_search(stats, [rng.choice([0.0, 1.0, 5.0, 20.0]) for _ in range(7)])) for _ in range(3000)}
+    model = IDS(given=rules, lambdas=None, ranges=[(0, 20)] * 7, precision=1.0).fit(p)
+    assert model.auc == pytest.approx(max(every[c] for c in reached)) and len(reached) > 3
+    assert model.rules == rules.subset(sorted(ids_search(stats, model.weights)))
+    assert all(0 <= w <= 20 for w in model.weights)
+    for bad in ({"lambdas": [1.0]}, {"ranges": [(0, 1)]}, {"precision": 0.0}, {"max_iterations": 0}):
+        with pytest.raises(ValueError):
+            IDS(given=rules, **({"lambdas": None} | bad))
+
+
+def test_coordinate_ascent_finds_a_ridge():
+    score = lambda w: -abs(w[0] - 3) - abs(w[1] - 7)
+    best, s = coordinate_ascent(score, [(0, 10), (0, 10)], 0.01, 50)
+    assert best == pytest.approx([3, 7], abs=0.05) and s == score(best)
+    assert coordinate_ascent(score, [(2, 2), (5, 5)], 0.01, 1)[0] == [2, 5]
