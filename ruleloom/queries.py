@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import binning as N
 from .model import Condition, Node, Rule, RuleSet, interval
 from .operators import clusters as C
+from .operators import knn as K
 from .operators import labels as L
 from .operators import metrics as M
 from .operators import pairs as P
@@ -337,13 +338,20 @@ def min_inter_whole(spark, d):
 
 @query("mutual_reachability_whole")
 def mutual_reachability_whole(spark, d):
-    r = P.mutual_reachability(_edist_whole(spark, d)[0], 5)
+    p = embedded_whole(spark, d)
+    r = P.mutual_reachability(P.distances(p, E64), 5, K.core_distances(p, E64, 5))
     return _rounded(r.groupBy("i").agg(F.min("d").alias("least"), F.avg("d").alias("mean")), "least", "mean")
 
 
 @query("knn_curve_whole")
 def knn_curve_whole(spark, d):
-    return _rounded(P.knn_curve(_edist_whole(spark, d)[0], 4), "distance")
+    return _rounded(K.core_distances(embedded_whole(spark, d), E64, 4).select(F.col("i").alias("id"), F.col("core").alias("distance")), "distance")
+
+
+@query("knn_join", f"SELECT i, r, round(d, 6) AS d FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS r FROM (SELECT a.id AS i, sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) AS d FROM {PART} a JOIN {PART} b ON a.id <> b.id)) WHERE r <= 3")
+def knn_join(spark, d):
+    """The three nearest parts of each part, without a table of all pairs."""
+    return _rounded(K.knn_join(parts(spark, d), ["x0", "x1"], 3).select("i", F.col("r").cast("long").alias("r"), "d"), "d")
 
 
 @query("pairs_within_whole")
