@@ -11,7 +11,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dendrogram import flat, linkage
 from .graphs import cut, merge, spanning_tree
+from .pairs import distances
 
 
 def kmeans(points: DataFrame, features: Sequence[str], k: int, seed: int = 342) -> tuple[DataFrame, list[list[float]]]:
@@ -66,6 +68,13 @@ def single_linkage(dist: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return comp.join(names, "c").select(F.col("v").alias("id"), "label")
 
 
+def agglomerative(points: DataFrame, features: Sequence[str], k: int, kind: str = "single") -> DataFrame:
+    """(id, label): k clusters by single, complete or average linkage. Single
+    linkage needs a spanning tree; the others a table of all pairs of clusters."""
+    dist = distances(points, features)
+    return single_linkage(dist, points, k) if kind == "single" else flat(points, linkage(dist, kind), k)
+
+
 def grid_search(points: DataFrame, features: Sequence[str], settings: Sequence[tuple[float, int]], score) -> tuple[float, int] | None:
     """The (eps, n_core) whose clustering scores best; score(labels) is a float, NaN counts as none."""
     best = None

@@ -612,6 +612,43 @@ def dbscan(spark, d):
     return C.dbscan(embedded_whole(spark, d), E64, 0.02, 5)
 
 
+#: Customers with balances in hundreds: lines of points, a nation each.
+BANDS = "(SELECT c_custkey AS id, c_acctbal / 100 AS x0, CAST(c_nationkey AS DOUBLE) AS x1 FROM customer)"
+
+
+def bands(spark, d) -> DataFrame:
+    return _read(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x0"), F.col("c_nationkey").cast("double").alias("x1"))
+
+
+@query("dbscan_clusters", f"""WITH RECURSIVE near AS (SELECT a.id AS i, b.id AS j FROM {BANDS} a JOIN {BANDS} b ON a.id <> b.id AND (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) <= 0.64),
+core AS (SELECT i FROM near GROUP BY 1 HAVING count(*) + 1 >= 3), link AS (SELECT i, j FROM near WHERE i IN (FROM core) AND j IN (FROM core)),
+reach(i, m) AS (SELECT i, i FROM core UNION SELECT link.i, m FROM reach JOIN link ON link.j = reach.i),
+comp AS (SELECT i, min(m) AS c FROM reach GROUP BY 1), member AS (SELECT i, dense_rank() OVER (ORDER BY c) - 1 AS label FROM comp),
+border AS (SELECT near.i, min(label) AS label FROM near JOIN member ON member.i = near.j GROUP BY 1)
+SELECT p.id, coalesce(m.label, b.label, -1)::INT AS label FROM {BANDS} p LEFT JOIN member m ON m.i = p.id LEFT JOIN border b ON b.i = p.id""")
+def dbscan_clusters(spark, d):
+    """A radius inside the data: clusters, borders and noise."""
+    return C.dbscan(bands(spark, d), ["x0", "x1"], 0.8, 3)
+
+
+@query("average_linkage")
+def average_linkage(spark, d):
+    return C.agglomerative(embedded_whole(spark, d), E64, 4, "average")
+
+
+@query("complete_linkage")
+def complete_linkage(spark, d):
+    return C.agglomerative(embedded_whole(spark, d), E64, 4, "complete")
+
+
+@query("density_pairs")
+def density_pairs(spark, d):
+    """The density distance of each vector to the one with the next id, from two rows."""
+    p = embedded_whole(spark, d)
+    asked = p.select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    return _rounded(P.density_distance(P.distances(p, E64), 3, asked), "d")
+
+
 @query("single_linkage")
 def single_linkage(spark, d):
     p = embedded_whole(spark, d)

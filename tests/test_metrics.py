@@ -111,9 +111,8 @@ def test_density_distance_is_minimax_path(spark):
     assert got.keys() == m.keys() and all(abs(got[k] - m[k]) < 1e-12 for k in m)
 
 
-def test_density_distance_across_spans(spark, monkeypatch):
-    # on a line, the longest step between two points is the largest gap between neighbours
-    monkeypatch.setattr(P, "SPAN", 3)
+def test_density_distance_on_a_line(spark):
+    # the longest step between two points is the largest gap between neighbours
     x = [0.0, 1.0, 1.5, 4.0, 4.2, 7.0, 7.1, 9.0]
     p = spark.createDataFrame(list(enumerate(x)), "id long, a double")
     got = {(r["i"], r["j"]): r["d"] for r in P.density_distance(P.distances(p, ["a"]), 1).collect()}
@@ -121,14 +120,6 @@ def test_density_distance_across_spans(spark, monkeypatch):
     assert got == pytest.approx(want | {(j, i): d for (i, j), d in want.items()})
 
 
-def test_merges_on_a_chain_hold_no_more_than_a_span():
-    rows = P._spans([(1.0 + k, k, k + 1) for k in range(699)], 256)
-    assert [len(r[1]) for r in rows] == [256, 256, 188]
-    assert [p[0] for r in rows for p in r[1]] == list(range(700))
-    assert [g for r in rows for g in r[2]] == [1.0 + k for k in range(699)] + [math.inf]
-    assert rows[1][1][10] == (266, 266.0, 512.0)
-
-
 def test_wide_distances_are_those_of_the_plan(spark):
     rng = random.Random(9)
     pts = [(i, *(rng.random() for _ in range(20))) for i in range(50)]
