@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import kmeans_cost
+
 
 def coverage_mistake_select(data_cluster: DataFrame, rule_cluster: DataFrame, data_rule: DataFrame, n_rules: int, lam: float) -> list[int]:
     """Ids of the selected rules.
@@ -58,5 +60,22 @@ def select_with_grid(data_cluster: DataFrame, rule_cluster: DataFrame, data_rule
     return None if best is None else best[1]
 
 
+def kmeans_objective(points: DataFrame, features: Sequence[str], centers: DataFrame, rule_cluster: DataFrame, average: bool = False, normalize: bool = False) -> Callable[[DataFrame], float]:
+    """For select_with_grid: the k-means cost of the clusters that the kept
+    rules give to points; infinite where nothing is covered and ``normalize``."""
+    n = points.count()
+
+    def cost(kept: DataFrame) -> float:
+        given = kept.join(rule_cluster.select("rule_id", "cluster"), "rule_id").select("id", "cluster").distinct()
+        return float(kmeans_cost(points, features, centers, given, n, average, normalize).first()[0])
+
+    return cost
+
+
+def coverage_objective(n_points: int) -> Callable[[DataFrame], float]:
+    """For select_with_grid: minus the share of points that the kept rules cover."""
+    return lambda kept: -kept.select("id").distinct().count() / n_points
+
+
 #: The same as a function of the long tables.
 distorted_greedy = coverage_mistake_select

@@ -43,6 +43,18 @@ def labelled_csv(spark: SparkSession, path: str, features: Sequence[str], label:
     return T.factorize(_identified(raw), "_l", "label").drop("_l")
 
 
+def scaled_csv(spark: SparkSession, path: str, label: str, scaled: str | None = "minmax") -> tuple[DataFrame, list[str], Scaler]:
+    """(points, features, scaler) of a CSV of numbers with an integer label, as
+    tables of images are: all other columns scaled, to 0 and 1 unless asked
+    otherwise, and the labels as they stand."""
+    raw = T.read_csv(spark, path)
+    features = [c for c in raw.columns if c != label]
+    p = _identified(T.numeric_rows(raw, features).withColumn(label, F.expr(f"try_cast(`{label}` AS int)")))
+    p = p.withColumnRenamed(label, "label") if label != "label" else p
+    scaler = {"standard": standard_scaler, "minmax": minmax_scaler, None: lambda *_: {}}[scaled](p, features)
+    return (scale(p, scaler) if scaler else p), features, scaler
+
+
 def climate(spark: SparkSession, path: str, key: str = "ID", year: str = "Year", old: tuple[int, int] = (1900, 1999), new: tuple[int, int] = (2013, 2023)) -> DataFrame:
     """Relative change of each monthly column between two periods, by station."""
     raw = T.read_csv(spark, path)

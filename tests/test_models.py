@@ -11,7 +11,7 @@ from ruleloom.operators import clusters as C
 from ruleloom.operators import labels as L
 from ruleloom.operators import ranking as R
 from ruleloom.operators import splits as S
-from ruleloom.operators.select import coverage_mistake_select, select_with_grid
+from ruleloom.operators.select import coverage_mistake_select, coverage_objective, kmeans_objective, select_with_grid
 from ruleloom.operators.graphs import spanning_tree
 from ruleloom.operators.pairs import distances
 from ruleloom.plans.mining import ClassAssociationMiner, PointwiseMiner, _Growth
@@ -349,6 +349,22 @@ def test_ids_search_is_near_the_best_and_has_no_limit_of_moves():
     assert ids_search(s, (1.0,) * 7) == set(range(70))
 
 
+def test_objectives_of_the_grid(spark):
+    """Nine points of three clusters; all but the first lambda keep rules that cover two thirds or all."""
+    x = [(10.0, 0.0)] * 3 + [(0.0, 1.0)] * 3 + [(-10.0, 0.0)] * 3
+    p = spark.createDataFrame([(i, *r) for i, r in enumerate(x)], "id long, f0 double, f1 double")
+    centers = spark.createDataFrame([(0, 5.0, 0.0), (1, 0.0, 0.0), (2, -5.0, 0.0)], "cluster int, f0 double, f1 double")
+    rc = spark.createDataFrame([(0, 0, 1), (1, 1, 1), (2, 2, 1)], "rule_id int, cluster int, length int")
+    hits = spark.createDataFrame([(i, i // 3) for i in range(9)] + [(0, 1)], "id long, rule_id int")
+    cost = kmeans_objective(p, ["f0", "f1"], centers, rc)
+    assert cost(hits) == 3 * 25 + 3 * 1 + 3 * 25 + 100
+    assert cost(hits.filter("rule_id = 1")) == 3 + 100
+    assert kmeans_objective(p, ["f0", "f1"], centers, rc, normalize=True)(hits.limit(0)) == math.inf
+    assert coverage_objective(9)(hits.filter("rule_id < 2")) == pytest.approx(-6 / 9)
+    truth = spark.createDataFrame([(i, i // 3) for i in range(9)], "id long, cluster int")
+    assert select_with_grid(truth, rc, hits, 9, 3, 1.0, [0.0, 0.5], coverage_objective(9)) == [0, 1, 2]
+
+
 # spans and rank selection
 
 

@@ -28,6 +28,16 @@ def test_csv_features_drop_scale_and_keep_repeats(spark, tmp_path):
     assert p.agg(F.sum("a")).first()[0] == pytest.approx(0)
 
 
+def test_scaled_csv_keeps_labels(spark, tmp_path):
+    path = str(tmp_path / "images.csv")
+    with open(path, "w") as f:
+        f.write("p0,p1,class\n0,4,7\n16,4,2\n8,4,7\n8,4,7\n")
+    p, features, scaler = D.scaled_csv(spark, path, "class")
+    assert features == ["p0", "p1"] and set(scaler) == {"p0", "p1"}
+    assert sorted((r["p0"], r["p1"], r["label"]) for r in p.collect()) == [(0.0, 0.0, 7), (0.5, 0.0, 7), (0.5, 0.0, 7), (1.0, 0.0, 2)]
+    assert p.select("id").distinct().count() == 4
+
+
 def test_labelled_csv(spark, tmp_path):
     path = write(tmp_path, "b.csv", "a,k\n1,dog\n2,cat\n,dog\n")
     assert sorted(r["label"] for r in D.labelled_csv(spark, path, ["a"], "k").collect()) == [0, 1]
