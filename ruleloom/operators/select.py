@@ -20,6 +20,13 @@ def coverage_mistake_select(data_cluster: DataFrame, rule_cluster: DataFrame, da
     same rules are alike: they are counted once for all steps, as patterns,
     so that a step is one small aggregation over patterns, not over points.
     """
+    return select_for_lambdas(data_cluster, rule_cluster, data_rule, n_rules, [lam])[0]
+
+
+def select_for_lambdas(data_cluster: DataFrame, rule_cluster: DataFrame, data_rule: DataFrame, n_rules: int, lams: Sequence[float]) -> list[list[int]]:
+    """What ``coverage_mistake_select`` selects for each lambda. The selections
+    go on in lock step: an aggregation a step over (lambda, pattern), for those
+    lambdas whose last step took a rule."""
     hits = data_rule.join(rule_cluster.select("rule_id", "cluster"), "rule_id")
     right = hits.join(data_cluster, ["id", "cluster"], "left_semi")
     totals = {r["rule_id"]: r["n"] for r in hits.groupBy("rule_id").agg(F.count("*").alias("n")).collect()}
@@ -27,22 +34,28 @@ def coverage_mistake_select(data_cluster: DataFrame, rule_cluster: DataFrame, da
     bad = {i: n - own.get(i, 0) for i, n in totals.items()}
     patterns = right.groupBy("id", "cluster").agg(F.array_sort(F.collect_set("rule_id")).alias("rules")).groupBy("cluster", "rules").agg(F.count("*").alias("n"))
     patterns = patterns.persist()
-    chosen: list[int] = []
+    chosen: list[list[int]] = [[] for _ in lams]
+    gains = [dict(own) for _ in lams]
     try:
-        gain = dict(own)
         for i in range(n_rules):
-            weight = (1 - 1 / n_rules) ** (n_rules - i - 1)
-            scores = {j: weight * gain.get(j, 0) - lam * bad[j] for j in totals if j not in chosen}
-            best = min(scores, key=lambda j: (-scores[j], j), default=None)
-            if best is None or scores[best] <= 0:
+            weight, moved = (1 - 1 / n_rules) ** (n_rules - i - 1), []
+            for k, lam in enumerate(lams):
+                scores = {j: weight * gains[k].get(j, 0) - lam * bad[j] for j in totals if j not in chosen[k]}
+                best = min(scores, key=lambda j: (-scores[j], j), default=None)
+                if best is not None and scores[best] > 0:
+                    chosen[k].append(best)
+                    moved.append(k)
+            if not moved or i + 1 == n_rules:
                 continue
-            chosen.append(best)
-            done = F.array(*map(F.lit, chosen))
-            left = patterns.filter(~F.arrays_overlap("rules", done)).select(F.explode("rules").alias("r"), "n").groupBy("r").agg(F.sum("n").alias("n"))
-            gain = {r["r"]: r["n"] for r in left.collect()}
+            done = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, chosen[k])).alias("done")) for k in moved)))
+            left = patterns.select("rules", "n", done.alias("l")).filter(~F.arrays_overlap("rules", "l.done"))
+            for k in moved:
+                gains[k] = {}
+            for r in left.select("l.k", F.explode("rules").alias("r"), "n").groupBy("k", "r").agg(F.sum("n").alias("n")).collect():
+                gains[r["k"]][r["r"]] = r["n"]
     finally:
         patterns.unpersist()
-    return sorted(chosen)
+    return [sorted(c) for c in chosen]
 
 
 def select_with_grid(data_cluster: DataFrame, rule_cluster: DataFrame, data_rule: DataFrame, n_points: int, n_rules: int, frac_cover: float, lams: Sequence[float], objective: Callable[[DataFrame], float]) -> list[int] | None:

@@ -11,6 +11,7 @@ from ..model import RuleSet
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import pairs as P
+from ..operators.select import select_for_lambdas
 
 RESULT = "module string, sample int, metric string, x double, value double"
 
@@ -61,6 +62,35 @@ def lambda_scores(data_cluster: DataFrame, data_rule: DataFrame, rule_cluster: D
     return one.select(F.explode(F.array(*map(F.lit, map(float, lams)))).alias("lam"), "covered", "mistakes").select("lam", (F.col("covered") - F.col("lam") * F.col("mistakes")).alias("score"))
 
 
+def lambda_fits(points: DataFrame, mine: Callable[[int], RuleSet], lams: Sequence[float], n_rules: int, n_samples: int = 1, name: str = "dscluster") -> DataFrame:
+    """Results (module, sample, metric, x, value) of selections fitted anew for
+    each lambda (x) and sample: longest rule, mean length by the points covered,
+    and covered points less lambda times mistakes. ``mine(sample)`` gives the
+    rules to select from. All lambdas of a sample are selected in lock step and
+    measured by one job."""
+    spark, rows = points.sparkSession, []
+    truth = points.filter(F.col("label").isNotNull()).select("id", F.col("label").alias("cluster"))
+    for sample in range(n_samples):
+        rules = RuleSet(tuple(r for r in mine(sample) if r.label != -1))
+        rc, hits = L.rules_to_clusters(spark, rules), L.data_to_rules(points, rules).persist()
+        try:
+            chosen = select_for_lambdas(truth, rc, hits, n_rules, lams)
+            info = [(k, i, rules.rules[i].label, len(rules.rules[i].conditions)) for k, some in enumerate(chosen) for i in some]
+            found = {}
+            if info:
+                each = hits.join(F.broadcast(spark.createDataFrame(info, "k int, rule_id int, own int, length int")), "rule_id").join(truth, "id", "left")
+                wrong = F.count_if(F.coalesce(F.col("own") != F.col("cluster"), F.lit(True)))
+                found = {r["k"]: r for r in each.groupBy("k").agg(F.count_distinct("id").alias("c"), wrong.alias("m"), F.avg("length").alias("l")).collect()}
+            for k, lam in enumerate(lams):
+                r = found.get(k)
+                longest = max((len(rules.rules[i].conditions) for i in chosen[k]), default=0)
+                values = {"max_rule_length": longest, "weighted_rule_length": r["l"] if r else float("nan"), "coverage_mistake_score": r["c"] - lam * r["m"] if r else 0.0}
+                rows += [(name, sample, m, float(lam), float(v)) for m, v in values.items()]
+        finally:
+            hits.unpersist()
+    return spark.createDataFrame(rows, RESULT)
+
+
 def robustness(points: DataFrame, features: Sequence[str], rules: RuleSet, std: float, n_samples: int, seed: int = 342) -> DataFrame:
     """(sample, clustering_distance) between predictions with and without normal
     noise. Samples are drawn by seeds, one column set each; uncovered points

@@ -669,6 +669,12 @@ def lambda_sweep(spark, d):
     return X.lambda_scores(dc, hits, rc, [0.0, 0.5, 1.0, 2.0])
 
 
+@query("lambda_fits")
+def lambda_fits(spark, d):
+    """Rules selected anew for each lambda."""
+    return X.lambda_fits(customers(spark, d), lambda sample: RULES, [0.0, 0.25, 0.5, 1.0, 2.0], 3)
+
+
 @query("robustness")
 def robustness(spark, d):
     return X.robustness(customers(spark, d), ["x0", "x1"], RULES, 100.0, 2)

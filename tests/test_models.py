@@ -11,9 +11,10 @@ from ruleloom.operators import clusters as C
 from ruleloom.operators import labels as L
 from ruleloom.operators import ranking as R
 from ruleloom.operators import splits as S
-from ruleloom.operators.select import coverage_mistake_select, coverage_objective, kmeans_objective, select_with_grid
+from ruleloom.operators.select import coverage_mistake_select, coverage_objective, kmeans_objective, select_for_lambdas, select_with_grid
 from ruleloom.operators.graphs import spanning_tree
 from ruleloom.operators.pairs import distances
+from ruleloom.plans.experiments import lambda_fits
 from ruleloom.plans.mining import ClassAssociationMiner, PointwiseMiner, _Growth
 from ruleloom.plans.sets import CBA, IDS, DecisionSet, DSCluster, coordinate_ascent, ids_objective, ids_search, ids_statistics, ids_weights, mean_auc, rule_patterns
 from ruleloom.plans.trees import DecisionTree, ExplanationTree, ID3Tree, ImmTree
@@ -365,6 +366,29 @@ def test_objectives_of_the_grid(spark):
     assert select_with_grid(truth, rc, hits, 9, 3, 1.0, [0.0, 0.5], coverage_objective(9)) == [0, 1, 2]
 
 
+def test_lambdas_in_lock_step_are_separate_fits(spark):
+    rng = random.Random(21)
+    rows = [(i, rng.random() * 10, rng.random() * 10, rng.randint(0, 2)) for i in range(150)]
+    p = points(spark, rows).cache()
+    rules = RuleSet(tuple(Rule((Condition.axis("f0", rng.random() * 10, rng.choice([-1, 1])), Condition.axis("f1", rng.random() * 10, rng.choice([-1, 1])))[: rng.randint(1, 2)], rng.randint(0, 2)) for _ in range(12)))
+    lams = [0.0, 0.1, 0.3, 0.6, 1.0, 5.0, 1000.0]
+    hits, rc = L.data_to_rules(p, rules), L.rules_to_clusters(spark, rules)
+    truth = p.select("id", F.col("label").alias("cluster"))
+    together = select_for_lambdas(truth, rc, hits, 4, lams)
+    covered = {(r["id"], r["rule_id"]) for r in hits.collect()}
+    data_rule = [[int((i, j) in covered) for j in range(12)] for i in range(150)]
+    labels = {j: r.label for j, r in enumerate(rules)}
+    assert together == [sorted(greedy(data_rule, labels, [r[3] for r in rows], 4, lam)) for lam in lams]
+    assert len(set(map(tuple, together))) > 3
+    got = {(r["metric"], r["x"], r["sample"]): r["value"] for r in lambda_fits(p, lambda sample: rules, lams, 4, 2).collect()}
+    assert len(got) == 3 * len(lams) * 2
+    for lam, chosen in zip(lams, together, strict=True):
+        pairs = [(i, j) for i, j in covered if j in chosen]
+        score = len({i for i, _ in pairs}) - lam * sum(rows[i][3] != labels[j] for i, j in pairs)
+        assert got["coverage_mistake_score", lam, 1] == pytest.approx(score)
+        assert got["max_rule_length", lam, 0] == max((len(list(rules)[j].conditions) for j in chosen), default=0)
+
+
 # spans and rank selection
 
 
