@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -116,6 +117,34 @@ def write_results(results: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
+def read_wide_results(spark: SparkSession, path: str) -> DataFrame:
+    """Tidy results (module, sample, metric, x, value) of CSVs whose columns have
+    three headers, metric, module and sample, and whose first column is x.
+
+    Headers are read apart; rows become long by one expression. A sample that is
+    no number is null, and so are cells that are none; rows without x go."""
+    lines = [r[0] for r in spark.read.text(path).head(3)]
+    metrics, modules, samples = (next(csv.reader([x])) for x in lines)
+    if not len(metrics) == len(modules) == len(samples) > 1:
+        raise ValueError("three headers of the same columns are needed")
+    names = [f"c{k}" for k in range(len(metrics))]
+    body = spark.read.schema(", ".join(f"{c} string" for c in names)).csv(path)
+    number = lambda c: F.nanvl(F.expr(f"try_cast({c} AS double)"), F.lit(None).cast("double"))
+    rows = body.withColumn("x", number("c0")).filter(F.col("x").isNotNull())
+
+    def sample(text: str):
+        try:
+            return F.lit(int(float(text)))
+        except ValueError:  # "nan" too
+            return F.lit(None).cast("int")
+
+    cells = [
+        F.struct(F.lit(module).alias("module"), sample(k).alias("sample"), F.lit(metric).alias("metric"), number(c).alias("value"))
+        for c, metric, module, k in zip(names[1:], metrics[1:], modules[1:], samples[1:], strict=True)
+    ]
+    return rows.select("x", F.explode(F.array(*cells)).alias("r")).select("r.module", "r.sample", "r.metric", "x", "r.value")
+
+
 def summarise(results: DataFrame) -> DataFrame:
     """Mean and deviation of each metric by module and x."""
     return results.groupBy("metric", "module", "x").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))

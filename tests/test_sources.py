@@ -119,3 +119,27 @@ def test_cover_by_window_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("covered").collect()) == [5, 10]
+
+
+def test_results_with_three_headers(spark, tmp_path):
+
+    path = str(tmp_path / "wide.csv")
+    with open(path, "w") as f:
+        f.write(",length,score,length,score,length,score\n")
+        f.write(",KMeans,KMeans,Tree,Tree,Tree,Tree\n")
+        f.write(",nan,nan,0,0,1.0,1.0\n")
+        f.write("2.0,,1797,3,1.5,5,2.5\n4.0,,1797,4,nan,,0.5\n")
+    rows = T.read_wide_results(spark, path)
+    got = {(r["module"], r["sample"], r["metric"], r["x"]): r["value"] for r in rows.collect()}
+    assert got == {
+        ("KMeans", None, "length", 2.0): None, ("KMeans", None, "score", 2.0): 1797.0, ("KMeans", None, "length", 4.0): None, ("KMeans", None, "score", 4.0): 1797.0,
+        ("Tree", 0, "length", 2.0): 3.0, ("Tree", 0, "score", 2.0): 1.5, ("Tree", 1, "length", 2.0): 5.0, ("Tree", 1, "score", 2.0): 2.5,
+        ("Tree", 0, "length", 4.0): 4.0, ("Tree", 0, "score", 4.0): None, ("Tree", 1, "length", 4.0): None, ("Tree", 1, "score", 4.0): 0.5,
+    }
+    means = {(r["metric"], r["module"], r["x"]): (r["mean"], r["std"]) for r in T.summarise(rows).collect()}
+    assert means["length", "Tree", 2.0] == (4.0, math.sqrt(2)) and means["score", "Tree", 4.0][0] == 0.5
+    bad = str(tmp_path / "bad.csv")
+    with open(bad, "w") as f:
+        f.write("a,b\n1,2\n3\n")
+    with pytest.raises(ValueError):
+        T.read_wide_results(spark, bad)
