@@ -150,17 +150,13 @@ class ByteBpe:
             return [whole]
         if not self.all_bytes:
             return self.merged(piece)
-        n, chars, iter_long, most = len(piece), piece.decode("latin-1"), self.automaton.iter_long, self.longest
-
-        def longest(at: int) -> int:
-            """The longest token at a place. A search takes time with the string
-            that it is given, so that it gets no more than a token's length."""
-            return next(iter_long(chars[at : at + most]))[1]
-
+        n, chars, longest, most = len(piece), piece.decode("latin-1"), self.automaton.iter_long, self.longest
+        # a search takes time with the string that it is given: of a long piece it gets a token's length
+        short = n <= 4 * most
         known, bytes_of = self._pairs.get, self.bytes_of
         closed = bytearray(n + 1)
         out: list[int] = []
-        pos, last, token = 0, -1, longest(0)
+        pos, last, token = 0, -1, next(longest(chars[:most]))[1]
         while True:
             end = pos + len(bytes_of[token])
             if not closed[end]:
@@ -169,7 +165,7 @@ class ByteBpe:
                     out.append(token)
                     if end == n:
                         return out
-                    pos, last, token = end, token, longest(end)
+                    pos, last, token = end, token, next(longest(chars, end) if short else longest(chars[end : end + most]))[1]
                     continue
             token = self.shorter(token)
             if token < 0:
