@@ -379,7 +379,7 @@ def test_queries_with_sql(spark):
     from ruleloom.llm import entries
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     for name, sql in entries.ORACLE_SQL.items():
         df = entries.QUERIES[name](spark, SMALL)
