@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..model import RuleSet
 from ..operators import clusters as C
 from ..operators import labels as L
-from ..operators.pairs import distances
 from .sets import DecisionSet
 from .trees import DecisionTree, ExkmcTree, Tree
 
@@ -56,7 +55,7 @@ class AgglomerativeBase(Clustering):
     n_clusters: int = 2
 
     def _assign(self, points):
-        return C.single_linkage(distances(points, self.features), points, self.n_clusters)
+        return C.agglomerative(points, self.features, self.n_clusters)
 
 
 @dataclass
