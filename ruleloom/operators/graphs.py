@@ -86,13 +86,21 @@ def spanning_tree(dist: DataFrame, held: int = HELD) -> DataFrame:
 
     Each task first keeps a spanning forest of the pairs that it makes: an
     edge that closes a cycle of shorter ones is in no tree, so that all pairs
-    are never written. If at most ``held`` edges are left, a task ends the work;
-    more take Boruvka's rounds, to the same tree: each component takes its
-    least edge, components that meet become one."""
+    are never written. Forests are joined by fewer tasks as long as that drops
+    edges. If at most ``held`` are left, a task ends the work; more take
+    Boruvka's rounds, to the same tree: each component takes its least edge,
+    components that meet become one."""
     id_type = dist.schema["i"].dataType.simpleString()
     schema = f"i {id_type}, j {id_type}, d double"
     edges = cut(dist.filter("i < j").select("i", "j", "d").mapInPandas(_forests, schema))
-    if edges.count() <= held:
+    n = edges.count()
+    while n > held:
+        before, tasks = n, -(-n // HELD)
+        edges = cut(edges.repartition(tasks).mapInPandas(_forests, schema))
+        n = edges.count()
+        if tasks == 1 or n > 0.7 * before:
+            break
+    if n <= held:
         return cut(edges.coalesce(1).mapInPandas(_forests, schema))
     comp = edges.select(F.explode(F.array("i", "j")).alias("v")).distinct().select("v", F.col("v").alias("c"))
     tree = edges.limit(0)
