@@ -84,25 +84,37 @@ def exactly_one(df: DataFrame, keys: DataFrame, key: str, value: str) -> DataFra
     return keys.join(found, key, "left").withColumn(value, F.when(F.col("_c") == 1, F.col("_v"))).drop("_c", "_v")
 
 
-def knn_impute(df: DataFrame, features: Sequence[str], k: int = 5) -> DataFrame:
-    """Nulls become the mean of the k nearest rows that have the value, by the
-    distance over the features both rows have, scaled to all of them."""
-    blocks = 8
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    some_null = F.greatest(*(F.col(f).isNull().cast("int") for f in features)) == 1
-    holes = df.filter(some_null).select(F.col("id").alias("_i"), *(F.col(f).alias(f"a_{f}") for f in features), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    full = df.select(F.col("id").alias("_j"), *features, block("id").alias("_b"))
+def _impute_pairs(df: DataFrame, features: Sequence[str], k: int) -> DataFrame:
+    """(a_f..., f..., _j, _d): each different vector with a null, and the rows
+    that share a feature with it; of equal rows those of the k least ids."""
+    blocks = 32
+    block = F.pmod(F.xxhash64("_j"), F.lit(blocks)).cast("int")
+    some_null = F.greatest(*(F.col(f).isNull().cast("int") for f in features), F.lit(0)) == 1
+    holes = df.filter(some_null).select(*(F.col(f).alias(f"a_{f}") for f in features)).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    equal = Window.partitionBy(*features).orderBy("_j")
+    full = df.select(F.col("id").alias("_j"), *features).withColumn("_c", F.row_number().over(equal)).filter(F.col("_c") <= k).drop("_c").withColumn("_b", block)
     both = [F.col(f).isNotNull() & F.col(f"a_{f}").isNotNull() for f in features]
     shared = sum((x.cast("int") for x in both), F.lit(0))
     d2 = sum((F.when(x, (F.col(f) - F.col(f"a_{f}")) ** 2).otherwise(0.0) for f, x in zip(features, both, strict=True)), F.lit(0.0))
-    pairs = holes.join(full, "_b").filter("_i != _j").withColumn("_n", shared).filter("_n > 0").withColumn("_d", d2 * len(features) / F.col("_n"))
-    out = df
+    return holes.join(full, "_b").withColumn("_n", shared).filter("_n > 0").withColumn("_d", d2 * len(features) / F.col("_n")).drop("_b", "_n")
+
+
+def knn_impute(df: DataFrame, features: Sequence[str], k: int = 5) -> DataFrame:
+    """Nulls become the mean of the k nearest rows that have the value, by the
+    distance over the features both rows have, scaled to all of them.
+
+    Equal rows with nulls have the same neighbours, and of equal rows only the k
+    least ids can be among them, so that different vectors meet instead of rows."""
+    pairs, out = _impute_pairs(df, features, k), df
+    known = [f"a_{f}" for f in features]
     for f in features:
-        w = Window.partitionBy("_i").orderBy("_d", "_j")
-        near = pairs.filter(F.col(f"a_{f}").isNull() & F.col(f).isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-        means = near.groupBy(F.col("_i").alias("id")).agg(F.avg(f).alias("_m"))
-        out = out.join(means, "id", "left").withColumn(f, F.coalesce(f, "_m")).drop("_m")
-    return out
+        near = pairs.filter(F.col(f"a_{f}").isNull() & F.col(f).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(*known).orderBy("_d", "_j"))).filter(F.col("_r") <= k)
+        means = near.groupBy(*known).agg(F.avg(f).alias(f"_m_{f}"))
+        same = F.lit(True)
+        for g in features:
+            same = same & F.col(g).eqNullSafe(F.col(f"a_{g}"))
+        out = out.join(means, same, "left").drop(*known)
+    return out.select(*(F.coalesce(c, f"_m_{c}").alias(c) if c in features else c for c in df.columns))
 
 
 def pca(df: DataFrame, features: Sequence[str], k: int) -> DataFrame:

@@ -143,3 +143,20 @@ def test_results_with_three_headers(spark, tmp_path):
         f.write("a,b\n1,2\n3\n")
     with pytest.raises(ValueError):
         T.read_wide_results(spark, bad)
+
+
+def test_knn_impute_meets_vectors_not_rows(spark):
+    rows = [(i, float(i % 4), None if i % 5 == 0 else float(i % 3), None if i % 11 == 3 else float(i % 2)) for i in range(240)]
+    p = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    assert T._impute_pairs(p, ["a", "b", "c"], 2).count() <= (4 * 2 + 4 * 3 + 4) * (4 * 4 * 3) * 2  # and not 66 * 240
+
+    def mean(i, f):
+        found = []
+        for j, *y in rows:
+            both = [k for k in range(3) if rows[i][k + 1] is not None and y[k] is not None]
+            if j != i and both and y[f] is not None:
+                found.append((sum((rows[i][k + 1] - y[k]) ** 2 for k in both) * 3 / len(both), j, y[f]))
+        return sum(y for *_, y in sorted(found)[:2]) / 2
+
+    want = {r[0]: tuple(mean(r[0], f) if r[f + 1] is None else r[f + 1] for f in range(3)) for r in rows}
+    assert {r["id"]: (r["a"], r["b"], r["c"]) for r in T.knn_impute(p, ["a", "b", "c"], 2).collect()} == want
