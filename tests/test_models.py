@@ -11,6 +11,7 @@ from ruleloom.operators import clusters as C
 from ruleloom.operators import labels as L
 from ruleloom.operators import ranking as R
 from ruleloom.operators import splits as S
+from ruleloom.operators.boxes import blocks_of
 from ruleloom.operators.select import coverage_mistake_select, coverage_objective, kmeans_objective, select_for_lambdas, select_with_grid
 from ruleloom.operators.graphs import spanning_tree
 from ruleloom.operators.pairs import distances
@@ -260,6 +261,28 @@ def test_a_box_moves_one_side_at_a_time():
         assert grow.box(0, key, p, grow.stop(0, key, p, others, reach=2), last) == (lo, hi)
 
 
+def test_a_box_meets_few_blocks(spark):
+    """Points of a seed's block and of those that its box reaches stop it as all points do."""
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 300, (2000, 2)), rng.integers(0, 3, 2000)
+    p = spark.createDataFrame([(at, label) for at, label in zip(x.tolist(), y.tolist(), strict=True)], "p array<long>, label int")
+    blocks, rows = blocks_of(p, 2, 50)
+    of: dict = {}
+    for r in rows.collect():
+        of.setdefault((r["kind"], r["kb"]), []).append((*r["p"], r["label"]))
+    assert max(len(v) for (kind, _), v in of.items() if kind == 2) < 150 and len(of) > 40
+    grow, looked = _Growth(2, 0.01, 1.0, 3), []
+    for i in range(100):
+        home = blocks.home(2, x[i : i + 1])[0]
+        stop = lambda b, i=i: grow.stop(0, i, x[i], np.array([v[:2] for v in of[2, b] if v[2] != y[i]], int).reshape(-1, 2))
+        t = stop(home)
+        a, z = (np.array([side]) for side in grow.box(0, i, x[i], t, [299, 299]))
+        near = [b for b in blocks.names[2][blocks.met(2, a, z)[0][0]].tolist() if b != home]
+        assert min([t, *map(stop, near)]) == grow.stop(0, i, x[i], x[y != y[i]])
+        looked.append(1 + len(near))
+    assert np.mean(looked) < 4
+
+
 def test_predict_without_cover_and_on_a_stream(spark, tmp_path):
     p = points(spark, grid(20))
     rules = RuleSet((Rule((Condition.axis("f0", 0.5),), 4),))
