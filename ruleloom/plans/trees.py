@@ -17,6 +17,10 @@ from ..operators.labels import predict_tree
 from ..operators.ranking import value_spans
 
 
+#: Values of all projections that a task counts, about.
+CELLS = 500_000
+
+
 @dataclass
 class Tree:
     """Base: information gain on axes. Points are (id, label, features...)."""
@@ -42,7 +46,11 @@ class Tree:
         return points.filter(F.col("label").isNotNull())
 
     def fit(self, points: DataFrame) -> Tree:
-        points = self.prepare(points).persist()
+        points = self.prepare(points)
+        tasks = -(-points.count() * len(self.projections()) // CELLS)
+        if tasks > 1:  # a small file may hold very many points
+            points = points.repartition(tasks, "id")
+        points = points.persist()
         try:
             self._grow(points)
         finally:

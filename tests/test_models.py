@@ -18,7 +18,7 @@ from ruleloom.operators.pairs import distances
 from ruleloom.plans.experiments import lambda_fits
 from ruleloom.plans.mining import ClassAssociationMiner, PointwiseMiner, _Growth
 from ruleloom.plans.sets import CBA, IDS, DecisionSet, DSCluster, coordinate_ascent, ids_objective, ids_search, ids_statistics, ids_weights, mean_auc, rule_patterns
-from ruleloom.plans.trees import DecisionTree, ExplanationTree, ID3Tree, ImmTree
+from ruleloom.plans.trees import DecisionTree, ExplanationTree, ID3Tree, ImmTree, ObliqueTree
 from ruleloom.streaming.scoring import score_stream
 
 
@@ -261,6 +261,20 @@ def test_a_box_moves_one_side_at_a_time():
         assert grow.box(0, key, p, grow.stop(0, key, p, others, reach=2), last) == (lo, hi)
 
 
+def test_tree_counts_points_in_tasks_of_bounded_size(spark, monkeypatch):
+    p = points(spark, grid(300)).coalesce(1)
+    whole, tasks = ObliqueTree(["f0", "f1"], max_leaf_nodes=4).fit(p).root, []
+
+    class Seen(ObliqueTree):
+        def _grow(self, points):
+            tasks.append(points.rdd.glom().map(len).collect())
+            super()._grow(points)
+
+    monkeypatch.setattr("ruleloom.plans.trees.CELLS", 400)
+    assert Seen(["f0", "f1"], max_leaf_nodes=4).fit(p).root == whole
+    assert len(tasks[0]) == 6 and sum(tasks[0]) == 300 and max(tasks[0]) < 100
+
+
 def test_a_box_meets_few_blocks(spark):
     """Points of a seed's block and of those that its box reaches stop it as all points do."""
     rng = np.random.default_rng(9)
