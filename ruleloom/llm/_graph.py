@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import remove, written
+from ._common import merged, remove, written
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -18,13 +18,13 @@ def _large_star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The step's edges, and the table that they are read from."""
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), least
+    return merged(both.filter("v > u"), least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), least
 
 
 def _small_star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = written(e.groupBy("a").agg(F.min("b").alias("m")), "least")
-    moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = merged(e, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), least
 
 

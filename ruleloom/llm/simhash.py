@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import remove, runs, slices, written
+from ._common import merged, remove, runs, slices, written
 from ._graph import components
 
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
@@ -112,7 +112,7 @@ def roots(prints: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     ball = prints.select("fp", F.explode(F.array(fp, *(fp.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))).alias("w"))
     near = ball.select("fp", F.min("fp").over(Window.partitionBy("w")).alias("m")).filter("fp != m")
     close = components(near.select(F.col("fp").alias("a"), F.col("m").alias("b")))
-    marked = prints.join(close.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("c"))
+    marked = merged(prints, close.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("c"))
     marked = written(marked, "simhash-close")
     remove(close)
 
@@ -122,16 +122,16 @@ def roots(prints: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     probes = marked.select(fp.alias("pf"), F.col("c").alias("pc"), F.explode(keys).alias("key"))
     others = ~((F.col("low") == F.col("pc")) & (F.col("high") == F.col("pc")))
     ends = [F.min("tc").alias("low"), F.max("tc").alias("high")]
-    found = written(probes.join(tables.groupBy("key").agg(F.count("*").alias("n"), *ends), "key").filter(others).select("pf", "pc", "key", "n"), "simhash-found")
+    found = written(merged(probes, tables.groupBy("key").agg(F.count("*").alias("n"), *ends), "key").filter(others).select("pf", "pc", "key", "n"), "simhash-found")
     linked = (F.col("pf") < F.col("tf")) & (F.col("pc") != F.col("tc")) & (F.bit_count(F.col("pf").bitwiseXOR(F.col("tf"))) <= radius)
     edge = [F.col("pc").alias("a"), F.col("tc").alias("b")]
-    met = found.filter(F.col("n") <= hot).select("pf", "pc", "key").join(tables, "key").filter(linked).select(*edge)
-    divided = tables.join(found.filter(F.col("n") > hot).select("key").distinct(), "key").select("tf", "tc", "key", _parts("tf", "key").alias("part"))
+    met = merged(found.filter(F.col("n") <= hot).select("pf", "pc", "key"), tables, "key").filter(linked).select(*edge)
+    divided = merged(tables, found.filter(F.col("n") > hot).select("key").distinct(), "key").select("tf", "tc", "key", _parts("tf", "key").alias("part"))
     asked = found.filter(F.col("n") > hot).select("pf", "pc", "key", _parts("pf", "key").alias("part"))
-    asked = asked.join(divided.groupBy("key", "part").agg(*ends), ["key", "part"]).filter(others).select("pf", "pc", "key", "part")
-    met = met.union(asked.join(divided, ["key", "part"]).filter(linked).select(*edge))
+    asked = merged(asked, divided.groupBy("key", "part").agg(*ends), ["key", "part"]).filter(others).select("pf", "pc", "key", "part")
+    met = met.union(merged(asked, divided, ["key", "part"]).filter(linked).select(*edge))
     far = components(met)
-    out = written(marked.join(far.withColumnRenamed("node", "c"), "c", "left").select(fp.alias("node"), F.coalesce("root", "c").alias("root")), "simhash-roots")
+    out = written(merged(marked, far.withColumnRenamed("node", "c"), "c", "left").select(fp.alias("node"), F.coalesce("root", "c").alias("root")), "simhash-roots")
     for spent in (marked, found, far):
         remove(spent)
     return out
@@ -154,12 +154,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(fingerprints(docs, id_col, text_col), "simhash")
     prints = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     linked = roots(prints.select("fp"))
-    groups = written(prints.join(linked.withColumnRenamed("node", "fp"), "fp"), "simhash-linked")
+    groups = written(merged(prints, linked.withColumnRenamed("node", "fp"), "fp"), "simhash-linked")
     least = written(groups.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    named = written(groups.join(least, "root").select("fp", "root", "component_id"), "simhash-groups")
+    named = written(merged(groups, least, "root").select("fp", "root", "component_id"), "simhash-groups")
     for spent in (prints, linked, groups, least):
         remove(spent)
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "h", "fp", "root", "component_id")
+    return merged(rows, named, "fp").select(F.col("id").alias(id_col), "h", "fp", "root", "component_id")
 
 
 def hex_print(fp: Column) -> Column:

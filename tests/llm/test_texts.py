@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ruleloom.llm import _ids, byte_bpe, simhash, token_counts
+from ruleloom.llm import _common, _graph, _ids, byte_bpe, simhash, token_counts
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -257,3 +257,22 @@ def test_near_duplicates_and_dedup(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicate(df.limit(0)).count() == 0
     only_null = df.filter(F.col("doc_id").isNull())
     assert simhash.deduplicate(only_null.union(only_null)).count() == 1
+
+
+def test_simhash_sends_no_table_through_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, " ".join(str(rng.randrange(50)) for _ in range(12))) for k in range(60)]
+    df = spark.createDataFrame([*rows, (60, rows[0][1]), (61, rows[1][1])], "doc_id long, text string")
+    plans = []
+
+    def noted(df, name, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return _common.written(df, name, **options)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(_graph, "written", noted)
+    out = simhash.near_duplicates(df)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 62
+    assert sum("SortMergeJoin" in p for p in plans) >= 8
+    assert not [p for p in plans if "Broadcast" in p]
