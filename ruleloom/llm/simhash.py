@@ -174,4 +174,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("h"))
     stay = found.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.h").alias("_dedup_h"))
     keyed = docs.withColumn("_dedup_h", row_digest(id_col, text_col)).dropDuplicates(["_dedup_h"])
-    return keyed.join(stay, "_dedup_h", "left_semi").select(*docs.columns)
+    return merged(keyed, stay, "_dedup_h", "left_semi").select(*docs.columns)

@@ -276,3 +276,8 @@ def test_simhash_sends_no_table_through_the_driver(spark, monkeypatch):
     assert out.count() == 62
     assert sum("SortMergeJoin" in p for p in plans) >= 8
     assert not [p for p in plans if "Broadcast" in p]
+    plans.clear()
+    kept = simhash.deduplicate(df)  # the pipeline's stage
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert kept.count() == 60 and "SortMergeJoin" in plans[-1]
+    assert not [p for p in plans if "Broadcast" in p]
